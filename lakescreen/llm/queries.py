@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, pii, substring_dedup, toxicity
+from . import ann, chat, decontam, langid, lmscore, mixing, near_dedup, pii, substring_dedup, toxicity
 from .common import held_out, read_table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.teach(docs, read_table(spark, sf_dir, "labels"))
@@ -18,11 +22,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents outside the held-out fold that are labelled as of good quality; background: all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct().withColumn("good", F.lit(True))
+    model = lmscore.gather(lmscore.count(docs.join(good, "doc_id", "left"), F.col("good")))
+    return lmscore.score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "target_loss", "background_loss", "difference")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return substring_dedup.remove(docs, width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -40,6 +60,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out().alias("held_out"), F.col("best").alias("lang_pred"), "score", F.col("identified"))
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     fixed = "</s>[INST] ok [/INST]"
@@ -91,15 +116,36 @@ SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
 """
 
 
+_OP1_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "op1_nearest": op1_nearest,
         "op2_toxicity": op2_toxicity,
+        "op3_lm_score": op3_lm_score,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_pii": op7_pii,
         "op8_language": op8_language,
+        "op9_mix": op9_mix,
         "op10_chat": op10_chat,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": _OP4_SQL, "op10_chat": _OP10_SQL}
+    return {"op1_nearest": _OP1_SQL, "op4_substring_dedup": _OP4_SQL, "op10_chat": _OP10_SQL}

@@ -76,7 +76,7 @@ class Model:
     bias: float
 
 
-def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int = 12, rate: float = 0.05, seed: int = 7) -> Model:
+def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int = 10, rate: float = 0.15, seed: int = 7) -> Model:
     """Joint training by Adagrad. prior is the share of label 1 before rows were chosen."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
