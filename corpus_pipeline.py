@@ -46,9 +46,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each copy that the mix takes is a row."""
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "source", "size"))
-    taken = mixing.mix(docs.drop("size"), carry=extra).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns, "size", "target", "copy")
+    key = F.xxhash64("doc_id", "text").alias("key")
+    slim = mixing.with_sizes(docs.drop("size")).select("doc_id", "source", "size", key)
+    taken = mixing.mix(slim, carry=("key",)).where("copies > 0")
+    # rows that are the same in doc_id and text are one row, taken as often as they are together
+    taken = taken.groupBy("key").agg(F.sum("copies").cast("int").alias("copies"), F.first("size").alias("size"), F.first("target").alias("target"))
+    chosen = docs.drop("size", "target", "copy").withColumn("key", key).dropDuplicates(["key"]).join(taken, "key")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("key", "copies")
 
 
 STAGES = [
