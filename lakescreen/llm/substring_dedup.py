@@ -6,12 +6,13 @@ doc_id or earlier in the same document; every word that a repeated window covers
 1. Each window has a seed: the least hash among the ``seed`` words long windows inside it. Equal windows have equal seeds,
    and neighbouring windows mostly share theirs, so there are far fewer seeds than windows. Seeds are counted in Spark; what
    occurs twice or more goes into a bitmap of fixed size, which tasks receive.
-2. Windows whose seed is not in the bitmap occur once. The others are hashed to 96 bits and grouped; the group's first place
-   is kept. A bit that is set by chance only lets more windows through to the exact grouping.
+2. Windows whose seed is not in the bitmap occur once. The others are hashed to 96 bits. Each task settles what it holds: of equal
+   windows all but the first are later for sure, and only the first goes to the shuffle, where it is ranked among those of the
+   other tasks. A bit that is set by chance only lets more windows through to this exact step.
 3. All later places are sent to their documents and merged into intervals of words.
 
-Counting is combined before each shuffle, so a passage that a third of all documents share is one row for each task; the join
-that marks later places has sort-merge keys that adaptive execution can split.
+A passage that a third of all documents share is thus one row for each window and batch of a task, and never one row for each
+document in one group.
 
 Defined cases: a null text has no words; documents of fewer than width words lose nothing; a null doc_id comes after all
 others; rows that share one doc_id are one document told again, so each gets the intervals of that doc_id and none is
@@ -25,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, mix64, texts, window_hashes, word_hashes, words
@@ -95,13 +97,37 @@ def repeated_seeds(docs: DataFrame, width: int, seed: int) -> np.ndarray:
     return bitmap
 
 
+def _first_of_batch(hashes: np.ndarray, more: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are the first of their kind among these, and which surely start later than another of these."""
+    by = np.lexsort((place, ids, more, hashes))
+    h, m, d, p = hashes[by], more[by], ids[by], place[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (d != d[head]) | (p != p[head])  # rows that repeat a doc_id have the same place
+    return by[new], by[later]
+
+
 def later_windows(docs: DataFrame, width: int = 20, seed: int = 6) -> DataFrame:
     """doc_id and starts: the first words of its windows that also start earlier."""
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_seeds(docs, width, seed))
+    names = ["h1", "h2", "doc_id", "place", "sure"]
+
+    def settle(column: pa.Array, parts: list) -> Iterator[pa.RecordBatch]:
+        """What one task knows of its windows: the first of each kind goes to the shuffle, the others are later for sure."""
+        h1, h2, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rank = np.unique(pa.compute.fill_null(column, np.iinfo(np.int64).max).to_numpy(), return_inverse=True)[1]
+        first, later = _first_of_batch(h1, h2, rank[row], place)
+        for pick, sure in ((first, False), (later, True)):
+            ids = column.take(pa.array(row[pick]))
+            # what is settled needs no partner, so it is dealt out by its place and not by its hash
+            key = mix64(h1[pick] + place[pick].astype(np.uint64) + (row[pick].astype(np.uint64) << np.uint64(32))) if sure else h1[pick]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h2[pick]), ids, pa.array(place[pick]), pa.array(np.full(len(pick), sure))], names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = texts(batch.column(1))
+            parts, held = [], 0
             for lo, hi in chunks(at):
                 hashes, row, whole, least, grams = _seeds(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], width, seed)
                 bit = _bit(grams[least])
@@ -109,17 +135,19 @@ def later_windows(docs: DataFrame, width: int = 20, seed: int = 6) -> DataFrame:
                 if not len(whole):
                     continue
                 h1 = window_hashes(hashes, row, width)[0][whole]
-                h2 = window_hashes(mix64(hashes), row, width)[0][whole] >> np.uint64(32)
+                h2 = (window_hashes(mix64(hashes), row, width)[0][whole] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 first = np.searchsorted(row, np.arange(hi - lo), "left")  # of each row's words
-                place = whole - first[row[whole]]
-                ids = batch.column(0).take(pa.array(lo + row[whole]))
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int64).astype(np.int32, casting="unsafe")), ids, pa.array(place.astype(np.int32))], ["h1", "h2", "doc_id", "place"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    places = docs.select("doc_id", "text").mapInArrow(emit, f"h1 BIGINT, h2 INT, doc_id {kind}, place INT")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("place"))
-    first = places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = places.join(first, ["h1", "h2"]).where(F.col("first") != order)
+                parts.append((h1, h2, lo + row[whole], (whole - first[row[whole]]).astype(np.int32)))
+                held += len(whole)
+                if held > 1 << 21:
+                    yield from settle(batch.column(0), parts)
+                    parts, held = [], 0
+            if parts:
+                yield from settle(batch.column(0), parts)
+
+    places = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "h1 BIGINT, h2 INT, doc_id BIGINT, place INT, sure BOOLEAN")
+    order = Window.partitionBy("h1", "h2", "sure").orderBy(F.col("doc_id").asc_nulls_last(), "place")
+    later = places.withColumn("rank", F.rank().over(order)).where("sure OR rank > 1")
     return later.groupBy("doc_id").agg(F.collect_set("place").alias("starts"))
 
 
