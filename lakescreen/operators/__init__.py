@@ -1 +1 @@
-
+"""DataFrame to DataFrame operators of the screening analytics."""

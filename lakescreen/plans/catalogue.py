@@ -1,4 +1,4 @@
-"""Named queries over the driver tables."""
+"""All named queries of the screening side, from their groups."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import audit_queries, document_queries, risk_queries, search_queries
+
+GROUPS = (search_queries, audit_queries, document_queries, risk_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for group in GROUPS for name, run in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, sql in group.SQL.items()}
