@@ -43,10 +43,10 @@ def _step(failures: int, locked_until: float | None, now: float, failed: bool) -
     return failures, None, "rejected"
 
 
-def lockout_stream(attempts: DataFrame) -> DataFrame:
+def lockout_stream(attempts: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """attempts (user_id long, ts timestamp, failed boolean) as a stream, to (user_id, ts, outcome) with state for each user.
 
-    State is two numbers for a user, and goes after a day without attempts.
+    State is two numbers for a user, and goes when the watermark is a day past the last attempt.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,10 +61,12 @@ def lockout_stream(attempts: DataFrame) -> DataFrame:
             until = -1.0 if locked is None else locked
             outcomes.append(what)
         state.update((failures, until))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        latest = max(int(rows["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(latest + 24 * 3600 * 1000)
         yield pd.DataFrame({"user_id": key[0], "ts": rows["ts"].to_numpy(), "outcome": outcomes})
 
-    return attempts.groupBy("user_id").applyInPandasWithState(follow, "user_id long, ts timestamp, outcome string", "failures int, until double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = attempts.withWatermark("ts", lateness)
+    return timed.groupBy("user_id").applyInPandasWithState(follow, "user_id long, ts timestamp, outcome string", "failures int, until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lockout(attempts: DataFrame) -> DataFrame:
