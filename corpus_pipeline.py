@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lakescreen.llm import decontam, mixing, near_dedup, pii, toxicity
 from lakescreen.llm.common import read_table, shared_folder
 
-TOXIC_FROM = 0.5
+TOXIC_FROM = 0.4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

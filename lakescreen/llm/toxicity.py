@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, held_out, mix64, texts
 
-BITS, DIM, SIZES, SCALE = 17, 4, (3, 4, 5, 6), 100.0
+BITS, DIM, SIZES, SCALE, DECAY = 17, 4, (3, 4, 5, 6), 100.0, 1e-4
 BUCKETS = 1 << BITS
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -119,7 +119,7 @@ def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int =
             p /= p.sum(1, keepdims=True)
             error = (p - np.eye(2)[y[chosen]]) * weight_of[y[chosen]][:, None] / len(chosen)
             back = error @ soft.T
-            grads = [np.stack([np.bincount(b, back[of, d] * v, BUCKETS) for d in range(DIM)], 1), mean.T @ error, error.sum(0)]
+            grads = [np.stack([np.bincount(b, back[of, d] * v, BUCKETS) for d in range(DIM)], 1) + DECAY * embed, mean.T @ error, error.sum(0)]
             for parameter, total, grad in zip((embed, soft, bias), sums, grads, strict=True):
                 total += grad**2
                 parameter -= rate * grad / np.sqrt(total)
