@@ -11,11 +11,14 @@ from ..sources.views import AUDIT_SQL, REGISTRY_SQL, REVIEWS_SQL, SCREENINGS_SQL
 from ..streaming import controls
 
 _TIES = ["created_at", "event_type", "anchor_status", "block_number", "tx", "line", "price"]
-_NEWEST = [F.col(c).desc() for c in _TIES]
 _NEWEST_SQL = ", ".join(f"{c} DESC" for c in _TIES)
 _EVENT = "screening_id, event_type, anchor_status, strftime(created_at, '%Y-%m-%d') AS created_on, block_number, tx"
 
 
+def _newest():
+    return [F.col(c).desc() for c in _TIES]
+
+
 def _event(df):
     return df.select("screening_id", "event_type", "anchor_status", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), "block_number", "tx")
 
@@ -84,13 +87,12 @@ def _attempts(s, d):
     return read(s, d, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
 
 
-_FAILED = F.col("event_type") == "error"
 _GRANTS = ", ".join(f"('{p}', '{r}')" for p, roles in pipeline_state.PERMISSIONS.items() for r in roles)
 
 QUERIES = {
     "case_events_ordered": _case_events,
-    "latest_event_per_case": lambda s, d: _event(audit.latest(audit_events(s, d), "screening_id", _NEWEST)),
-    "prioritised_event": lambda s, d: _event(audit.prefer(audit_events(s, d), "screening_id", F.col("event_type") == "screening_completed", _NEWEST)),
+    "latest_event_per_case": lambda s, d: _event(audit.latest(audit_events(s, d), "screening_id", _newest())),
+    "prioritised_event": lambda s, d: _event(audit.prefer(audit_events(s, d), "screening_id", F.col("event_type") == "screening_completed", _newest())),
     "pending_reviews": lambda s, d: review.pending(screenings(s, d), reviews(s, d)).select("id", "run_id", "risk_band", "human_review_required"),
     "undecided_screenings": lambda s, d: screenings(s, d).join(reviews(s, d).select(F.col("screening_id").alias("id")), "id", "left_anti").select("id", "status"),
     "review_overlay": lambda s, d: review.overlay(screenings(s, d), reviews(s, d)).select("id", "status", "decision", "pending", "reviewer_id"),
@@ -105,7 +107,7 @@ QUERIES = {
     "ruleset_resolution": _resolution,
     "duplicate_number": _repeated,
     "permission_matrix": _permissions,
-    "login_failure_runs": lambda s, d: controls.failure_runs(read(s, d, "events"), _FAILED).where("failures >= 2").select("user_id", "failures", controls.micros("first_failure").alias("first_failure")),
+    "login_failure_runs": lambda s, d: controls.failure_runs(read(s, d, "events"), F.col("event_type") == "error").where("failures >= 2").select("user_id", "failures", controls.micros("first_failure").alias("first_failure")),
     "login_lockout": lambda s, d: controls.lockout(_attempts(s, d)),
     "rate_limit_windows": lambda s, d: controls.rate_windows(read(s, d, "events"), 2, width="6 hours").select("user_id", controls.micros("window_start").alias("window_start"), "n"),
     "retention_expired": lambda s, d: read(s, d, "events").where(F.col("ts") < F.lit("2024-01-20").cast("timestamp") - F.make_dt_interval(F.lit(7))).select("event_id"),
