@@ -88,3 +88,38 @@ def repaired(payload: str | None, digit: str | None) -> str | None:
 def repair(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for payloads, digits in batches:
         yield pd.Series([repaired(p, d) for p, d in zip(payloads, digits, strict=True)])
+
+
+def parse_mrv_b(top: Column, bottom: Column, as_of: Column) -> Column:
+    """Fields of a two-line visa zone of 36 characters; entries and stay stand in its optional data."""
+    names, number, extra = at(top, 5, 36), at(bottom, 0, 9), at(bottom, 28, 36)
+    clean = lambda c: F.trim(F.regexp_replace(c, "<+", " "))
+    days = F.regexp_extract(at(bottom, 29, 31), "([0-9]{1,2})", 1).try_cast("int")  # a check digit follows
+    return F.struct(
+        F.regexp_replace(at(top, 2, 5), "<", "").alias("issuer"),
+        clean(F.regexp_substr(names, F.lit("^.*?(?=<<|$)"))).alias("surname"),
+        clean(F.regexp_replace(names, "^.*?(<<|$)", "")).alias("given_names"),
+        F.regexp_replace(number, "<", "").alias("number"),
+        digit_ok(number, at(bottom, 9, 10)).alias("number_ok"),
+        F.regexp_replace(at(bottom, 10, 13), "<", "").alias("nationality"),
+        yymmdd(at(bottom, 13, 19), as_of, True).alias("date_of_birth"),
+        digit_ok(at(bottom, 13, 19), at(bottom, 19, 20)).alias("birth_ok"),
+        F.when(at(bottom, 20, 21).isin("M", "F"), at(bottom, 20, 21)).alias("sex"),
+        yymmdd(at(bottom, 21, 27), as_of, False).alias("expiry_date"),
+        digit_ok(at(bottom, 21, 27), at(bottom, 27, 28)).alias("expiry_ok"),
+        F.when(extra.startswith("M"), "multiple").when(extra.rlike("^[S1]"), "single").alias("entries"),
+        F.when(days.isNotNull(), F.concat(days.cast("string"), F.lit(" days"))).alias("stay"),
+    )
+
+
+def zone_format(lines: Column) -> Column:
+    """TD3, MRV-B, TD2, TD1 or null, from the first characters and lengths of the candidate lines (30 to 48 characters)."""
+    kept = F.filter(lines, lambda x: F.length(x).between(30, 48))
+    first, size = F.try_element_at(kept, F.lit(1)), F.length(F.try_element_at(kept, F.lit(1)))
+    second = F.length(F.try_element_at(kept, F.lit(2)))
+    return (
+        F.when(first.rlike(r"^P[<\[]") & (size >= 40) & (second >= 40), F.when((size == 44) & (second == 44), "TD3").otherwise("TD3?"))
+        .when(first.rlike(r"^V[<\[]") & size.between(34, 44) & second.between(34, 44), "MRV-B")
+        .when(first.rlike(r"^I[<\[]") & size.between(34, 38) & second.between(34, 38), "TD2")
+        .when((F.size(kept) >= 3) & F.forall(F.slice(kept, 1, 3), lambda x: F.length(x) == 30), "TD1")
+    )
