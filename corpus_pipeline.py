@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
 All but the last return the columns of docs; the last returns one row for each time that the mix takes a document, with the number
 of that copy and the document's source target.
 
-Defined cases: a null text is not toxic, not a duplicate and not a leak, and has size 0, so the mix takes none of it; a document with
-a null doc_id is its own near-duplicate class; tables without rows, labels or test items give what is left without them.
+Defined cases: a null text is not toxic, not a duplicate and not a leak, and has size 0, so the mix takes none of it; documents with
+a null doc_id stay, equal ones once; tables without rows, labels or test items give what is left without them.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names its class stays, once; classes are of similarity 0.8 on five-word shingles."""
     others = near_dedup.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    kept = docs.join(others, "doc_id", "left_anti").withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return kept.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
