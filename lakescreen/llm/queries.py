@@ -26,7 +26,8 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents outside the held-out fold that are labelled as of good quality; background: all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     good = read_table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct().withColumn("good", F.lit(True))
-    model = lmscore.gather(lmscore.count(docs.join(good, "doc_id", "left"), F.col("good")))
+    # both sides are shuffled at any size, so that the plan and its growth do not depend on how many labels there are
+    model = lmscore.gather(lmscore.count(docs.join(good.hint("merge"), "doc_id", "left"), F.col("good")))
     return lmscore.score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "target_loss", "background_loss", "difference")
 
 
@@ -109,17 +110,15 @@ FROM rows GROUP BY conv_id
 
 _OP4_SQL = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-windows AS (SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS at, w FROM words WHERE len(w) >= 20),
-hashed AS (SELECT doc_id, at, md5(array_to_string(w[at:at + 19], ' ')) AS h FROM windows),
-later AS (SELECT doc_id, at FROM (SELECT doc_id, at, row_number() OVER (PARTITION BY h ORDER BY doc_id, at) AS k FROM hashed) WHERE k > 1),
-covered AS (SELECT DISTINCT doc_id, unnest(generate_series(at, at + 19)) AS at FROM later),
-gone AS (SELECT doc_id, list(at) AS gone FROM covered GROUP BY doc_id),
-marked AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id)
-SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
-  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM marked
+windows AS (SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS p, w FROM words WHERE len(w) >= 20),
+hashed AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS h FROM windows),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM hashed) WHERE k > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 19)) AS p FROM later),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM words),
+kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS t, count(*) AS n FROM placed k LEFT JOIN covered c ON k.doc_id = c.doc_id AND k.p = c.p WHERE c.p IS NULL GROUP BY k.doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
-
 _OP1_SQL = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
