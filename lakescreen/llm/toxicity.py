@@ -86,18 +86,21 @@ def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int =
     weight_of = np.array([(1 - prior) / (1 - y.mean()), prior / y.mean()])
     at = np.concatenate([[0], np.cumsum([len(d) for d in documents])])
     raw = np.frombuffer(b"".join(documents), np.uint8)
-    size, cells, values = np.zeros(len(y)), [], []
+    size, parts, seen_in = np.zeros(len(y)), [], np.zeros(BUCKETS, np.int64)
     for lo, hi in chunks(at):
         bucket, row = subwords(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         size[lo:hi] = np.bincount(row, minlength=hi - lo)
-        cell, count = np.unique((row + lo) * BUCKETS + bucket, return_counts=True)
-        cells.append(cell)
-        values.append(count)
-    cell, value = np.concatenate(cells), np.concatenate(values)
-    row, bucket = cell // BUCKETS, cell % BUCKETS
+        cell, count = np.unique(row * BUCKETS + bucket, return_counts=True)
+        row, bucket = cell // BUCKETS, cell % BUCKETS
+        seen_in += np.bincount(bucket, minlength=BUCKETS)
+        parts.append(((row + lo).astype(np.int32), bucket.astype(np.int32), (count / size[row + lo]).astype(np.float32)))
     # an n-gram says something only if it occurs in several documents; the others have weight 0
-    common = np.bincount(bucket, minlength=BUCKETS) >= max(2, min(8, len(y) // 200))
-    row, bucket, value = (x[common[bucket]] for x in (row, bucket, value / size[row]))
+    common = seen_in >= max(2, min(8, len(y) // 200))
+    for k, (row, bucket, value) in enumerate(parts):
+        keep = common[bucket]
+        parts[k] = row[keep], bucket[keep], value[keep]
+    row, bucket, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     begin = np.searchsorted(row, np.arange(len(y) + 1))
     embed = rng.normal(0, 0.01, (BUCKETS, DIM))
     soft, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
@@ -131,7 +134,7 @@ def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int =
     return best
 
 
-def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 24 << 20) -> Model:
+def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 16 << 20) -> Model:
     """Fit on the rows of labels outside the held-out fold, within the bounds of the module's description."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.agg(F.count("*"), F.avg((F.col("toxic") == 1).cast("double"))).first()
