@@ -134,7 +134,7 @@ def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int =
     return best
 
 
-def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 16 << 20) -> Model:
+def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 12 << 20) -> Model:
     """Fit on the rows of labels outside the held-out fold, within the bounds of the module's description."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.agg(F.count("*"), F.avg((F.col("toxic") == 1).cast("double"))).first()
