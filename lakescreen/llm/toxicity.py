@@ -99,8 +99,13 @@ def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int =
     for k, (row, bucket, value) in enumerate(parts):
         keep = common[bucket]
         parts[k] = row[keep], bucket[keep], value[keep]
-    row, bucket, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
+    columns = [list(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    joined = []
+    for column in columns:  # one at a time, so that little is held twice
+        joined.append(np.concatenate(column))
+        column.clear()
+    row, bucket, value = joined
     begin = np.searchsorted(row, np.arange(len(y) + 1))
     embed = rng.normal(0, 0.01, (BUCKETS, DIM))
     soft, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
@@ -134,7 +139,7 @@ def fit(documents: list[bytes], labels: np.ndarray, prior: float, epochs: int =
     return best
 
 
-def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 12 << 20) -> Model:
+def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 8 << 20) -> Model:
     """Fit on the rows of labels outside the held-out fold, within the bounds of the module's description."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.agg(F.count("*"), F.avg((F.col("toxic") == 1).cast("double"))).first()
