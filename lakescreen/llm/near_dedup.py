@@ -11,12 +11,14 @@ probability equal to their weighted Jaccard similarity. Points are made in order
 nearly all components are filled; texts with empty components go on to the double horizon, so most shingles cost one hash.
 
 Search. Equal texts become one representative first, however many there are. Signatures are cut into BANDS bands of ROWS components;
-representatives with an equal band share a bucket. In a bucket of at most ``SMALL`` all pairs are candidates. In a larger bucket the
-first ``LEADERS`` documents are compared with all members. Whoever has no link by then is compared with the whole bucket, in tiles
-of bounded size whose tasks give back links and not pairs. Work thus grows with a bucket's size and the number of its members
-that are unlike its leaders, and no member is dropped: one without links has been compared with its whole bucket.
+representatives with an equal band share a bucket, and each pair that shares a bucket is compared, once. In a bucket of at most ``SMALL``
+the pairs are rows. Members of larger buckets meet in tiles of about ``PART`` by ``PART`` texts: a tile compares the pairs that share a
+larger bucket and no small one, and gives back a number of links for each text and a spanning forest of them, so that what leaves it grows
+with its texts and not with its pairs. Tiles are cut from all texts that larger buckets join, or from each such bucket by itself
+where that is fewer pairs; a pair then belongs to the first larger bucket that it shares. Comparing a group of n texts takes about
+n * n / 2 comparisons, and each text is sent to n / PART tiles.
 Candidates are verified on the full shingle multisets. Texts linked directly or through others form a class,
-named by its smallest doc_id. Two parts of a large bucket that only a pair of already linked members would join stay two classes.
+named by its smallest doc_id.
 
 Defined cases: a text without words (null, empty, blank) is a class of its own, also beside equal ones; a null doc_id takes no part
 and is returned with a null class; rows that repeat a doc_id have one class if their texts do; an empty table gives no rows.
@@ -29,13 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, chunks, mix64, texts, window_hashes, word_hashes, words
 
 SHINGLE, BANDS, ROWS, SMALL = 5, 25, 5, 32
-LEADERS, OPEN, MEMBERS = 4, 256, 512
+PART, WHOLE = 256, 1
 SIGNATURE = BANDS * ROWS
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -160,42 +162,79 @@ def verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
 
 
 def _tile(threshold: float):
-    """Links between the open texts and the members of one tile, by exact multiset overlap."""
+    """Links of one tile by exact multiset overlap: (id, id, number of its links), and (a, b, 0) of a spanning forest."""
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        x, y, cell, by_bucket = (group[c].iloc[0] for c in ("x", "y", "cell", "by_bucket"))
+        left, right = group[group["part"] == x], group[group["part"] == y]
+        counts, forest, root = {}, [], {}
         if len(left) and len(right):
-            sizes = right["elements"].map(len).to_numpy()
-            every = np.concatenate(right["elements"].to_list())
-            starts, ids = np.cumsum(sizes) - sizes, right["id"].to_numpy()
-            for name, mine in zip(left["id"], left["elements"], strict=True):
-                mine = np.sort(mine)
+            theirs, ids = np.stack(right["bands"].to_numpy()), right["id"].to_numpy()
+            elements = right["elements"].to_list()
+            sizes = np.array([len(e) for e in elements])
+            is_large = (theirs & 1) == 1
+
+            def find(k: int) -> int:
+                while (up := root.setdefault(k, k)) != k:
+                    root[k] = root[up]
+                    k = up
+                return k
+
+            for i, (name, bands_, mine) in enumerate(zip(left["id"].tolist(), left["bands"], left["elements"], strict=True)):
+                same = theirs == bands_
+                large = same & is_large
+                pick = large.any(1) & ~(same & ~is_large).any(1)
+                if by_bucket:
+                    pick &= bands_[large.argmax(1)] == cell
+                if x == y:
+                    pick[: i + 1] = False
+                pick = np.flatnonzero(pick & (np.minimum(sizes, len(mine)) >= threshold * np.maximum(sizes, len(mine)) - 1e-9))
+                if not len(pick):
+                    continue
+                every, mine = np.concatenate([elements[k] for k in pick]), np.sort(mine)
                 at = np.searchsorted(mine, every)
                 at[at == len(mine)] = 0
-                shared = np.add.reduceat((mine[at] == every).astype(np.int64), starts)
-                similarity = shared / (len(mine) + sizes - shared)
-                for k in np.flatnonzero((similarity >= threshold) & (ids != name)):
-                    out.append((min(name, ids[k]), max(name, ids[k]), similarity[k]))
-        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+                shared = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes[pick]) - sizes[pick])
+                linked = ids[pick[shared / (len(mine) + sizes[pick] - shared) >= threshold]].tolist()
+                if linked:
+                    counts[name] = counts.get(name, 0) + len(linked)
+                for other in linked:
+                    counts[other] = counts.get(other, 0) + 1
+                    p, q = find(name), find(other)
+                    if p != q:
+                        root[p] = q
+                        forest.append((name, other, 0))
+        return pd.DataFrame([*((k, k, n) for k, n in counts.items()), *forest], columns=["a", "b", "n"])
 
     return compare
 
 
-def _in_tiles(open_: DataFrame, members: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """All links of the open texts (bucket, id) in their buckets, from tiles of OPEN by MEMBERS texts; only links leave a tile."""
-    crowd = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("asks"))
-    part = lambda of, most: F.pmod(F.xxhash64("id"), F.ceil(F.col(of) / most))
-    every = lambda of, most: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(of) / most) - 1))
-    sized = members.join(crowd, "bucket")
-    left = open_.join(sized, ["bucket", "id"]).select("bucket", "id", part("asks", OPEN).alias("x"), every("n", MEMBERS).alias("y"))
-    right = sized.select("bucket", "id", part("n", MEMBERS).alias("y"), every("asks", OPEN).alias("x"))
-    names = ("bucket", "x", "y", "id", "elements")  # aliased anew: both sides come from the same tables
-    left, right = (side.join(elements, "id").select(*[F.col(c).alias(c) for c in names]).groupBy("bucket", "x", "y") for side in (left, right))
-    return left.cogroup(right).applyInPandas(_tile(threshold), "a LONG, b LONG, similarity DOUBLE").dropDuplicates(["a", "b"])
-
-
-def links(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Verified links between representatives. members: id and bands of each representative."""
+def _in_tiles(members: DataFrame, large: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """What the tiles give of all pairs that share a bucket of large (bucket, id, n) and no small one."""
+    hubs = large.groupBy("bucket").agg(F.min("id").alias("b"))
+    joined = components(large.join(hubs, "bucket").select(F.col("id").alias("a"), "b"))
+    named = checkpoint(large.join(joined, "id").select("bucket", "id", "n", "root"))
+    # the sum of n over a group's slots is the sum of the squares of its buckets
+    cost = named.groupBy("root").agg(F.countDistinct("id").alias("m"), F.sum("n").alias("squares"))
+    named = named.join(cost.withColumn("by_bucket", F.col("m") * F.col("m") > F.col("squares") * WHOLE), "root")
+    cells = named.select(
+        "id", "by_bucket", F.when(F.col("by_bucket"), F.col("bucket").bitwiseOR(F.lit(1))).otherwise(F.col("root")).alias("cell"), F.ceil(F.when(F.col("by_bucket"), F.col("n")).otherwise(F.col("m")) / PART).alias("parts")
+    ).distinct()
+    part = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    tiles = part.select("id", "by_bucket", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
+    tiles = tiles.select("id", "by_bucket", "cell", "part", F.least("part", "k").alias("x"), F.greatest("part", "k").alias("y"))
+    # the lowest bit of a band says whether its bucket is large
+    own = members.join(large.groupBy("id").agg(F.collect_list("bucket").alias("large")), "id")
+    marked = own.select("id", F.transform("bands", lambda b: F.when(F.array_contains("large", b), b.bitwiseOR(F.lit(1))).otherwise(b.bitwiseAND(F.lit(-2)))).alias("bands"))
+    full = tiles.join(marked.join(elements, "id"), "id")
+    return full.groupBy("cell", "by_bucket", "x", "y").applyInPandas(_tile(threshold), "a LONG, b LONG, n LONG")
+
+
+def links(members: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of the verified links between representatives: (a, b) of enough of them to join the classes, and (id, links), how many each has.
+
+    members: id and bands of each representative.
+    """
     slots = members.select("id", F.explode("bands").alias("bucket"))
     crowded = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slots = checkpoint(slots.join(crowded, "bucket"))
@@ -205,21 +244,14 @@ def links(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     small = slots.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pair = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = small.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
-    found = [checkpoint(verified(pairs, elements, threshold))]
+    found = checkpoint(verified(pairs, elements, threshold).select("a", "b"))
+    counted = found.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
     large = slots.where(F.col("n") > SMALL).select("bucket", "id", "n")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    leaders = checkpoint(large.withColumn("k", rank).where(F.col("k") <= LEADERS).select("bucket", F.col("id").alias("leader")))
-    pairs = large.join(leaders, "bucket").where("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    found.append(checkpoint(verified(pairs, elements, threshold)))
-    both = found[0].unionByName(found[1])
-    linked = both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct()
-    led = leaders.withColumnRenamed("leader", "id")
-    open_ = checkpoint(large.join(led, ["bucket", "id"], "left_anti").join(linked, "id", "left_anti").select("bucket", "id"))
-    found.append(checkpoint(_in_tiles(open_, large, elements, threshold)))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.dropDuplicates(["a", "b"])
+    if not large.isEmpty():
+        tiled = checkpoint(_in_tiles(members, large, elements, threshold))
+        found = found.unionByName(tiled.where("a <> b").select("a", "b"))
+        counted = counted.unionByName(tiled.where("a = b").select(F.col("a").alias("id"), "n"))
+    return found, counted.groupBy("id").agg(F.sum("n").alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,9 +275,8 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     all_rows = checkpoint(sketch(docs))
     texts_ = all_rows.where(F.size("bands") > 0).where("doc_id IS NOT NULL")
     exact = checkpoint(texts_.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    edges = checkpoint(links(exact.select("id", "bands"), docs, threshold).select("a", "b"))
+    edges, degree = links(exact.select("id", "bands"), docs, threshold)
     root = components(edges)
-    degree = edges.select("a").unionAll(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "id")
     named = exact.select("digest", "id").join(root, "id", "left").join(degree, "id", "left")
     named = named.select("digest", F.col("id").alias("representative"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     worded = all_rows.where(F.size("bands") > 0).select("doc_id", "digest").join(named, "digest")

@@ -236,6 +236,38 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("whole", [1, 0])
+def test_large_bucket_loses_no_link(spark, monkeypatch, whole):
+    """Two families that only a pair of already linked members joins; every link counts. With whole = 0 each bucket has tiles of its own."""
+    monkeypatch.setattr(near_dedup, "WHOLE", whole)
+    monkeypatch.setattr(near_dedup, "PART", 16)
+    rng = np.random.default_rng(18)
+    base = [f"w{i}" for i in rng.integers(0, 100000, 400)]
+
+    def text(edits, tag):
+        out = list(base)
+        for k in edits:
+            out[k] = f"{tag}{k}"
+        return " ".join(out)
+
+    # five words apart, an edit takes five shingles: members of a family share its edits and have one of their own
+    first, second = range(5, 30, 5), range(205, 230, 5)
+    rows = [(i, text([*first, 300 + i], f"a{i}-" if i % 2 else "a")) for i in range(40)]
+    rows += [(100 + i, text([*second, 300 + i], f"b{i}-" if i % 2 else "b")) for i in range(40)]
+    rows += [(50, text([*list(first)[:3], 390], "a")), (150, text([*list(second)[:3], 391], "b"))]
+    bags = {i: shingle_counts(t) for i, t in rows}
+    want = collections.Counter()
+    for k, (a, _) in enumerate(rows):
+        for b, _ in rows[k + 1 :]:
+            both = sum((bags[a] & bags[b]).values())
+            if both / (sum(bags[a].values()) + sum(bags[b].values()) - both) >= 0.8:
+                want[a] += 1
+                want[b] += 1
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+    assert {r.doc_id: r.links for r in got} == {i: want[i] for i in bags} and max(want.values()) > 40
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(4)
     gram = rng.integers(1, 2**63, 300).astype(np.uint64)
