@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +65,29 @@ def result_hash(json: Column) -> Column:
 def hash_chain(df: DataFrame, ledger: str, order: list[str], payload: Column) -> DataFrame:
     """Each ledger's rows with sequence, prev_entry_hash and entry_hash = sha256(payload + previous).
 
-    A chain is sequential by nature: the rows of one ledger are folded by one task, from slim (order, payload) rows.
+    A chain is sequential by nature: the rows of one ledger pass through one task in order, which keeps the last hash alone.
+    A null payload has a null hash, and so have the rows after it.
     """
-    rows = df.select(F.col(ledger).alias("ledger"), F.struct(*order, payload.alias("payload")).alias("r"))
-    listed = rows.groupBy("ledger").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    step = lambda acc, r: F.concat(acc, F.array(F.sha2(F.concat(r["payload"], F.element_at(acc, -1)), 256)))
-    chained = listed.withColumn("hashes", F.aggregate("rows", F.array(F.lit(GENESIS)), step))
-    out = chained.select("ledger", "hashes", F.posexplode("rows").alias("i", "r"))
-    return out.select("ledger", (F.col("i") + 1).cast("long").alias("sequence"), "r.*", F.get("hashes", F.col("i")).alias("prev_entry_hash"), F.get("hashes", F.col("i") + 1).alias("entry_hash"))
+    rows = df.select(F.col(ledger).alias("ledger"), *order, payload.cast("string").alias("payload"))
+    dealt = rows.repartition("ledger").sortWithinPartitions("ledger", *order, "payload")
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in ("ledger", *order, "payload")] + ["sequence LONG", "prev_entry_hash STRING", "entry_hash STRING"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sequence, last = object(), 0, GENESIS
+        for batch in batches:
+            out = []
+            for name, text in zip(batch.column("ledger").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if name != now:
+                    now, sequence, last = name, 0, GENESIS
+                before, sequence = last, sequence + 1
+                last = None if text is None or before is None else hashlib.sha256((text + before).encode()).hexdigest()
+                out.append((sequence, before, last))
+            more = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "sequence", "prev_entry_hash", "entry_hash"])
+
+    chained = dealt.mapInArrow(follow, schema)
+    return chained.select("ledger", "sequence", *order, "payload", "prev_entry_hash", "entry_hash")
 
 
 def broken_links(chain: DataFrame) -> DataFrame:

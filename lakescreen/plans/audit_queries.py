@@ -46,6 +46,11 @@ def _chain(s, d):
     return audit.hash_chain(o, "operator_id", ["created_at", "id"], F.concat_ws("|", "run_id", "status")).select("ledger", "sequence", "id", "prev_entry_hash", "entry_hash")
 
 
+def _chain_whole(s, d):
+    """All ledgers; ledger_hash_chain holds the operators that its SQL does."""
+    return audit.hash_chain(screenings(s, d), "operator_id", ["created_at", "id"], F.concat_ws("|", "run_id", "status")).select("ledger", "sequence", "id", "prev_entry_hash", "entry_hash")
+
+
 def _verify(s, d):
     claims = screenings(s, d).select("id", F.when(F.col("id") % 11 != 0, F.sha2(F.concat_ws("|", "run_id", F.when(F.col("id") % 5 == 0, F.lit("edited")).otherwise(F.col("status"))), 256)).alias("computed"))
     stored = screenings(s, d).where("status <> 'processing'").select("id", F.sha2(F.concat_ws("|", "run_id", "status"), 256).alias("stored"))
@@ -102,6 +107,7 @@ QUERIES = {
     "audit_record": _records,
     "canonical_hash": _canonical,
     "ledger_hash_chain": _chain,
+    "ledger_hash_chain_whole": _chain_whole,
     "verify_ladder": _verify,
     "anchor_idempotent": _anchor,
     "ruleset_resolution": _resolution,
@@ -136,6 +142,9 @@ SQL = {
     "ledger_hash_chain": f"""WITH RECURSIVE {SCREENINGS_SQL}, o AS (SELECT operator_id AS ledger, id, run_id || '|' || status AS payload, row_number() OVER (PARTITION BY operator_id ORDER BY created_at, id) AS sequence FROM scr WHERE operator_id % 10 = operator_id % 1000),
       c AS (SELECT ledger, sequence, id, repeat('0', 64) AS prev_entry_hash, sha256(payload || repeat('0', 64)) AS entry_hash FROM o WHERE sequence = 1
         UNION ALL SELECT o.ledger, o.sequence, o.id, c.entry_hash, sha256(o.payload || c.entry_hash) FROM c JOIN o ON o.ledger = c.ledger AND o.sequence = c.sequence + 1) SELECT * FROM c""",
+    "ledger_hash_chain_whole": f"""WITH RECURSIVE {SCREENINGS_SQL}, o AS (SELECT operator_id AS ledger, id, run_id || '|' || status AS payload, row_number() OVER (PARTITION BY operator_id ORDER BY created_at, id) AS sequence FROM scr),
+      c AS (SELECT ledger, sequence, id, repeat('0', 64) AS prev_entry_hash, sha256(payload || repeat('0', 64)) AS entry_hash FROM o WHERE sequence = 1
+        UNION ALL SELECT o.ledger, o.sequence, o.id, c.entry_hash, sha256(o.payload || c.entry_hash) FROM c JOIN o ON o.ledger = c.ledger AND o.sequence = c.sequence + 1) SELECT * FROM c""",
     "ruleset_resolution": """WITH q AS (SELECT c_custkey AS request_id, n_name AS country, CASE c_custkey % 3 WHEN 0 THEN 'passport' WHEN 1 THEN 'visa' ELSE 'other' END AS doc_type FROM customer JOIN nation ON c_nationkey = n_nationkey)
       SELECT *, CASE WHEN country = 'NATION_1' AND doc_type = 'passport' THEN 'nation one passport' WHEN country = 'NATION_2' AND doc_type = 'visa' THEN 'nation two visa' WHEN doc_type = 'other' THEN 'generic' ELSE doc_type END AS ruleset FROM q""",
     "duplicate_number": """WITH r AS (SELECT p_partkey % 700 AS run, 'N' || p_size AS value, p_brand AS name, p_partkey AS pos FROM part), l AS (SELECT *, lag(name) OVER (PARTITION BY run, value ORDER BY pos) AS earlier_name FROM r)

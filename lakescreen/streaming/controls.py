@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,15 +32,15 @@ def failure_runs(events: DataFrame, failed: Column, key: str = "user_id", order:
     return events.withColumn("run", run).where(failed).groupBy(key, "run").agg(F.count(F.lit(1)).alias("failures"), F.min(order[0]).alias("first_failure"))
 
 
-def _step(failures: int, locked_until: float | None, now: float, failed: bool) -> tuple[int, float | None, str]:
-    """State after one attempt, and what becomes of the attempt."""
-    if locked_until is not None and now < locked_until:
+def _step(failures: int, locked_until: float | None, now: float | None, failed: bool, second: int = 1) -> tuple[int, float | None, str]:
+    """State after one attempt, and what becomes of the attempt. second is a second in the unit of the times."""
+    if locked_until is not None and now is not None and now < locked_until:
         return failures, locked_until, "locked"
     if not failed:
         return 0, None, "accepted"
     failures += 1
     if failures >= MAX_FAILURES:
-        return 0, now + LOCK_MINUTES * 60, "lock"
+        return 0, None if now is None else now + LOCK_MINUTES * 60 * second, "lock"
     return failures, None, "rejected"
 
 
@@ -72,23 +73,22 @@ def lockout_stream(attempts: DataFrame, lateness: str = "10 minutes") -> DataFra
 def lockout(attempts: DataFrame) -> DataFrame:
     """The batch form: (user_id, event_id, outcome), each user's attempts in order of ts, then event_id.
 
-    A fold over a slim array of one user's attempts, in Spark's own expressions.
+    One user's attempts pass through one task in order, which keeps the state of the lock alone.
     """
-    listed = attempts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(micros("ts").alias("t"), F.col("event_id"), F.col("failed")))).alias("a"))
-    zero = F.struct(F.lit(0).alias("failures"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("outcome"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        locked = F.coalesce(x["t"] < last["until"], F.lit(False))
-        reached = last["failures"] + 1 >= MAX_FAILURES
-        row = (
-            F.when(locked, F.struct(last["failures"].alias("failures"), last["until"].alias("until"), F.lit("locked").alias("outcome")))
-            .when(~x["failed"], F.struct(F.lit(0).alias("failures"), F.lit(None).cast("long").alias("until"), F.lit("accepted").alias("outcome")))
-            .when(reached, F.struct(F.lit(0).alias("failures"), (x["t"] + LOCK_MINUTES * 60_000_000).alias("until"), F.lit("lock").alias("outcome")))
-            .otherwise(F.struct((last["failures"] + 1).alias("failures"), F.lit(None).cast("long").alias("until"), F.lit("rejected").alias("outcome")))
-        )
-        return F.concat(acc, F.array(row))
-
-    states = listed.withColumn("s", F.aggregate("a", F.array(zero), step))
-    rows = states.select("user_id", F.posexplode(F.arrays_zip("a", F.slice("s", 2, F.size("a")).alias("s"))).alias("i", "r"))
-    return rows.select("user_id", F.col("r.a.event_id").alias("event_id"), F.col("r.s.outcome").alias("outcome"))
+    rows = attempts.select("user_id", micros("ts").alias("t"), "event_id", "failed")
+    dealt = rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id", "failed")
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, failures, until = object(), 0, None
+        for batch in batches:
+            out = []
+            for user, t, failed in zip(*(batch.column(c).to_pylist() for c in ("user_id", "t", "failed")), strict=True):
+                if user != now:
+                    now, failures, until = user, 0, None
+                # without a time no lock holds and none begins; a null counts as failed
+                failures, until, what = _step(failures, until, t, failed is None or failed, 1_000_000)
+                out.append(what)
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), pa.array(out, pa.string())], ["user_id", "event_id", "outcome"])
+
+    return dealt.mapInArrow(follow, f"user_id {types['user_id']}, event_id {types['event_id']}, outcome STRING")

@@ -1,12 +1,14 @@
 """Operators on small fixtures."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakescreen.functions import mrz, text, vectors
 from lakescreen.operators import audit, fusion, risk, validation
+from lakescreen.plans import catalogue
 from lakescreen.sources import readers
 from lakescreen.streaming import controls
 
@@ -97,6 +99,43 @@ def test_text_functions(spark):
     assert (row.hop, row.dates, row.s, row.r) == ("2.2.2.2", ["2021-04-03", "2020-01-02"], "a", "no ###### ok 12345")
 
 
+def test_folds_keep_no_group(spark):
+    """Long groups over several Arrow batches, by hand; no plan gathers a group into an array."""
+    rows = [(g, k, f"{g}-{k}") for g in range(3) for k in range(700)]
+    df = spark.createDataFrame(rows, "ledger long, at long, body string").repartition(5)
+    attempts = df.select(F.col("ledger").alias("user_id"), F.timestamp_seconds(F.col("at") * 60).alias("ts"), F.col("at").alias("event_id"), (F.col("at") % 9 != 0).alias("failed"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        frames = audit.hash_chain(df, "ledger", ["at"], F.col("body")), controls.lockout(attempts)
+        assert not any("collect_list" in f._jdf.queryExecution().toString() for f in frames)
+        chain, locks = (f.collect() for f in frames)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, outcomes = {}, {}
+    for g in range(3):
+        last, failures, until = "0" * 64, 0, -1
+        for k in range(700):
+            before, last = last, hashlib.sha256(f"{g}-{k}{last}".encode()).hexdigest()
+            want[g, k] = (k + 1, before, last)
+            if k * 60 < until:
+                what = "locked"
+            elif k % 9 == 0:
+                what, failures = "accepted", 0
+            else:
+                failures += 1
+                what = "lock" if failures == 5 else "rejected"
+                if what == "lock":
+                    failures, until = 0, k * 60 + 900
+            outcomes[g, k] = what
+    assert {(r.ledger, r["at"]): (r.sequence, r.prev_entry_hash, r.entry_hash) for r in chain} == want
+    assert {(r.user_id, r.event_id): r.outcome for r in locks} == outcomes
+
+
+def test_whole_ledger_query_has_every_screening(spark):
+    folder = "/root/testdata/sf0.001"
+    assert catalogue.queries()["ledger_hash_chain_whole"](spark, folder).count() == spark.read.parquet(f"{folder}/orders.parquet").count()
+
+
 def test_lockout_stream_equals_batch(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     rows = [(u, i, start + datetime.timedelta(minutes=3 * i + u), (i + u) % 4 != 0) for u in range(3) for i in range(24)]
