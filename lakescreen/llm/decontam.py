@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Seeds are the word n-grams of the test items (``seed_words`` long, lower-cased words without outer punctuation). Their places
-   in the corpus are counted in Spark; a seed is rare if it occurs in at most ``rare`` places.
-2. A document and an item become a candidate pair where they share a rare seed or two different seeds. Seeds that are not
-   rare still count, so an item that a third of the corpus repeats is not lost.
+1. Seeds are the word n-grams of the test items (``seed_words`` long, lower-cased words without outer punctuation).
+2. A document and an item become a candidate pair where they share a seed, however often the seed occurs in the corpus. So an
+   item that a third of the corpus repeats is not lost.
 3. The passage around the pair's seeds is aligned with the item, word by word (match +2, other word -1, gap -1). The pair is
-   reported if the best local score is at least ``threshold`` of what the whole item would score with itself.
+   reported if the best local score is at least ``threshold`` of what the whole item would score with itself. A passage
+   that holds too few of the item's words for that is not aligned.
 
 Test items are sent to the tasks in blocks of at most ``block_bytes`` of text; a larger test set takes as many passes over the
 corpus as it has blocks, so its size is never bounded by memory. Documents are not shuffled at all.
@@ -89,16 +89,14 @@ def _hits(block: dict, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, row, np.concatenate(places), np.concatenate(grams)
 
 
-def _passages(block: dict, hashes: np.ndarray, first: int, end: int, hits: list, rare: set, threshold: float) -> Iterator[tuple]:
+def _passages(block: dict, hashes: np.ndarray, first: int, end: int, hits: list, threshold: float) -> Iterator[tuple]:
     """Alignments of the document words[first:end] with each item that its seeds point to."""
     by_item: dict[int, list] = {}
     for place, gram in hits:
         lo, hi = np.searchsorted(block["seeds"], [gram, gram + np.uint64(1)]) if gram != np.uint64(2**64 - 1) else (np.searchsorted(block["seeds"], gram), len(block["seeds"]))
         for k in range(lo, hi):
-            by_item.setdefault(int(block["item"][k]), []).append((place, int(block["place"][k]), int(gram)))
+            by_item.setdefault(int(block["item"][k]), []).append((place, int(block["place"][k])))
     for k, found in by_item.items():
-        if not any(g in rare for _, _, g in found) and len({g for _, _, g in found}) < 2:
-            continue
         item_id, item = block["items"][k]
         reach, found = len(item) + 4, sorted(found)
         best, at = 0.0, (0, 0)
@@ -109,15 +107,17 @@ def _passages(block: dict, hashes: np.ndarray, first: int, end: int, hits: list,
             while j + 1 < len(found) and found[j + 1][0] - found[i][0] < reach:
                 j += 1
             stop = min(end, found[j][0] + reach)
-            value, to = align(item, hashes[start:stop])
-            if value > best:
-                best, at = value, (start - first, start - first + to)
+            # each word that matches scores MATCH, so its share of the item bounds the score
+            if np.isin(item, hashes[start:stop]).mean() >= threshold:
+                value, to = align(item, hashes[start:stop])
+                if value > best:
+                    best, at = value, (start - first, start - first + to)
             i = j + 1
         if best >= threshold:
             yield item_id, best, at[0], at[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, rare: int = 8, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, score (0 to 1), start and end (words of the document) of each pair that aligns."""
     session = docs.sparkSession
     slim = docs.select("doc_id", "text")
@@ -130,20 +130,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, rar
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         shared = session.sparkContext.broadcast(_block(part.collect(), seed_words))
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, at = texts(batch.column(0))
-                for lo, hi in chunks(at):
-                    gram = _hits(shared.value, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])[3]
-                    if len(gram):
-                        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["seed"])
-
-        seen = slim.select("text").mapInArrow(count, "seed BIGINT").groupBy("seed").count().where(F.col("count") <= rare)
-        # no more rows than the block has seeds
-        few = session.sparkContext.broadcast(np.array([r.seed for r in seen.select("seed").collect()], np.int64).view(np.uint64))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, few=few) -> Iterator[pa.RecordBatch]:
-            block, rare_seeds = shared.value, set(few.value.tolist())
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
             for batch in batches:
                 raw, at = texts(batch.column(1))
                 found, ids = [], []
@@ -157,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 4, rar
                     for p, g in zip(np.split(places, cuts), np.split(grams, cuts), strict=True):
                         r = row[p[0]]
                         first, end = np.searchsorted(row, [r, r + 1])
-                        for hit in _passages(block, hashes, int(first), int(end), list(zip(p.tolist(), g, strict=True)), rare_seeds, threshold):
+                        for hit in _passages(block, hashes, int(first), int(end), list(zip(p.tolist(), g, strict=True)), threshold):
                             found.append(hit)
                             ids.append(lo + int(r))
                 if found:

@@ -177,6 +177,19 @@ def test_copies_and_edits_are_found(spark, docs, corpus):
     assert all(r.score >= 0.5 for r in found) and max(r.score for r in found if r.doc_id == 901) == 1.0
 
 
+def test_frequent_seeds_lose_nothing(spark):
+    """A short item, an edit with one seed and edits of every fourth word, each in twenty documents."""
+    rng = np.random.default_rng(31)
+    item = [f"i{k}" for k in range(12)]
+    one = ["x", *item[1:3], "y", *item[4:8], "z", *item[9:11], "u"]  # of four words, one n-gram is left
+    fourth = [w if k % 4 != 3 else f"e{k}" for k, w in enumerate(item)]
+    planted = {0: "quite short item", 1: " ".join(one), 2: " ".join(fourth), 3: " ".join(item[:3])}
+    rows = [(100 * kind + k, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for kind, passage in planted.items() for k in range(20)]
+    items = spark.createDataFrame([(1, "Quite short item."), (2, " ".join(item))], "item_id long, text string")
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert collections.Counter((r.doc_id // 100, r.item_id) for r in found) == {(0, 1): 20, (1, 2): 20, (2, 2): 20}
+
+
 def test_many_blocks_give_the_same(spark, docs, corpus):
     items = spark.createDataFrame([(i, corpus[i][1]) for i in range(5, 25)], "item_id long, text string")
     one = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect())
