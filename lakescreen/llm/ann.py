@@ -9,7 +9,7 @@ Each tile returns its heaps, and the k best of all tiles are the result, so noth
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do rows with a null
 id; vectors of different length are not compared; ties go to the smaller id; a query is not its own candidate, whatever rows repeat
-its id; repeated candidate rows are returned once; an empty table gives no rows; other columns are not read.
+its id; repeated candidate rows count once, and an id with several vectors by the best of them; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ def usable(vector: str) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", tile_rows: int = 8192, tile_queries: int = 2048) -> DataFrame:
     """query_id, rank (from 1), the id and score of the k nearest of each query by inner product."""
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
     counted = rows.agg(F.count("*"), F.count_if("asks")).first()
     stripes, columns = max(1, -(-counted[0] // tile_rows)), max(1, -(-counted[1] // tile_queries))
     spread = F.sequence(F.lit(0), F.lit(columns - 1))
@@ -104,12 +105,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             ids, q_ids = rest["id"].to_numpy(), asks["id"].to_numpy()
             if not len(asks) or not len(rest):
                 continue
-            by = np.argsort(ids, kind="stable")
-            heaps = search_tile(q_ids, np.stack(asks["v"].to_numpy()), ids[by], np.stack(rest["v"].to_numpy())[by], k)
-            out += [(q, -n, s) for q, heap in zip(q_ids.tolist(), heaps, strict=True) for s, n in heap]
+            q, v = np.stack(asks["v"].to_numpy()), np.stack(rest["v"].to_numpy())
+            # an id's first vectors, then the second ones and so on: in each search an id has one vector, so that floors count ids
+            turn = rest.groupby("id").cumcount().to_numpy()
+            for t in range(turn.max() + 1):
+                one = np.flatnonzero(turn == t)
+                by = one[np.argsort(ids[one], kind="stable")]
+                heaps = search_tile(q_ids, q, ids[by], v[by], k)
+                out += [(name, -n, s) for name, heap in zip(q_ids.tolist(), heaps, strict=True) for s, n in heap]
         return pd.DataFrame(out, columns=["query_id", "near", "score"])
 
-    found = tiles.groupBy("stripe", "col").applyInPandas(tile, "query_id LONG, near LONG, score DOUBLE").distinct()
+    found = tiles.groupBy("stripe", "col").applyInPandas(tile, "query_id LONG, near LONG, score DOUBLE")
+    found = found.groupBy("query_id", "near").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "near")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), F.col("near").alias(id_col), "score")

@@ -59,6 +59,24 @@ def test_nearest_equals_brute_force(spark):
     assert set(got) == {q for q, _ in good if q % 20 == 0}
 
 
+def test_repeated_candidates_take_one_place(spark):
+    """A table three times over, and one id with thirty vectors that are better than all others."""
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(size=8)) for i in range(120)]
+    vectors += [(500, vectors[0][1] * (5 + k)) for k in range(30)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors] * 3, "vec_id long, embedding array<double>")
+    for tile_rows in (10000, 100):
+        got = collections.defaultdict(list)
+        for r in ann.nearest(df, F.col("vec_id").isin(0, 1), 6, tile_rows=tile_rows).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        for q in (0, 1):
+            best = {}
+            for i, v in vectors:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(v @ vectors[q][1]))
+            assert got[q] == sorted(best, key=lambda i: -best[i])[:6]
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(50, 70)), rng.normal(size=(60, 70)) * 10
