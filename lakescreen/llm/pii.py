@@ -106,7 +106,9 @@ _NUMBER_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _LOOKALIKES = re.compile("[" + re.escape("".join(_LOOKALIKE)) + "]")
 _BRACKETED = re.compile(r"[\[({<]\s?(?:at|dot)\s?[\])}>]")
 _DOT_WORD = re.compile(r"\bdot\b")
-_NUMBER_WORDS = frozenset(_SPELLED) - {"plus"}
+_AT_WORD = re.compile(r"\sat\s+[a-z0-9-]+\.")
+#: Letters that re.I takes for i, s or k, but that lower() keeps or splits.
+_ODD_CASE = re.compile("[\u0130\u0131\u017f\u212a]")
 _NUMBERS = re.compile(r"\b" + _NUMBER_WORD + r"[\s-]+(?:" + _NUMBER_WORD + r"|[0-9])")
 _REWRITE = re.compile(
     r"(?P<at>\s*[\[({<]\s?at\s?[\])}>]\s*)"
@@ -146,15 +148,15 @@ def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int, int]]]:
 
 
 def _disguised(lower: str) -> bool:
-    """Whether there is anything to rewrite; plain prose is passed over quickly."""
+    """Whether there may be anything to rewrite, at least where _REWRITE finds something; plain prose is passed over quickly."""
     if _BRACKETED.search(lower) or ("dot" in lower and _DOT_WORD.search(lower)):
         return True
-    return not _NUMBER_WORDS.isdisjoint(lower.replace("-", " ").split()) and _NUMBERS.search(lower) is not None
+    return _AT_WORD.search(lower) is not None or _NUMBERS.search(lower) is not None
 
 
 def disguised_spans(text: str) -> list[Span]:
     """Spans of the source that are identifiers only after rewriting."""
-    lookalike = not text.isascii() and _LOOKALIKES.search(text) is not None
+    lookalike = not text.isascii() and (_LOOKALIKES.search(text) or _ODD_CASE.search(text)) is not None
     if not lookalike and not _disguised(text.lower()):
         return []
     rewritten, starts, pieces = normalise(text)
