@@ -6,8 +6,9 @@ are trained jointly in numpy, by Adagrad; rows set aside choose the epoch. Missp
 they stand for. For scoring, embedding and softmax are multiplied into one weight for each bucket.
 
 Bounds: the model is fitted on at most ``max_rows`` labelled documents and ``max_bytes`` of text, chosen by a hash of doc_id,
-toxic and other rows alike up to half each, with weights that give back the share of toxic ones. Scoring covers every
-document and its whole text.
+toxic and other rows alike up to half each, with weights that give back the share of toxic ones. A document teaches by its
+first ``max_bytes`` / ``LONG`` bytes at most, so that no single one takes the room of the others; only rows that have a text are chosen.
+Scoring covers every document and its whole text.
 
 Defined cases: a text that is null, or has no n-gram, gets the score of the bias alone; a label that is null, or a labelled
 document that is missing, teaches nothing; without both labels among the rows that teach, all scores are the share of
@@ -28,6 +29,7 @@ from .common import chunks, held_out, mix64, texts
 
 BITS, DIM, SIZES, SCALE, DECAY = 17, 4, (3, 4, 5, 6), 100.0, 1e-4
 BUCKETS = 1 << BITS
+LONG = 64
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 0x20  # anything in ASCII but letters and digits ends a word
@@ -146,13 +148,16 @@ def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: i
     prior = total[1] or 0.0
     order = F.xxhash64("doc_id")
     half = max_rows // 2
-    picked = known.where("toxic = 1").orderBy(order).limit(half).unionByName(known.where("toxic != 1").orderBy(order).limit(half))
-    lengths = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("bytes"))
+    bound = max(1, max_bytes // LONG)
+    taught = docs.where("text is not null").select("doc_id", F.least(F.octet_length("text"), F.lit(bound)).alias("bytes")).join(known, "doc_id")
+    taught = taught.groupBy("doc_id", "toxic").agg(F.max("bytes").alias("bytes"))
+    picked = taught.where("toxic = 1").orderBy(order).limit(half).unionByName(taught.where("toxic != 1").orderBy(order).limit(half))
     fits = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fitting = lengths.withColumn("sum", F.sum("bytes").over(fits)).where(F.col("sum") <= max_bytes // 2).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(fitting), "doc_id").where("text is not null").collect()
+    fitting = picked.withColumn("sum", F.sum("bytes").over(fits)).where(F.col("sum") <= max_bytes // 2).select("doc_id", "toxic")
+    # so many characters hold so many bytes at least
+    rows = docs.select("doc_id", F.substring("text", 1, bound).alias("text")).join(F.broadcast(fitting), "doc_id").where("text is not null").collect()
     rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: r.doc_id)
-    return fit([r.text.encode() for r in rows], np.array([int(r.toxic == 1) for r in rows]), prior)
+    return fit([r.text.encode()[:bound] for r in rows], np.array([int(r.toxic == 1) for r in rows]), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

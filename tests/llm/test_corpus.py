@@ -114,6 +114,20 @@ def test_toxicity_learns_and_knows_misspellings(spark):
     assert a > 0.3 > b
 
 
+def test_long_documents_leave_room(spark, monkeypatch):
+    """Texts larger than the whole budget, and labels without a document, do not empty the sample of their class."""
+    rng = np.random.default_rng(6)
+    rows = [(i, prose(rng, 30) + (" awful nasty words" if i % 2 else " kind gentle words")) for i in range(200)]
+    rows += [(1000 + i, (prose(rng, 20) + (" awful nasty words " if i % 2 else " kind gentle words ")) * 400) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(5000 + i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda documents, labels, prior: (documents, labels))
+    documents, toxic = toxicity.teach(docs, labels, max_rows=40, max_bytes=32768)
+    assert collections.Counter(toxic.tolist()) == {0: 20, 1: 20} and max(len(d) for d in documents) == 512
+    # texts within the bound are taught whole
+    assert {d.decode() for d in documents if len(d) < 512} <= {t for _, t in rows}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
