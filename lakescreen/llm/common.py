@@ -19,7 +19,6 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +26,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; where none is named (tests), a temporary one."""
+    """The folder that the cluster names for checkpoints. Only a local session, where driver and tasks share a disk, may go without a name."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -59,13 +61,18 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n and their inverses modulo 2**64 (base is odd)."""
-    if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(CHUNK_BYTES + 1, n + 1)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[base]
+    """base**0..n and their inverses modulo 2**64 (base is odd). Nothing is kept, as functions of this package are pickled with their globals."""
+    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def fresh(wanted: str, taken: list[str]) -> str:
+    """A column name that no name in taken equals, whatever its case."""
+    low = {t.lower() for t in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,11 +7,12 @@
    reported if the best local score is at least ``threshold`` of what the whole item would score with itself. A passage
    that holds too few of the item's words for that is not aligned.
 
-Test items are sent to the tasks in blocks of at most ``block_bytes`` of text; a larger test set takes as many passes over the
-corpus as it has blocks, so its size is never bounded by memory. Documents are not shuffled at all.
+Test items are sent to the tasks in blocks of at most ``block_bytes`` of text, or one longer item; a larger test set takes as many passes
+over the corpus as it has blocks, so its size is never bounded by memory. Documents are not shuffled at all.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than seed_words words have the whole item as their
-seed; repeated rows are reported each; documents and items with a null id take part under it; other columns are not read.
+seed; repeated rows are reported each; documents and items with a null id take part under it; of several best alignments of a pair
+the first counts; empty tables give no pairs; other columns are not read by ``contaminated`` and pass through ``flagged``.
 """
 
 from __future__ import annotations
@@ -111,43 +112,59 @@ def _passages(block: dict, hashes: np.ndarray, first: int, end: int, hits: list,
             if np.isin(item, hashes[start:stop]).mean() >= threshold:
                 value, to = align(item, hashes[start:stop])
                 if value > best:
-                    best, at = value, (start - first, start - first + to)
+                    # the same alignment read backwards ends where it begins
+                    back = align(item[::-1], hashes[start : start + to][::-1])[1]
+                    best, at = value, (start - first + to - back, start - first + to)
             i = j + 1
         if best >= threshold:
             yield item_id, best, at[0], at[1]
 
 
+def _blocks(benchmark: DataFrame, seed_words: int, block_bytes: int) -> Iterator[dict]:
+    """The items in blocks of block_bytes of text; the driver holds one block at a time. There is one block at least."""
+    rows, held, made = [], 0, False
+    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator(prefetchPartitions=False):
+        size = len(r.text)
+        if rows and held + size > block_bytes:
+            yield _block(rows, seed_words)
+            rows, held, made = [], 0, True
+        rows.append(r)
+        held += size
+    if rows or not made:
+        yield _block(rows, seed_words)
+
+
+def _found(block: dict, column: pa.Array, threshold: float) -> tuple[list[tuple], list[int]]:
+    """The pairs of one batch of texts, and the row of each."""
+    raw, at = texts(column)
+    found, ids = [], []
+    for lo, hi in chunks(at):
+        hashes, row, places, grams = _hits(block, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        if not len(places):
+            continue
+        order = np.argsort(places, kind="stable")
+        places, grams = places[order], grams[order]
+        cuts = np.flatnonzero(np.diff(row[places])) + 1
+        for p, g in zip(np.split(places, cuts), np.split(grams, cuts), strict=True):
+            r = row[p[0]]
+            first, end = np.searchsorted(row, [r, r + 1])
+            for hit in _passages(block, hashes, int(first), int(end), list(zip(p.tolist(), g, strict=True)), threshold):
+                found.append(hit)
+                ids.append(lo + int(r))
+    return found, ids
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, item_id, score (0 to 1), start and end (words of the document) of each pair that aligns."""
-    session = docs.sparkSession
+    """doc_id, item_id, score (0 to 1), start and end (words of the document, end exclusive) of the best alignment of each pair that aligns."""
     slim = docs.select("doc_id", "text")
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = session.sparkContext.broadcast(_block(part.collect(), seed_words))
+    for block in _blocks(benchmark, seed_words, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
             for batch in batches:
-                raw, at = texts(batch.column(1))
-                found, ids = [], []
-                for lo, hi in chunks(at):
-                    hashes, row, places, grams = _hits(block, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                    if not len(places):
-                        continue
-                    order = np.argsort(places, kind="stable")
-                    places, grams = places[order], grams[order]
-                    cuts = np.flatnonzero(np.diff(row[places])) + 1
-                    for p, g in zip(np.split(places, cuts), np.split(grams, cuts), strict=True):
-                        r = row[p[0]]
-                        first, end = np.searchsorted(row, [r, r + 1])
-                        for hit in _passages(block, hashes, int(first), int(end), list(zip(p.tolist(), g, strict=True)), threshold):
-                            found.append(hit)
-                            ids.append(lo + int(r))
+                found, ids = _found(shared.value, batch.column(1), threshold)
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(ids)), pa.array([f[0] for f in found]), pa.array([float(f[1]) for f in found]), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())],
@@ -157,3 +174,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, thr
         one = slim.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, score DOUBLE, start INT, end INT")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame, name: str = "leak", seed_words: int = 3, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+    """docs with a boolean column name: whether any item aligns with the text. Rows stay where they are: nothing is joined or shuffled."""
+    out = docs.withColumn(name, F.lit(False))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    for block in _blocks(benchmark, seed_words, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flag = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
+                flag[_found(shared.value, batch.column(batch.schema.get_field_index("text")), threshold)[1]] = True
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flag, pa.bool_())], batch.schema.names)
+
+        out = out.mapInArrow(mark, schema)
+    return out

@@ -15,7 +15,9 @@ Targets (``targets``): sources in order of code points, null last, have repeatin
 weight; a target stops at ``cap`` times its source's size, and the excess is shared again by weight.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, after the others; repeated
-rows are documents of their own; an empty table gives no rows; other columns are carried by ``mix`` untouched.
+rows are documents of their own, which rank by chance among each other; null ids are ids like others; an empty table gives no rows.
+Sizes are always counted from the text: a column size of the input is not read, nor are others but those named in ``carry``,
+which may have any name but those of the result.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def _settler(seed: int, level: int, last: bool):
     """The task that settles one group of a level; the last level leaves nothing open."""
 
     def settle_group(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "doc_id", "words"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["size", "doc_id", "content"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(group["rank"][0]), int(group["bucket"][0])])
         sizes, words = group["size"].to_numpy(float), group["words"].to_numpy(float).copy()
         draws = rng.random(len(group) + 1)
@@ -99,16 +101,13 @@ def _settler(seed: int, level: int, last: bool):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 11, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), and the columns in carry.
-
-    size is computed unless docs has it already.
-    """
-    sized = docs if "size" in docs.columns else with_sizes(docs)
-    slim = checkpoint(sized.select("doc_id", "source", "size", *carry))
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), and the columns in carry."""
+    sized = with_sizes(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("content"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    slim = checkpoint(sized)
     goals = checkpoint(targets(slim, weights, share, cap))
     largest = goals.agg(F.max("docs")).first()[0] or 0
     mixed = slim.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", "rank", "docs", "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
     mixed = mixed.withColumn("base", F.floor(rate).cast("int")).withColumn("words", (rate - F.floor(rate)) * F.col("size"))
     sure = (F.col("words") <= 0) | (F.col("words") >= F.col("size"))
     done = [mixed.where(sure).withColumn("more", F.lit(0))]
@@ -117,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     for level in range(levels):
         last = level == levels - 1
         rest = F.ceil(F.col("docs") / float(GROUP ** (level + 1)))
-        bucket = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), rest)
+        bucket = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", "content", F.lit(seed)), rest)
         grouped = open_.withColumn("bucket", bucket.cast("long"))
         schema = grouped.drop("bucket").withColumn("more", F.lit(0)).withColumn("open", F.lit(False)).schema
 
@@ -127,4 +126,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("more")).alias("copies"), *carry)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("more")).alias("copies"), *[F.col("carried")[c].alias(c) for c in carry])

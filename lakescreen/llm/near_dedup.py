@@ -12,16 +12,19 @@ nearly all components are filled; texts with empty components go on to the doubl
 
 Search. Equal texts become one representative first, however many there are. Signatures are cut into BANDS bands of ROWS components;
 representatives with an equal band share a bucket, and each pair that shares a bucket is compared, once. In a bucket of at most ``SMALL``
-the pairs are rows. Members of larger buckets meet in tiles of about ``PART`` by ``PART`` texts: a tile compares the pairs that share a
-larger bucket and no small one, and gives back a number of links for each text and a spanning forest of them, so that what leaves it grows
-with its texts and not with its pairs. Tiles are cut from all texts that larger buckets join, or from each such bucket by itself
-where that is fewer pairs; a pair then belongs to the first larger bucket that it shares. Comparing a group of n texts takes about
-n * n / 2 comparisons, and each text is sent to n / PART tiles.
+the pairs are rows, without those whose sizes alone keep them below the threshold. Members of larger buckets meet in tiles of at most about
+``PART`` by ``PART`` texts and ``ELEMENTS`` shingles a side: a tile counts the shingles that its texts share by one matrix product, compares
+the pairs that share a larger bucket and no small one, and gives back a number of links for each text and a star of each class that it saw, so
+that what leaves it grows with its texts and not with its pairs. Tiles are cut from all texts that larger buckets join, or from each such
+bucket by itself where that is fewer pairs; a pair then belongs to the first larger bucket that it shares. Comparing a group of n texts takes
+about n * n / 2 comparisons, and each text is sent to n / PART tiles.
 Candidates are verified on the full shingle multisets. Texts linked directly or through others form a class,
 named by its smallest doc_id.
 
 Defined cases: a text without words (null, empty, blank) is a class of its own, also beside equal ones; a null doc_id takes no part
-and is returned with a null class; rows that repeat a doc_id have one class if their texts do; an empty table gives no rows.
+and is returned with a null class; equal rows have one class; a doc_id that stands beside several texts names each of them, and a
+class in which no other doc_id stands is named by it; of the rows of a class exactly one distinct (doc_id, text) is its head; an empty
+table gives no rows; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +34,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, mix64, texts, window_hashes, word_hashes, words
+from .common import checkpoint, chunks, fresh, mix64, texts, window_hashes, word_hashes, words
 
 SHINGLE, BANDS, ROWS, SMALL = 5, 25, 5, 32
-PART, WHOLE = 256, 1
+PART, ELEMENTS, WHOLE = 256, 1 << 19, 1
+#: Rows of one bucket are dealt to this many tasks while buckets are counted and joined.
+SALTS = 32
+#: Names of texts whose doc_id another text has already; above all doc_ids.
+SURROGATE = 1 << 62
 SIGNATURE = BANDS * ROWS
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -123,7 +130,7 @@ def coded(row: np.ndarray, gram: np.ndarray, count: np.ndarray) -> tuple[np.ndar
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, and bands (empty for a text without words)."""
+    """doc_id, digest of the text, size (its shingles, copies counted) and bands (empty for a text without words)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +142,15 @@ def sketch(docs: DataFrame) -> DataFrame:
                 has = np.bincount(row, minlength=rows) > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[has].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), lists], ["doc_id", "digest", "bands"])
+                size = pa.array(np.bincount(row, count, rows).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), size, lists], ["doc_id", "digest", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("digest"), "text").mapInArrow(emit, "doc_id LONG, digest STRING, bands ARRAY<LONG>")
+    return docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("digest"), "text").mapInArrow(emit, "doc_id LONG, digest STRING, size LONG, bands ARRAY<LONG>")
 
 
-def _elements(docs: DataFrame) -> DataFrame:
+def _elements(texts_: DataFrame) -> DataFrame:
+    """id and elements of (id, text)."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = texts(batch.column(1))
@@ -149,7 +159,7 @@ def _elements(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))], ["id", "elements"])
 
-    return docs.mapInArrow(emit, "id LONG, elements ARRAY<LONG>")
+    return texts_.mapInArrow(emit, "id LONG, elements ARRAY<LONG>")
 
 
 def verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
@@ -161,64 +171,119 @@ def verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
     return both.select("a", "b", (shared / (F.size("ea") + F.size("eb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each text of left shares with each of right.
+
+    Elements that many texts hold are columns of a matrix product, 1,024 at a time; the pairs of texts that hold a rarer one are counted one by one.
+    """
+    sides = []
+    for side in (left, right):
+        sizes = np.array([len(e) for e in side])
+        sides.append((np.concatenate(side), np.repeat(np.arange(len(side)), sizes)))
+    (le, lr), (re_, rr) = sides
+    shape = len(left), len(right)
+    both = np.intersect1d(le, re_)
+    if not len(both):
+        return np.zeros(shape)
+
+    def place(e: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(both, e)
+        at[at == len(both)] = 0
+        hit = both[at] == e
+        by = np.argsort(at[hit], kind="stable")
+        return at[hit][by], r[hit][by]
+
+    (lc, lr), (rc, rr) = place(le, lr), place(re_, rr)
+    ln, rn = np.bincount(lc, minlength=len(both)), np.bincount(rc, minlength=len(both))
+    many = ln * rn > shape[0] * shape[1] // 100 + 1
+    out = np.zeros(shape, np.float64)
+    for at in range(0, int(many.sum()), 1024):
+        columns = np.flatnonzero(many)[at : at + 1024]
+        rank = np.full(len(both), -1)
+        rank[columns] = np.arange(len(columns))
+        dense = []
+        for c, r, n in ((lc, lr, shape[0]), (rc, rr, shape[1])):
+            one = np.zeros((n, len(columns)), np.float32)
+            pick = rank[c] >= 0
+            one[r[pick], rank[c[pick]]] = 1
+            dense.append(one)
+        out += dense[0] @ dense[1].T
+    pick = ~many[lc]
+    lc, lr = lc[pick], lr[pick]
+    first = np.cumsum(rn) - rn
+    for at in range(0, len(lc), 1 << 14):
+        c, r = lc[at : at + (1 << 14)], lr[at : at + (1 << 14)]
+        n = rn[c]
+        index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[c], n)
+        out += np.bincount(np.repeat(r, n) * shape[1] + rr[index], minlength=shape[0] * shape[1]).reshape(shape)
+    return out
+
+
+def _stars(linked: np.ndarray, names: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """(name, least name of its class) for the classes that the links of a tile join; names: those of the rows, then those of the columns."""
+    rows = linked.shape[0]
+    label = names.copy()
+    while True:
+        top = np.minimum(label[:rows], np.where(linked, label[None, rows:], SURROGATE * 2 - 1).min(1))
+        side = np.minimum(label[rows:], np.where(linked, top[:, None], SURROGATE * 2 - 1).min(0))
+        if same:
+            top = side = np.minimum(top, side)
+        new = np.concatenate([top, side])
+        if (new == label).all():
+            break
+        label = new
+    apart = np.flatnonzero(label != names)
+    return list(dict.fromkeys(zip(names[apart].tolist(), label[apart].tolist(), strict=True)))
+
+
 def _tile(threshold: float):
-    """Links of one tile by exact multiset overlap: (id, id, number of its links), and (a, b, 0) of a spanning forest."""
+    """Links of one tile by exact multiset overlap: (id, id, number of its links), and (id, least id of its class in the tile, 0)."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         x, y, cell, by_bucket = (group[c].iloc[0] for c in ("x", "y", "cell", "by_bucket"))
         left, right = group[group["part"] == x], group[group["part"] == y]
-        counts, forest, root = {}, [], {}
+        out: list[tuple[int, int, int]] = []
         if len(left) and len(right):
-            theirs, ids = np.stack(right["bands"].to_numpy()), right["id"].to_numpy()
-            elements = right["elements"].to_list()
-            sizes = np.array([len(e) for e in elements])
-            is_large = (theirs & 1) == 1
-
-            def find(k: int) -> int:
-                while (up := root.setdefault(k, k)) != k:
-                    root[k] = root[up]
-                    k = up
-                return k
-
-            for i, (name, bands_, mine) in enumerate(zip(left["id"].tolist(), left["bands"], left["elements"], strict=True)):
-                same = theirs == bands_
-                large = same & is_large
-                pick = large.any(1) & ~(same & ~is_large).any(1)
+            mine, theirs = left["elements"].to_list(), right["elements"].to_list()
+            shared = overlaps(mine, theirs)
+            sizes = np.array([len(e) for e in mine])[:, None] + np.array([len(e) for e in theirs])
+            linked = shared / (sizes - shared) >= threshold
+            if x == y:
+                linked = np.triu(linked, 1)
+            # of the linked pairs, those that meet in a large bucket and in no small one, here and nowhere else
+            a, b = np.nonzero(linked)
+            lb, rb = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
+            for at in range(0, len(a), 1 << 14):
+                i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                same = lb[i] == rb[j]
+                large = same & ((lb[i] & 1) == 1)
+                here = large.any(1) & (large == same).all(1)
                 if by_bucket:
-                    pick &= bands_[large.argmax(1)] == cell
-                if x == y:
-                    pick[: i + 1] = False
-                pick = np.flatnonzero(pick & (np.minimum(sizes, len(mine)) >= threshold * np.maximum(sizes, len(mine)) - 1e-9))
-                if not len(pick):
-                    continue
-                every, mine = np.concatenate([elements[k] for k in pick]), np.sort(mine)
-                at = np.searchsorted(mine, every)
-                at[at == len(mine)] = 0
-                shared = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes[pick]) - sizes[pick])
-                linked = ids[pick[shared / (len(mine) + sizes[pick] - shared) >= threshold]].tolist()
-                if linked:
-                    counts[name] = counts.get(name, 0) + len(linked)
-                for other in linked:
-                    counts[other] = counts.get(other, 0) + 1
-                    p, q = find(name), find(other)
-                    if p != q:
-                        root[p] = q
-                        forest.append((name, other, 0))
-        return pd.DataFrame([*((k, k, n) for k, n in counts.items()), *forest], columns=["a", "b", "n"])
+                    here &= lb[i, large.argmax(1)] == cell
+                linked[i[~here], j[~here]] = False
+            names = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
+            links_ = np.concatenate([linked.sum(1), linked.sum(0)])
+            counts = pd.Series(links_).groupby(names).sum()
+            out += [(k, k, n) for k, n in counts.items() if n]
+            out += [(k, root, 0) for k, root in _stars(linked | linked.T if x == y else linked, names, x == y)]
+        return pd.DataFrame(out, columns=["a", "b", "n"])
 
     return compare
 
 
 def _in_tiles(members: DataFrame, large: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """What the tiles give of all pairs that share a bucket of large (bucket, id, n) and no small one."""
-    hubs = large.groupBy("bucket").agg(F.min("id").alias("b"))
-    joined = components(large.join(hubs, "bucket").select(F.col("id").alias("a"), "b"))
-    named = checkpoint(large.join(joined, "id").select("bucket", "id", "n", "root"))
+    """What the tiles give of all pairs that share a bucket of large (bucket, id, n, hub, held) and no small one."""
+    joined = components(large.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    size = members.select("id", "size")
+    named = checkpoint(large.join(joined, "id").join(size, "id").select("bucket", "id", "n", "held", "root", "size"))
     # the sum of n over a group's slots is the sum of the squares of its buckets
-    cost = named.groupBy("root").agg(F.countDistinct("id").alias("m"), F.sum("n").alias("squares"))
+    of_ids = named.groupBy("root", "id").agg(F.sum("n").alias("squares"), F.first("size").alias("size"))
+    cost = of_ids.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("squares").alias("squares"), F.sum("size").alias("all"))
     named = named.join(cost.withColumn("by_bucket", F.col("m") * F.col("m") > F.col("squares") * WHOLE), "root")
+    by_bucket = F.col("by_bucket")
+    n, weight = F.when(by_bucket, F.col("n")).otherwise(F.col("m")), F.when(by_bucket, F.col("held")).otherwise(F.col("all"))
     cells = named.select(
-        "id", "by_bucket", F.when(F.col("by_bucket"), F.col("bucket").bitwiseOR(F.lit(1))).otherwise(F.col("root")).alias("cell"), F.ceil(F.when(F.col("by_bucket"), F.col("n")).otherwise(F.col("m")) / PART).alias("parts")
+        "id", "by_bucket", F.when(by_bucket, F.col("bucket").bitwiseOR(F.lit(1))).otherwise(F.col("root")).alias("cell"), F.greatest(F.ceil(n / PART), F.ceil(weight / ELEMENTS)).alias("parts")
     ).distinct()
     part = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     tiles = part.select("id", "by_bucket", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
@@ -230,23 +295,31 @@ def _in_tiles(members: DataFrame, large: DataFrame, elements: DataFrame, thresho
     return full.groupBy("cell", "by_bucket", "x", "y").applyInPandas(_tile(threshold), "a LONG, b LONG, n LONG")
 
 
+def _crowded(members: DataFrame) -> DataFrame:
+    """bucket, id, n, hub (least id) and held (sum of sizes) of each slot whose bucket has several members; no bucket's rows meet in one task."""
+    slots = members.select("id", "size", F.explode("bands").alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    salted = slots.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.sum("size").alias("held"))
+    whole = salted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("hub").alias("hub"), F.sum("held").alias("held"), F.collect_list("salt").alias("salts")).where("n > 1")
+    return slots.join(whole.select("bucket", F.explode("salts").alias("salt"), "n", "hub", "held"), ["bucket", "salt"]).select("bucket", "id", "n", "hub", "held", "size")
+
+
 def links(members: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of the verified links between representatives: (a, b) of enough of them to join the classes, and (id, links), how many each has.
 
-    members: id and bands of each representative.
+    members: doc_id, digest, id, size and bands of each representative; docs: the rows that hold their texts.
     """
-    slots = members.select("id", F.explode("bands").alias("bucket"))
-    crowded = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slots = checkpoint(slots.join(crowded, "bucket"))
-    # what is compared at all is read once more, as shingle multisets
-    some = slots.select("id").distinct()
-    elements = checkpoint(_elements(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(some, "id").dropDuplicates(["id"])))
-    small = slots.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pair = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    slots = checkpoint(_crowded(members))
+    # what is compared at all is read once more, as shingle multisets; copies of a text stay apart by their doc_ids
+    some = members.join(slots.select("id").distinct(), "id").select("doc_id", "digest", "id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("digest"), "text")
+    elements = checkpoint(_elements(rows.join(some, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("id", "text")))
+    small = slots.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("ids"))
+    near = lambda a: F.filter("ids", lambda b: (b["id"] > a["id"]) & (F.least(a["size"], b["size"]) >= threshold * F.greatest(a["size"], b["size"]) - 1e-9))
+    pair = F.flatten(F.transform("ids", lambda a: F.transform(near(a), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
     pairs = small.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
     found = checkpoint(verified(pairs, elements, threshold).select("a", "b"))
     counted = found.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
-    large = slots.where(F.col("n") > SMALL).select("bucket", "id", "n")
+    large = slots.where(F.col("n") > SMALL).select("bucket", "id", "n", "hub", "held")
     if not large.isEmpty():
         tiled = checkpoint(_in_tiles(members, large, elements, threshold))
         found = found.unionByName(tiled.where("a <> b").select("a", "b"))
@@ -270,17 +343,59 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+def representatives(rows: DataFrame) -> DataFrame:
+    """digest, salts, doc_id (the smallest), id, size and bands of each different text; id is the doc_id, or for further texts of one doc_id a name of its own."""
+    exact = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.collect_set("salt").alias("salts"))
+    first = Window.partitionBy("doc_id").orderBy("digest")
+    own = F.row_number().over(first)
+    # a written column: what names a text has to stay the same when a task is run again
+    return checkpoint(exact.withColumn("id", F.when(own == 1, F.col("doc_id")).otherwise(F.lit(SURROGATE) + F.monotonically_increasing_id())))
+
+
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (smallest doc_id of the class), representative of its exact text, links of that text."""
+    """One row for each row of docs: doc_id, class_id (smallest doc_id of the class), representative of its exact text, links of that text, digest and head.
+
+    links counts the other different texts that are similar enough; head says whether the row is the (doc_id, text) that stays of its class.
+    """
     all_rows = checkpoint(sketch(docs))
-    texts_ = all_rows.where(F.size("bands") > 0).where("doc_id IS NOT NULL")
-    exact = checkpoint(texts_.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    edges, degree = links(exact.select("id", "bands"), docs, threshold)
+    worded = all_rows.where(F.size("bands") > 0).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    exact = representatives(worded.where("doc_id IS NOT NULL"))
+    edges, degree = links(exact.drop("salts"), docs, threshold)
     root = components(edges)
-    named = exact.select("digest", "id").join(root, "id", "left").join(degree, "id", "left")
-    named = named.select("digest", F.col("id").alias("representative"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    worded = all_rows.where(F.size("bands") > 0).select("doc_id", "digest").join(named, "digest")
-    blank = all_rows.where(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("representative"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    named = exact.select("digest", "salts", "doc_id", "id").join(root, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = named.withColumn("class_id", F.when(F.col("root") < SURROGATE, F.col("root")))
+    # a class of further texts only takes the doc_id of its root
+    alone = named.where((F.col("root") >= SURROGATE) & (F.col("id") == F.col("root"))).select("root", F.col("doc_id").alias("alone"))
+    named = named.join(alone, "root", "left")
+    named = named.select(
+        "digest",
+        F.explode("salts").alias("salt"),
+        F.col("doc_id").alias("representative"),
+        F.coalesce("class_id", "alone").alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        (F.col("id") == F.col("root")).alias("first"),
+    )
+    out = worded.select("doc_id", "digest", "salt").join(named, ["digest", "salt"], "left")
     lost = F.col("doc_id").isNull()
-    out = worded.select("doc_id", "representative", "class_id", F.col("links").cast("long")).unionByName(blank)
-    return out.select("doc_id", F.when(~lost, F.col("class_id")).alias("class_id"), F.when(~lost, F.col("representative")).alias("representative"), "links")
+    out = out.select(
+        "doc_id",
+        F.when(~lost, F.col("class_id")).alias("class_id"),
+        F.when(~lost, F.col("representative")).alias("representative"),
+        F.when(~lost, F.col("links")).otherwise(0).cast("long").alias("links"),
+        "digest",
+        (lost | (F.col("first") & (F.col("doc_id") == F.col("representative")))).alias("head"),
+    )
+    blank = all_rows.where(F.size("bands") == 0)
+    blank = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("representative"), F.lit(0).cast("long").alias("links"), "digest", F.lit(True).alias("head"))
+    return out.unionByName(blank)
+
+
+def heads(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs without near duplicates: of each class the row that names it, once; rows with a null doc_id stay, equal ones once.
+
+    Which rows stay is settled on ids and digests; texts are shuffled once.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit("")))
+    name = fresh("_row", docs.columns)
+    stay = classes(docs, threshold).where("head").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("digest", F.lit(""))).alias(name)).distinct()
+    return docs.withColumn(name, key).join(stay, name).dropDuplicates([name]).drop(name)

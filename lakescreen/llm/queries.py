@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, lmscore, mixing, near_dedup, pii, substring_dedup, toxicity
+from . import ann, chat, decontam, langid, lmscore, mixing, near_dedup, pii, pipeline, substring_dedup, toxicity
 from .common import held_out, read_table
 
 
@@ -41,7 +41,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(read_table(spark, sf_dir, "documents"))
+    found = near_dedup.classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "representative", "links")
 
 
 def _joined(spans: Column) -> Column:
@@ -133,8 +134,6 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
         "op1_nearest": op1_nearest,
         "op2_toxicity": op2_toxicity,
@@ -146,7 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_mix": op9_mix,
         "op10_chat": op10_chat,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -160,10 +160,9 @@ def teach(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: i
     return fit([r.text.encode()[:bound] for r in rows], np.array([int(r.toxic == 1) for r in rows]), prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score: the probability of label 1, from the text alone."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column score (or named otherwise; one of that name is replaced): the probability of label 1, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    name = "score"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -175,4 +174,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     columns = docs.drop(name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields)
-    return columns.mapInArrow(apply, f"{schema}, {name} DOUBLE")
+    return columns.mapInArrow(apply, f"{schema}, `{name}` DOUBLE")
