@@ -1,76 +1,5 @@
-"""A corpus in five stages: toxic documents out, near duplicates down to one, test leaks out, personal data masked, sources mixed.
+"""The corpus pipeline's stages and its run; they live with the operators that they call."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written and read again as the next stage's docs.
-All but the last return the columns of docs; the last returns one row for each time that the mix takes a document, with the number
-of that copy and the document's source target.
+from lakescreen.llm.pipeline import ORACLE_SQL, STAGES, drop_leaks, drop_near_duplicates, drop_toxic, mask_personal_data, mix_sources, run
 
-Defined cases: a null text is not toxic, not a duplicate and not a leak, and has size 0, so the mix takes none of it; documents with
-a null doc_id stay, equal ones once; tables without rows, labels or test items give what is left without them.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lakescreen.llm import decontam, mixing, near_dedup, pii, toxicity
-from lakescreen.llm.common import read_table, shared_folder
-
-TOXIC_FROM = 0.4
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model takes for toxic go."""
-    model = toxicity.teach(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC_FROM).select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its class stays, once; classes are of similarity 0.8 on five-word shingles."""
-    others = near_dedup.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a test item go."""
-    found = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
-def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each copy that the mix takes is a row."""
-    key = F.xxhash64("doc_id", "text").alias("key")
-    slim = mixing.with_sizes(docs.drop("size")).select("doc_id", "source", "size", key)
-    taken = mixing.mix(slim, carry=("key",)).where("copies > 0")
-    # rows that are the same in doc_id and text are one row, taken as often as they are together
-    taken = taken.groupBy("key").agg(F.sum("copies").cast("int").alias("copies"), F.first("size").alias("size"), F.first("target").alias("target"))
-    chosen = docs.drop("size", "target", "copy").withColumn("key", key).dropDuplicates(["key"]).join(taken, "key")
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("key", "copies")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_leaks),
-    ("personal_data", mask_personal_data),
-    ("mixing", mix_sources),
-]
-
-#: The first stage's learned model cannot be put into SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "drop_leaks", "drop_near_duplicates", "drop_toxic", "mask_personal_data", "mix_sources", "run"]
