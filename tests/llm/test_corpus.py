@@ -186,6 +186,24 @@ def test_removal_equals_brute_force(docs, corpus, width):
     assert sum(g[1] for g in got.values()) > 200
 
 
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_removal_with_hot_seeds(spark, docs, corpus, monkeypatch, hot):
+    """Windows of hot seeds go by their own hash: the result is the same whether all repeated seeds are hot or none."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove(docs, 20).collect()}
+    assert got == brute_removal([r[:2] for r in corpus], 20)
+
+
+def test_two_texts_under_one_id_are_two_documents(spark):
+    rng = np.random.default_rng(44)
+    one, other = prose(rng, 40, 10**6), prose(rng, 40, 10**6)
+    for name in (7, None):
+        rows = [(name, one), (name, other), (name, one + " " + other)]
+        got = {r.kept: r.n_removed for r in substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+        # of the two places of each passage one stays, and what occurs once stays whole
+        assert sum(got.values()) == 80 and all(len(k.split()) in (0, 40, 80) for k in got)
+
+
 def test_removal_of_nothing_and_of_repeated_ids(spark):
     assert substring_dedup.remove(spark.createDataFrame([], DOCS)).count() == 0
     text = " ".join(f"v{i}" for i in range(30))
