@@ -25,10 +25,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents outside the held-out fold that are labelled as of good quality; background: all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read_table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct().withColumn("good", F.lit(True))
-    # both sides are shuffled at any size, so that the plan and its growth do not depend on how many labels there are
-    model = lmscore.gather(lmscore.count(docs.join(good.hint("merge"), "doc_id", "left"), F.col("good")))
-    return lmscore.score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "target_loss", "background_loss", "difference")
+    good = read_table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct()
+    # good ids go to all tasks while they take 64 MB at most, else both sides are shuffled; the background needs no join
+    small = good.count() <= 4 << 20
+    target = docs.join(F.broadcast(good) if small else good.hint("merge"), "doc_id", "left_semi")
+    table = lmscore.losses(lmscore.count(docs, target))
+    return lmscore.score(docs, table).select("doc_id", held_out().alias("held_out"), "n_tokens", "target_loss", "background_loss", "difference")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

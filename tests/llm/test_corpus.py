@@ -137,30 +137,91 @@ def test_toxicity_without_labels(spark):
 # ---- LM scoring
 
 
-def test_losses_by_hand(spark, docs):
-    counts = lmscore.count(docs, F.col("source") == "src1")
-    model = lmscore.gather(counts)
-    total = sum(len((r.text or "").encode()) for r in docs.collect())
-    assert int(model[0, 0].sum()) == total
-    out = {r.doc_id: r for r in lmscore.score(docs, model).collect()}
-    text = next(r.text for r in docs.collect() if r.doc_id == 3)
-    gram = lambda s: np.frombuffer(s.encode(), np.uint8)
-
-    def loss(which):
-        raw = gram(text)
-        ends = lmscore.buckets(raw, np.array([0, len(raw)]))
-        sums = 0.0
-        for i in range(len(raw)):
-            p = (model[which, 0][ends[0][i]] + 8 / 256) / (model[which, 0].sum() + 8)
-            for order in range(1, 4):
-                seen = model[which, order - 1][ends[order - 1][i - 1]] if i else 0.0
-                p = (min(model[which, order][ends[order][i]], seen) + 8 * p) / (seen + 8)
-            sums -= np.log(p)
-        return sums / len(raw)
-
-    assert out[3].background_loss == pytest.approx(loss(0), rel=1e-4) and out[3].target_loss == pytest.approx(loss(1), rel=1e-4)
-    assert out[60].n_tokens == 0 and out[60].difference is None
-    assert len(out) == docs.count()
+def brute_losses(rows, target, wanted):
+    """Mean losses of some texts, from counts of n-grams kept as tuples: background, then target."""
+    counts = [collections.Counter(), collections.Counter()]
+    for i, text in rows:
+        if text:
+            tokens = [*text.encode(), "end"]
+            for end in range(1, len(tokens) + 1):
+                for k in range(1, min(end, lmscore.ORDER) + 1):
+                    for which in (0, 1) if i in target else (0,):
+                        counts[which][tuple(tokens[end - k : end])] += 1
+    total = [sum(n for g, n in c.items() if len(g) == 1) for c in counts]
+    scale = [total[1] / total[0] if total[1] else 1.0, 1.0]
+    if not total[1]:
+        counts[1], total[1] = counts[0], total[0]
+
+    def p(which, gram):
+        if not gram:
+            return 1 / 257
+        context = counts[which][gram[:-1]] if len(gram) > 1 else total[which]
+        return (counts[which][gram] * scale[which] + 8 * p(which, gram[1:])) / (context * scale[which] + 8)
+
+    out = {}
+    for i, text in wanted:
+        tokens = list((text or "").encode())
+        if tokens:
+            out[i] = tuple(-np.mean([np.log(p(which, tuple(tokens[max(0, end - lmscore.ORDER) : end]))) for end in range(1, len(tokens) + 1)]) for which in (0, 1))
+    return out
+
+
+@pytest.mark.parametrize("source", ["src1", "none"])
+def test_losses_equal_brute_force(spark, docs, corpus, source, monkeypatch):
+    monkeypatch.setattr(lmscore, "PART_BYTES", 20_000)
+    table = lmscore.losses(lmscore.count(docs, docs.where(F.col("source") == source)))
+    more = docs.withColumn("_part", F.lit("p")).withColumn("n_tokens", F.lit("kept not"))
+    got = {r.doc_id: r for r in lmscore.score(more, table).collect()}
+    wanted = [r[:2] for r in corpus if r[1] is None or len(r[1]) < 2000]
+    want = brute_losses([r[:2] for r in corpus], {r[0] for r in corpus if r[3] == source}, wanted)
+    for i, _ in wanted:
+        if i in want:
+            assert (got[i].background_loss, got[i].target_loss) == pytest.approx(want[i], rel=1e-5)
+            assert got[i].difference == pytest.approx(want[i][1] - want[i][0], abs=1e-5) and got[i]._part == "p"
+        else:
+            assert got[i].n_tokens == 0 and got[i].difference is None
+    assert len(got) == len(corpus) and (source == "src1" or all(not r.difference for r in got.values()))
+
+
+def test_probabilities_of_what_follows_sum_to_one():
+    """After any context the probabilities of all bytes and of the end mark add up to one."""
+    rows = [(1, "abcabcabd"), (2, "abcab"), (3, "b")]
+    for context in ("", "a", "abc", "zzz", "bcabca"):
+        for which in (0, 1):
+            counts = collections.Counter()
+            for i, text in rows:
+                if which == 0 or i == 1:
+                    tokens = [*text.encode(), "end"]
+                    for end in range(1, len(tokens) + 1):
+                        for k in range(1, min(end, 6) + 1):
+                            counts[tuple(tokens[end - k : end])] += 1
+
+            def p(gram, counts=counts):
+                if not gram:
+                    return 1 / 257
+                seen = counts[gram[:-1]] if len(gram) > 1 else sum(n for g, n in counts.items() if len(g) == 1)
+                return (counts[gram] + 8 * p(gram[1:])) / (seen + 8)
+
+            assert sum(p((*context.encode()[-5:], t)) for t in [*range(256), "end"]) == pytest.approx(1)
+
+
+def test_target_texts_rank_first(spark):
+    """Held-out texts written like the target are told from others, and the amount of background does not matter."""
+    rng = np.random.default_rng(21)
+    words = [["".join(chr(97 + c) for c in rng.integers(13 * k, 13 * k + 13, 5)) for _ in range(60)] for k in (0, 1)]
+    text = lambda k: " ".join(words[k][int(w)] if rng.random() < 0.8 else words[1 - k][int(w)] for w in rng.integers(60, size=40))
+    rows = [(i, text(i % 2)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = lmscore.losses(lmscore.count(docs, docs.where("doc_id < 60 AND doc_id % 2 = 0")))
+    out = {r.doc_id: r.difference for r in lmscore.score(docs, table).collect()}
+    held = [(out[i], i % 2) for i in range(60, 300)]
+    pairs = [(a < b) for a, x in held for b, y in held if x == 0 and y == 1]
+    assert np.mean(pairs) > 0.99
+
+
+def test_losses_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert lmscore.score(docs, lmscore.losses(lmscore.count(docs, docs))).count() == 0
 
 
 # ---- substring deduplication
