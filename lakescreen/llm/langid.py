@@ -6,11 +6,14 @@ All languages share sorted arrays of n-gram hashes; a row of log-probabilities,
 hash. A text goes to the language of least cross-entropy per character. The rejection is calibrated: above the entropy
 that ``calibrate_at`` of the learned documents stay under, ``lang`` is ``und``; ``best`` always names the nearest language.
 
-Bounds: learning takes whole documents by a hash of doc_id, so many that ``docs_per_lang`` of each language are expected; n-grams
-are counted in Spark, and the model grows with that sample and not with the corpus. Prediction covers every document and its whole text.
-
-Defined cases: a null text, or one without letters, is ``und`` with score 0; without any learned language all are ``und``;
-documents with a null lang or doc_id teach nothing; repeated rows are predicted each; further columns pass through.
+Bounds: learning takes whole documents by a hash of doc_id, so many that ``docs_per_lang`` of each language are expected, or fewer of each where
+there are so many languages that this would be more than ``max_docs``; every language is learned. N-grams are counted in Spark, and
+the model grows with that sample and not with the corpus. One in eight of these documents teaches nothing and calibrates the rejection.
+Prediction covers every document and its whole text.
+
+Defined cases: a null text, or one without letters (of any plane of Unicode), is ``und`` with score 0; without any learned language all are
+``und``; without documents to calibrate by nothing is rejected; documents with a null lang or doc_id teach nothing; repeated rows are
+predicted each; an empty table gives no rows; further columns pass through, those of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -36,11 +39,13 @@ for _c in range(1 << 16):
 def letters(text: str | None) -> np.ndarray:
     """Code units of the normalised text: letters, one space between words and at both ends; empty if it has no letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    high = codes > 0xFFFF
-    if high.any():  # outside the basic plane: kept as a letter, folded into 16 bits
-        codes = np.where(high, 0xE000 + codes % 0x1000, codes)
+    ok = _LETTER[np.minimum(codes, 0xFFFF)]
+    high = np.flatnonzero(codes > 0xFFFF)
     units = codes.astype(np.uint64)
-    ok = _LETTER[codes] | high
+    if len(high):  # outside the basic plane: letters are folded into 16 bits
+        kinds, where = np.unique(codes[high], return_inverse=True)
+        ok[high] = np.array([chr(c).isalpha() for c in kinds])[where]
+        units[high] = 0xE000 + codes[high] % 0x1000
     if not ok.any():
         return np.zeros(0, np.uint64)
     units[~ok] = 0x20
@@ -184,29 +189,32 @@ def entropies(model: Model, documents: list[str | None]) -> tuple[np.ndarray, np
     return out, size
 
 
-def _sample(docs: DataFrame, docs_per_lang: int) -> DataFrame:
+def _sample(docs: DataFrame, docs_per_lang: int, max_docs: int) -> DataFrame:
+    """Text, lang and aside (whether the row only calibrates) of the documents to learn from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_lang / n))).otherwise(share)
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sizes.count()
+    share = sizes.select("lang", (F.lit(float(min(docs_per_lang, max(1, max_docs // max(1, langs))))) / F.col("n")).alias("share"))
+    chosen = known.join(F.broadcast(share) if langs <= 1 << 16 else share, "lang")
+    chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.least("share", F.lit(1.0)) * (1 << 30))
+    return chosen.select("text", "lang", (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8)) == 0).alias("aside"))
 
 
-def learn(docs: DataFrame, docs_per_lang: int = 1500, calibrate_at: float = 0.999) -> Model | None:
-    """The models of all languages in docs (the 1,000 most frequent, if more); None without any."""
-    sample = _sample(docs, docs_per_lang)
+def learn(docs: DataFrame, docs_per_lang: int = 1500, calibrate_at: float = 0.999, max_docs: int = 48_000) -> Model | None:
+    """The models of all languages in docs; None without any."""
+    sample = _sample(docs, docs_per_lang, max_docs)
+    teaching = sample.where("NOT aside").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(grams(letters(text), ORDER))
             for lang, parts in held.items():
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    summed = sample.mapInArrow(count, "lang STRING, gram BIGINT, n BIGINT").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    summed = teaching.mapInArrow(count, "lang STRING, gram BIGINT, n BIGINT").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(summed):
         return None
     counts = {}
@@ -222,7 +230,7 @@ def learn(docs: DataFrame, docs_per_lang: int = 1500, calibrate_at: float = 0.99
             nats, size = entropies(Model(**shared.value), batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(nats.min(1)[size > 0])], ["nats"])
 
-    at = sample.select("text").mapInArrow(measure, "nats DOUBLE").agg(F.percentile_approx("nats", calibrate_at, 1000)).first()[0]
+    at = sample.where("aside").select("text").mapInArrow(measure, "nats DOUBLE").agg(F.percentile_approx("nats", calibrate_at, 1000)).first()[0]
     model.reject_above = (at if at is not None else np.inf) * 1.05
     return model
 

@@ -9,15 +9,14 @@ spelled "at" and "dot", and runs of spelled digits, and keeps for each rewritten
 same detectors run over the rewritten text, and each hit is mapped back to source characters. A hit that overlaps no base
 span of its kind is added; base spans stay as they are.
 
-Defined cases: a null or empty text has no spans; repeated rows and null ids are kept row by row; other columns pass
-through ``redact``; the whole text is scanned, however long.
+Defined cases: a null or empty text has no spans; repeated rows and null ids are kept row by row; an empty table gives no rows; other columns
+pass through ``redact`` and are not read by ``detect``; the whole text is scanned, however long, in time linear in it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +28,6 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -174,7 +172,18 @@ def disguised_spans(text: str) -> list[Span]:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and added spans together, in order."""
     base = base_spans(text)
-    more = [s for s in disguised_spans(text) if not any(s[0] == b[0] and s[1] < b[2] and b[1] < s[2] for b in base)]
+    starts: dict[str, list[int]] = {k: [] for k in KINDS}
+    ends: dict[str, list[int]] = {k: [] for k in KINDS}
+    for kind, start, end in base:
+        starts[kind].append(start)
+        ends[kind].append(end)
+
+    def covered(kind: str, start: int, end: int) -> bool:
+        """Base spans of a kind do not overlap, so the last that begins before the end decides."""
+        k = bisect_left(starts[kind], end)
+        return k > 0 and ends[kind][k - 1] > start
+
+    more = [s for s in disguised_spans(text) if not covered(*s)]
     return base, sorted({*base, *more}, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base
 
 
@@ -215,7 +224,3 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
 
     out = docs.withColumn(text, clean(F.col(text)))
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
-
-
-def base_digest(spans: list[Span]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

@@ -557,3 +557,82 @@ def test_chat_round_trip(spark):
         body = r.formatted.removeprefix("<s>")
         assert body.count("</s>") == len(want) and "[INST]" not in body
     assert chat.format_chat(df.limit(0)).count() == 0
+
+
+# ---- further defined cases
+
+
+def test_letters_of_all_planes():
+    assert not len(langid.letters("123 \U0001f600!")) and len(langid.letters("\U00010400\U0001f600")) == 3 and not len(langid.letters(None))
+
+
+def test_many_languages_are_all_learned(spark):
+    """No number of languages is left out, and none needs an expression of its own."""
+    rng = np.random.default_rng(71)
+    marks = ["".join(chr(97 + c) for c in rng.integers(26, size=9)) for _ in range(400)]
+    rows = [(i, f"{marks[i % 400]} {marks[i % 400]}", f"l{i % 400}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, max_docs=3000)
+    assert len(model.langs) > 380
+    out = langid.identify(docs.drop("lang").limit(800), model).collect()
+    assert np.mean([r.best == f"l{r.doc_id % 400}" for r in out]) > 0.9
+
+
+def test_language_on_held_out_rows_only(spark):
+    """Accuracy on the fold that taught nothing, of the test tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 40")
+    out = langid.identify(docs, langid.learn(docs)).where(langid.held_out()).collect()
+    assert len(out) > 100 and np.mean([r.best == r.lang for r in out]) > 0.95
+
+
+def test_toxicity_on_held_out_rows_only(spark):
+    """Accuracy on labelled rows of the fold that taught nothing."""
+    from lakescreen.llm.common import held_out
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = toxicity.score(docs.join(labels.select("doc_id", "toxic"), "doc_id").where(held_out()), toxicity.teach(docs, labels)).collect()
+    assert len(out) > 100 and np.mean([(r.score >= 0.3) == (r.toxic == 1) for r in out]) > 0.95
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "someone at example dot com " + " ".join(f"u{i}@host{i}.org" for i in range(20_000)) + " call five five five"
+    began = time.perf_counter()
+    base, spans = pii.all_spans(text)
+    assert time.perf_counter() - began < 5 and len(base) == 20_000 and len(spans) == 20_001
+
+
+def test_sizes_are_counted_whatever_the_input_says(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s", 100, "k"), (None, None, "s", 100, "k"), (None, "d", None, 100, "k")], "doc_id long, text string, source string, size long, key string")
+    out = mixing.mix(docs, carry=("key",)).collect()
+    assert sorted(r["size"] for r in out) == [0, 1, 3] and all(r.key == "k" and (r["size"] or not r.copies) for r in out)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_alignment_spans_are_exact(spark):
+    docs = spark.createDataFrame([(None, "p q r alpha beta gamma delta epsilon s t", 1), (2, "alpha beta gamma", 2)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(9, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.score, r.start, r.end) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(0, 9, 1.0, 3, 8), (2, 9, 0.6, 0, 3)]
+    assert decontam.contaminated(docs, items.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_near_copies_count_every_link(spark):
+    """60 copies of one text with one word edited in each: all 1,770 pairs are links."""
+    rng = np.random.default_rng(60)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
+    rows = [(i, " ".join([*base[: 4 * i + 20], f"edit{i}", *base[4 * i + 21 :]])) for i in range(60)]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in out} == {0} and {r.links for r in out} == {59} and sum(r.head for r in out) == 1
+
+
+def test_near_duplicates_recall_on_a_table(spark):
+    """Classes of the small test table against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert linked and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked) and all(got[i] == want[i] or want[i] != i for i in want)
