@@ -9,19 +9,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import digits, letters
+
 #: The public check digit rule (values 0-9, A-Z as 10-35, filler 0; weights 7, 3, 1).
 ALPHABET, WEIGHTS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (7, 3, 1)
 
 
-def check_digit(payload: Column) -> Column:
-    values = F.transform(F.split(payload, ""), lambda c, i: F.greatest(F.lit(0), F.instr(F.lit(ALPHABET), c) - 1) * F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (i % 3 + 1).cast("int")))
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
+#: A letter's value modulo 10, which is all that the check digit depends on.
+_LETTERS, _MODULO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789012345"
+
+
+def check_digit(payload: Column, length: int | None = None) -> Column:
+    """The check digit; of a payload whose length is known it is one sum, without a loop over characters."""
+    plain = F.translate(F.regexp_replace(payload, "[^0-9A-Z]", "0"), _LETTERS, _MODULO)
+    if length is None:
+        values = F.transform(F.split(plain, ""), lambda c, i: F.coalesce(c.try_cast("int"), F.lit(0)) * F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (i % 3 + 1).cast("int")))
+        return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
+    total = F.lit(0)
+    for i in range(length):
+        total = total + F.coalesce(F.substring(plain, i + 1, 1).try_cast("int"), F.lit(0)) * WEIGHTS[i % 3]
+    return total % 10
 
 
-def digit_ok(payload: Column, digit: Column) -> Column:
+def digit_ok(payload: Column, digit: Column, length: int | None = None) -> Column:
     """True or false, and null where the field is only fillers and carries a filler for its digit."""
     empty = (F.regexp_replace(payload, "<", "") == "") & (digit == "<")
-    return F.when(~empty, check_digit(payload).cast("string") == digit)
+    return F.when(~empty, check_digit(payload, length).cast("string") == digit)
 
 
 def at(line: Column, start: int, end: int) -> Column:
@@ -48,18 +61,19 @@ def parse_td3(top: Column, bottom: Column, as_of: Column) -> Column:
     composite = F.concat(at(bottom, 0, 10), at(bottom, 13, 20), at(bottom, 21, 43))
     clean = lambda c: F.trim(F.regexp_replace(c, "<+", " "))
     return F.struct(
+        F.regexp_replace(at(top, 0, 2), "<", "").alias("document_code"),
         F.regexp_replace(at(top, 2, 5), "<", "").alias("issuer"),
         clean(F.regexp_substr(names, F.lit("^.*?(?=<<|$)"))).alias("surname"),
         clean(F.regexp_replace(names, "^.*?(<<|$)", "")).alias("given_names"),
         F.regexp_replace(number, "<", "").alias("number"),
-        digit_ok(number, at(bottom, 9, 10)).alias("number_ok"),
+        digit_ok(number, at(bottom, 9, 10), 9).alias("number_ok"),
         F.regexp_replace(nationality, "<", "").alias("nationality"),
         yymmdd(at(bottom, 13, 19), as_of, True).alias("date_of_birth"),
-        digit_ok(at(bottom, 13, 19), at(bottom, 19, 20)).alias("birth_ok"),
+        digit_ok(at(bottom, 13, 19), at(bottom, 19, 20), 6).alias("birth_ok"),
         F.when(at(bottom, 20, 21).isin("M", "F"), at(bottom, 20, 21)).alias("sex"),
         yymmdd(at(bottom, 21, 27), as_of, False).alias("expiry_date"),
-        digit_ok(at(bottom, 21, 27), at(bottom, 27, 28)).alias("expiry_ok"),
-        digit_ok(composite, at(bottom, 43, 44)).alias("composite_ok"),
+        digit_ok(at(bottom, 21, 27), at(bottom, 27, 28), 6).alias("expiry_ok"),
+        digit_ok(composite, at(bottom, 43, 44), 39).alias("composite_ok"),
     )
 
 
@@ -100,18 +114,56 @@ def parse_mrv_b(top: Column, bottom: Column, as_of: Column) -> Column:
         clean(F.regexp_substr(names, F.lit("^.*?(?=<<|$)"))).alias("surname"),
         clean(F.regexp_replace(names, "^.*?(<<|$)", "")).alias("given_names"),
         F.regexp_replace(number, "<", "").alias("number"),
-        digit_ok(number, at(bottom, 9, 10)).alias("number_ok"),
+        digit_ok(number, at(bottom, 9, 10), 9).alias("number_ok"),
         F.regexp_replace(at(bottom, 10, 13), "<", "").alias("nationality"),
         yymmdd(at(bottom, 13, 19), as_of, True).alias("date_of_birth"),
-        digit_ok(at(bottom, 13, 19), at(bottom, 19, 20)).alias("birth_ok"),
+        digit_ok(at(bottom, 13, 19), at(bottom, 19, 20), 6).alias("birth_ok"),
         F.when(at(bottom, 20, 21).isin("M", "F"), at(bottom, 20, 21)).alias("sex"),
         yymmdd(at(bottom, 21, 27), as_of, False).alias("expiry_date"),
-        digit_ok(at(bottom, 21, 27), at(bottom, 27, 28)).alias("expiry_ok"),
+        digit_ok(at(bottom, 21, 27), at(bottom, 27, 28), 6).alias("expiry_ok"),
         F.when(extra.startswith("M"), "multiple").when(extra.rlike("^[S1]"), "single").alias("entries"),
         F.when(days.isNotNull(), F.concat(days.cast("string"), F.lit(" days"))).alias("stay"),
     )
 
 
+def _names(raw: Column) -> tuple[Column, Column]:
+    clean = lambda c: F.trim(F.regexp_replace(c, "<+", " "))
+    return clean(F.regexp_substr(raw, F.lit("^.*?(?=<<|$)"))), clean(F.regexp_replace(raw, "^.*?(<<|$)", ""))
+
+
+def _card(issuer: Column, names: Column, number: Column, number_digit: Column, length: int, nationality: Column, birth: Column, birth_digit: Column, sex: Column, expiry: Column, expiry_digit: Column, as_of: Column) -> Column:
+    surname, given = _names(letters(names))
+    birth, expiry = digits(birth), digits(expiry)
+    return F.struct(
+        F.regexp_replace(letters(issuer), "<", "").alias("issuer"),
+        surname.alias("surname"),
+        given.alias("given_names"),
+        F.regexp_replace(number, "<", "").alias("number"),
+        digit_ok(number, number_digit, length).alias("number_ok"),
+        F.regexp_replace(letters(nationality), "<", "").alias("nationality"),
+        yymmdd(birth, as_of, True).alias("date_of_birth"),
+        digit_ok(birth, birth_digit, 6).alias("birth_ok"),
+        F.when(sex.isin("M", "F", "<"), sex).alias("sex"),
+        yymmdd(expiry, as_of, False).alias("expiry_date"),
+        digit_ok(expiry, expiry_digit, 6).alias("expiry_ok"),
+    )
+
+
+def parse_td2(top: Column, bottom: Column, as_of: Column) -> Column:
+    """Fields of a two-line card zone of 36 characters; its number has eight characters."""
+    return _card(at(top, 2, 5), at(top, 5, 36), at(bottom, 0, 8), at(bottom, 8, 9), 8, at(bottom, 10, 13), at(bottom, 13, 19), at(bottom, 19, 20), at(bottom, 20, 21), at(bottom, 21, 27), at(bottom, 27, 28), as_of)
+
+
+def parse_td1(first: Column, second: Column, third: Column, as_of: Column) -> Column:
+    """Fields of a three-line card zone of 30 characters."""
+    return _card(at(first, 2, 5), third, at(first, 5, 14), at(first, 14, 15), 9, at(first, 10, 13), at(second, 0, 6), at(second, 6, 7), at(second, 7, 8), at(second, 8, 14), at(second, 14, 15), as_of)
+
+
+def repair_classes(top: Column, bottom: Column) -> tuple[Column, Column]:
+    """Both lines of a passport zone with letters forced into the issuer and digits into both dates."""
+    return F.concat(at(top, 0, 2), letters(at(top, 2, 5)), at(top, 5, 44)), F.concat(at(bottom, 0, 13), digits(at(bottom, 13, 19)), at(bottom, 19, 21), digits(at(bottom, 21, 27)), at(bottom, 27, 44))
+
+
 def zone_format(lines: Column) -> Column:
     """TD3, MRV-B, TD2, TD1 or null, from the first characters and lengths of the candidate lines (30 to 48 characters)."""
     kept = F.filter(lines, lambda x: F.length(x).between(30, 48))

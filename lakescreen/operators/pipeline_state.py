@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.schemas import ROLES
-
 
 def final_status(statuses: Column, failed: Column) -> Column:
     """error, completed (all ok), completed_with_errors, completed_with_skips or completed_with_degraded_modules."""
@@ -33,7 +31,13 @@ def runnable(requires: list[str]) -> Column:
 
 
 #: Who may do what; everything else is denied.
-PERMISSIONS = {"screen": ROLES, "search": ROLES, "review": ("ADMIN", "REVIEWER"), "audit": ("ADMIN", "SECURITY_OFFICER"), "users": ("ADMIN",)}
+PERMISSIONS = {
+    "screening:run": ("ADMIN", "SECURITY_OFFICER"),
+    "screening:read": ("ADMIN", "SECURITY_OFFICER", "REVIEWER"),
+    "audit:read": ("ADMIN", "SECURITY_OFFICER", "REVIEWER"),
+    "audit:write": ("ADMIN", "SECURITY_OFFICER"),
+    "admin:manage": ("ADMIN",),
+}
 
 
 def permissions(spark: SparkSession) -> DataFrame:

@@ -24,15 +24,15 @@ def zones(s, d):
     country = F.rpad(F.upper(F.left("n_name", F.lit(3))), 3, "<")
     number = F.rpad(F.concat(F.lit("P"), pad(k, 7)), 9, "<")
     birth, expiry = date(k * 7 % 100, k % 12 + 1, k % 28 + 1), date(k * 3 % 50, k % 12 + 1, k * 5 % 31 + 1)
-    digit = lambda x: mrz.check_digit(x).cast("string")
+    digit = lambda x, n: mrz.check_digit(x, n).cast("string")
     made = c.select(k.alias("id"), "c_mktsegment", country.alias("country"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"))
-    made = made.withColumn("nd", F.when(F.col("id") % 7 == 0, ((mrz.check_digit(F.col("number")) + 1) % 10).cast("string")).otherwise(digit(F.col("number"))))
+    made = made.withColumn("nd", F.when(F.col("id") % 7 == 0, ((mrz.check_digit(F.col("number"), 9) + 1) % 10).cast("string")).otherwise(digit(F.col("number"), 9)))
     personal = F.lit("<" * 14)
-    front = F.concat("number", "nd", "country", "birth", digit(F.col("birth")), F.lit("F"), "expiry", digit(F.col("expiry")), personal, F.lit("<"))
+    front = F.concat("number", "nd", "country", "birth", digit(F.col("birth"), 6), F.lit("F"), "expiry", digit(F.col("expiry"), 6), personal, F.lit("<"))
     made = made.withColumn("front", front)
     composite = F.concat(mrz.at(F.col("front"), 0, 10), mrz.at(F.col("front"), 13, 20), mrz.at(F.col("front"), 21, 43))
     top = F.rpad(F.concat(F.lit("P<"), "country", "c_mktsegment", F.lit("<<ANNA<MARIA")), 44, "<")
-    return made.select("id", top.alias("top"), F.concat("front", digit(composite)).alias("bottom"))
+    return made.select("id", top.alias("top"), F.concat("front", digit(composite, 39)).alias("bottom"))
 
 
 def _sql_digit(x: str) -> str:
@@ -64,14 +64,14 @@ def _iso(digits: str, birth: bool) -> str:
     return f"strftime({day(full)}, '%Y-%m-%d')"
 
 
-_PARSE_SQL = f"""WITH {ZONES_SQL} SELECT id, replace(country, '<', '') AS issuer, c_mktsegment AS surname, 'ANNA MARIA' AS given_names, replace(number, '<', '') AS number,
+_PARSE_SQL = f"""WITH {ZONES_SQL} SELECT id, 'P' AS document_code, replace(country, '<', '') AS issuer, c_mktsegment AS surname, 'ANNA MARIA' AS given_names, replace(number, '<', '') AS number,
   id % 7 <> 0 AS number_ok, replace(country, '<', '') AS nationality, {_iso('birth', True)} AS date_of_birth, true AS birth_ok, 'F' AS sex, {_iso('expiry', False)} AS expiry_date, true AS expiry_ok, true AS composite_ok FROM z"""
 
 
 def _repair(s, d):
     z = zones(s, d)
     misread = F.when(F.col("id") % 2 == 0, F.translate(mrz.at(F.col("bottom"), 0, 9), "0158", "OISB")).otherwise(mrz.at(F.col("bottom"), 0, 9))
-    digit = mrz.check_digit(mrz.at(F.col("bottom"), 0, 9)).cast("string")
+    digit = mrz.check_digit(mrz.at(F.col("bottom"), 0, 9), 9).cast("string")
     return z.select("id", misread.alias("read"), mrz.repair(misread, digit).alias("repaired"))
 
 
@@ -90,37 +90,57 @@ def _date_tokens(s, d):
 
 def _checks(s, d):
     parsed = _parsed(s, d)
-    fields = F.map_from_arrays(
-        F.array(*[F.lit(x) for x in ("full_name", "passport_number", "nationality", "date_of_birth", "expiry_date")]),
-        F.array(F.when(F.col("id") % 10 != 0, F.concat_ws(" ", "given_names", "surname")), F.when(F.col("id") % 6 == 0, F.lower("number")).otherwise(F.col("number")), F.when(F.col("id") % 9 == 0, F.lit("XXX")).otherwise(F.col("nationality")), F.col("date_of_birth"), F.when(F.col("id") % 8 == 0, F.lit("12/08/2030")).otherwise(F.col("expiry_date"))))
-    mrz_struct = F.struct(*parsed.columns[1:])
-    checks = validation.run(validation.RULESETS["passport"], F.col("fields"), F.col("mrz"), _as_of())
-    rows = parsed.select("id", F.inline(F.array(F.struct(fields.alias("fields"), mrz_struct.alias("mrz"))))).select("id", F.inline(F.array(F.struct(checks.alias("checks")))))
-    return rows.select("id", validation.is_valid(F.col("checks")).alias("is_valid"), F.explode("checks").alias("c")).select("id", "is_valid", "c.field", "c.status", "c.rule")
-
-
-_CHECKS_SQL = f"""WITH p AS ({_PARSE_SQL}), f AS (SELECT *, CASE WHEN id % 8 = 0 THEN '12/08/2030' ELSE expiry_date END AS expiry FROM p),
+    # each thirteenth document has no zone
+    there = F.col("id") % 13 != 0
+    one = lambda name, v, ok: (F.lit(name), F.struct(v.alias("value"), ok.alias("check_digit_ok")))
+    none = F.lit(None).cast("boolean")
+    fields = [
+        one("full_name", F.when(F.col("id") % 10 != 0, F.concat_ws(" ", "given_names", "surname")), none),
+        one("passport_number", F.when(F.col("id") % 6 == 0, F.lower("number")).otherwise(F.col("number")), F.col("number_ok")),
+        one("nationality", F.when(F.col("id") % 9 == 0, F.lit("XXX")).otherwise(F.col("nationality")), none),
+        one("date_of_birth", F.col("date_of_birth"), F.col("birth_ok")),
+        one("expiry_date", F.when(F.col("id") % 8 == 0, F.lit("12/08/2030")).otherwise(F.col("expiry_date")), F.when(F.col("id") % 5 != 0, F.col("expiry_ok"))),
+    ]
+    zone = [(F.lit(n), F.col(c)) for n, c in (("document_code", "document_code"), ("passport_number", "number"), ("nationality", "nationality"), ("date_of_birth", "date_of_birth"), ("expiry_date", "expiry_date"))]
+    made = lambda pairs: F.map_from_arrays(F.array(*[p[0] for p in pairs]), F.array(*[p[1] for p in pairs]))
+    df = parsed.select("id", made(fields).alias("fields"), F.when(there, made(zone)).alias("zone"), F.when(there, F.lit("zone")).alias("raw"), F.when(there, F.col("composite_ok")).alias("composite_ok"))
+    rows = validation.validate(df, validation.ruleset_for("passport"), F.col("fields"), F.col("zone"), F.col("raw"), F.col("composite_ok"), F.lit("passport"), _as_of())
+    out = rows.select("id", F.inline(F.array(validation.summary(F.col("checks")))), "checks")
+    return out.select("id", "is_valid", "human_review_required", F.explode("checks").alias("c")).select("id", "is_valid", "human_review_required", "c.field", "c.status", "c.rule")
+
+
+def _sql_check(name: str, status: str, rule: str) -> str:
+    return f"{{'field': '{name}', 'status': {status}, 'rule': '{rule}'}}"
+
+
+_CHECKS_SQL = f"""WITH p AS ({_PARSE_SQL}), f AS (SELECT *, CASE WHEN id % 8 = 0 THEN '12/08/2030' ELSE expiry_date END AS expiry, id % 13 <> 0 AS zone FROM p),
   c AS (SELECT id, unnest([
-    {{'field': 'full_name', 'status': CASE WHEN id % 10 <> 0 THEN 'PASS' ELSE 'FAIL' END, 'rule': 'required_fields'}},
-    {{'field': 'passport_number', 'status': 'PASS', 'rule': 'required_fields'}}, {{'field': 'nationality', 'status': 'PASS', 'rule': 'required_fields'}},
-    {{'field': 'date_of_birth', 'status': CASE WHEN date_of_birth IS NULL THEN 'WARNING' ELSE 'PASS' END, 'rule': 'date_fields'}},
-    {{'field': 'expiry_date', 'status': CASE WHEN expiry IS NULL THEN 'WARNING' WHEN id % 8 = 0 THEN 'FAIL' ELSE 'PASS' END, 'rule': 'date_fields'}},
-    {{'field': 'expiry_date', 'status': CASE WHEN id % 8 <> 0 AND expiry >= '{AS_OF}' THEN 'PASS' ELSE 'WARNING' END, 'rule': 'expiry_validity'}},
-    {{'field': 'date_of_birth', 'status': CASE WHEN date_of_birth IS NULL OR date_diff('day', CAST(date_of_birth AS DATE), DATE '{AS_OF}') > 36500 THEN 'WARNING' ELSE 'PASS' END, 'rule': 'dob_in_past'}},
-    {{'field': 'passport_number', 'status': CASE WHEN id % 6 = 0 THEN 'FAIL' ELSE 'PASS' END, 'rule': 'regex_format'}},
-    {{'field': 'passport_number', 'status': CASE WHEN number_ok THEN 'PASS' ELSE 'FAIL' END, 'rule': 'check_digit_field'}},
-    {{'field': 'date_of_birth', 'status': 'PASS', 'rule': 'check_digit_field'}}, {{'field': 'expiry_date', 'status': 'PASS', 'rule': 'check_digit_field'}}, {{'field': 'composite', 'status': 'PASS', 'rule': 'check_digit_field'}},
-    {{'field': 'passport_number', 'status': 'PASS', 'rule': 'mrz_cross_consistency'}},
-    CASE WHEN date_of_birth IS NOT NULL THEN {{'field': 'date_of_birth', 'status': 'PASS', 'rule': 'mrz_cross_consistency'}} END,
-    {{'field': 'nationality', 'status': CASE WHEN id % 9 = 0 THEN 'FAIL' ELSE 'PASS' END, 'rule': 'mrz_cross_consistency'}}]) AS c FROM f),
+    {_sql_check('mrz', "CASE WHEN zone THEN 'PASS' ELSE 'WARNING' END", 'mrz_presence')}, {_sql_check('mrz', "CASE WHEN zone THEN 'PASS' ELSE 'WARNING' END", 'mrz_doc_code')},
+    {', '.join(_sql_check(n, f"CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END", 'required_fields[full_name,passport_number,date_of_birth,expiry_date,nationality]') for n, ok in (('full_name', 'id % 10 <> 0'), ('passport_number', 'true'), ('date_of_birth', 'date_of_birth IS NOT NULL'), ('expiry_date', 'expiry IS NOT NULL'), ('nationality', 'true')))},
+    {_sql_check('passport_number', "CASE WHEN id % 6 = 0 THEN 'FAIL' ELSE 'PASS' END", 'format[passport_number]')},
+    {_sql_check('nationality', "CASE WHEN id % 9 = 0 OR regexp_full_match(nationality, '[A-Z]{3}') THEN 'PASS' ELSE 'FAIL' END", 'format[nationality]')},
+    {_sql_check('date_of_birth', "CASE WHEN date_of_birth IS NULL THEN 'WARNING' ELSE 'PASS' END", 'date_format[date_of_birth,expiry_date]')},
+    {_sql_check('expiry_date', "CASE WHEN expiry IS NULL THEN 'WARNING' WHEN id % 8 = 0 THEN 'FAIL' ELSE 'PASS' END", 'date_format[date_of_birth,expiry_date]')},
+    {_sql_check('date_of_birth', f"CASE WHEN date_of_birth IS NULL OR date_diff('day', CAST(date_of_birth AS DATE), DATE '{AS_OF}') > 36500 THEN 'WARNING' ELSE 'PASS' END", 'dob_sanity')},
+    {_sql_check('expiry_date', f"CASE WHEN id % 8 <> 0 AND expiry >= '{AS_OF}' THEN 'PASS' ELSE 'WARNING' END", 'expiry_validity[expiry_date]')},
+    {_sql_check('passport_number', "CASE WHEN number_ok THEN 'PASS' ELSE 'FAIL' END", 'mrz_check_digit[passport_number]')},
+    {_sql_check('date_of_birth', "CASE WHEN date_of_birth IS NULL THEN 'WARNING' ELSE 'PASS' END", 'mrz_check_digit[date_of_birth]')},
+    {_sql_check('expiry_date', "CASE WHEN expiry IS NULL OR id % 5 = 0 THEN 'WARNING' ELSE 'PASS' END", 'mrz_check_digit[expiry_date]')},
+    {_sql_check('mrz', "CASE WHEN zone THEN 'PASS' ELSE 'WARNING' END", 'mrz_composite')},
+    CASE WHEN NOT zone THEN {_sql_check('mrz', "'WARNING'", 'mrz_consistency')} END,
+    CASE WHEN zone THEN {_sql_check('passport_number', "'PASS'", 'mrz_consistency')} END,
+    CASE WHEN zone THEN {_sql_check('nationality', "CASE WHEN id % 9 = 0 THEN 'FAIL' ELSE 'PASS' END", 'mrz_consistency')} END,
+    CASE WHEN zone AND date_of_birth IS NOT NULL THEN {_sql_check('date_of_birth', "'PASS'", 'mrz_consistency')} END,
+    CASE WHEN zone AND expiry_date IS NOT NULL THEN {_sql_check('expiry_date', "CASE WHEN id % 8 = 0 THEN 'FAIL' ELSE 'PASS' END", 'mrz_consistency')} END]) AS c FROM f),
   r AS (SELECT id, c.field AS field, c.status AS status, c.rule AS rule FROM c WHERE c IS NOT NULL)
-  SELECT id, NOT bool_or(status = 'FAIL') OVER (PARTITION BY id) AS is_valid, field, status, rule FROM r"""
+  SELECT id, NOT bool_or(status = 'FAIL') OVER (PARTITION BY id) AS is_valid, bool_or(status <> 'PASS') OVER (PARTITION BY id) AS human_review_required, field, status, rule FROM r"""
 
 
 def _headers(s, d):
     docs = read(s, d, "documents")
-    made = F.concat_ws("\n", F.element_at(F.array(*[F.lit(x) for x in ("Passport", "entry visa", "no header", "DRIVING licence", "Residence permit")]), (F.col("doc_id") % 5 + 1).cast("int")), "text")
-    return docs.select("doc_id", text.header_type(made, F.when(F.col("doc_id") % 7 == 0, F.lit("visa"))).alias("doc_type"))
+    made = F.concat_ws("\n", F.element_at(F.array(*[F.lit(x) for x in ("Passport", "entry visa", "no header", "Le PASSEPORT", "pasaporte")]), (F.col("doc_id") % 5 + 1).cast("int")), "text")
+    hint = F.when(F.col("doc_id") % 7 == 0, F.lit("permit")).when(F.col("doc_id") % 7 == 1, F.lit("unknown"))
+    return docs.select("doc_id", text.header_type(made, hint).alias("doc_type"))
 
 
 _HEAD = "upper(array_to_string(string_split(t, chr(10))[1:6], ' '))"
@@ -147,8 +167,8 @@ SQL = {
       SELECT doc_id, CAST(line AS INTEGER) AS line, length(clean) AS n, clean <> raw AS changed, length(flat) >= 28 AND length(regexp_replace(flat, '[^A-Z<]', '', 'g')) > 0.8 * length(flat) AND length(flat) - length(replace(flat, '<', '')) >= 3 AS mrz_like FROM c""",
     "pii_redact_digits": r"SELECT doc_id, sha256(regexp_replace(text, '\p{Nd}{6,}', '######', 'g')) AS redacted_sha256 FROM documents",
     "date_tokens": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ',' || strftime(o_orderdate, '%Y-%m-%d') || ',2001-02-31' AS dates FROM orders",
-    "doc_header_detect": f"""WITH x AS (SELECT doc_id, (['Passport', 'entry visa', 'no header', 'DRIVING licence', 'Residence permit'])[doc_id % 5 + 1] || chr(10) || text AS t FROM documents)
-      SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'visa' {' '.join(f"WHEN contains({_HEAD}, '{w}') THEN '{k}'" for w, k in text.HEADERS)} ELSE 'unknown' END AS doc_type FROM x""",
+    "doc_header_detect": f"""WITH x AS (SELECT doc_id, (['Passport', 'entry visa', 'no header', 'Le PASSEPORT', 'pasaporte'])[doc_id % 5 + 1] || chr(10) || text AS t FROM documents)
+      SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'permit' WHEN contains({_HEAD}, 'PASSPORT') OR contains({_HEAD}, 'PASSEPORT') OR contains({_HEAD}, 'PASAPORTE') THEN 'passport' WHEN contains({_HEAD}, 'VISA') THEN 'visa' END AS doc_type FROM x""",
     "validation_checks": _CHECKS_SQL,
     "client_hop": "SELECT event_id, CAST(user_id AS VARCHAR) AS hop, md5(CAST(event_id AS VARCHAR))[1:12] || '…' AS short_id FROM events",
     "age_labels": """WITH a AS (SELECT event_id, CAST(floor((epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 60 + 0.5) AS BIGINT) AS m FROM events), b AS (SELECT *, CAST(floor(m / 60 + 0.5) AS BIGINT) AS h FROM a)

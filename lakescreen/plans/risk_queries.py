@@ -104,7 +104,7 @@ SQL = {
     "risk_contributions": f"WITH {_RISK_SQL} SELECT id, signal, round(CAST(points AS DOUBLE), 6) AS points FROM k WHERE points <> 0",
     "risk_score_band": f"""WITH {_RISK_SQL}, t AS (SELECT id, any_value(n_bad) AS n_bad, round_even(least(100.0, sum(CAST(points AS DOUBLE) ORDER BY signal)), 1) AS score FROM k GROUP BY id)
       SELECT id, score, CASE WHEN score <= 24 THEN 'LOW' WHEN score <= 49 THEN 'MEDIUM' WHEN score <= 74 THEN 'HIGH' ELSE 'CRITICAL' END AS level,
-      round(greatest(0.1, 0.55 - least(0.45, 0.12 * n_bad) - CASE WHEN abs(score - 24) <= 2 OR abs(score - 49) <= 2 OR abs(score - 74) <= 2 THEN 0.08 ELSE 0 END), 9) AS confidence FROM t""",
+      round(greatest(0.1::DOUBLE, 0.55::DOUBLE - least(0.45::DOUBLE, 0.12::DOUBLE * n_bad) - CASE WHEN abs(score - 24) <= 2 OR abs(score - 49) <= 2 OR abs(score - 74) <= 2 THEN 0.08::DOUBLE ELSE 0::DOUBLE END), 9) AS confidence FROM t""",
     "expiry_buckets": f"SELECT CASE WHEN CAST(o_orderdate AS DATE) < DATE '{AS_OF}' THEN 'expired' WHEN CAST(o_orderdate AS DATE) <= DATE '{AS_OF}' + 90 THEN 'soon' ELSE 'valid' END AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "missing_fields": """WITH m AS (SELECT c_custkey, list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'expiry' END, CASE WHEN c_custkey % 2 <> 0 THEN 'name' END, 'nationality', CASE WHEN c_custkey % 3 = 0 THEN 'number' END], lambda x: x IS NOT NULL) AS g FROM customer)
       SELECT c_custkey, array_to_string(g, ',') AS missing, least(24, len(g) * 6) AS points FROM m""",

@@ -53,11 +53,49 @@ def test_no_match_is_high(spark):
 def test_validation_rules(spark):
     fields = F.create_map(*[F.lit(x) for x in ("full_name", "A B", "date_of_birth", "12/08/1974", "expiry_date", "2020-01-15", "entries", "multiple", "stay", "500 days")])
     as_of = F.lit("2024-01-01").cast("date")
-    run = validation.run([validation.required("full_name", "passport_number"), validation.dates("date_of_birth", "issue"), validation.not_expired("expiry_date"), validation.entries("entries"), validation.stay("stay")], fields, F.lit(None), as_of)
-    got = [c.status for c in spark.range(1).select(run.alias("c")).first().c]
+    rules = [validation.required("full_name", "passport_number"), validation.dates("date_of_birth", "issue"), validation.not_expired("expiry_date"), validation.entries("entries"), validation.stay("stay")]
+    values = F.transform_values(fields, lambda k, v: F.struct(v.alias("value"), F.lit(None).cast("boolean").alias("check_digit_ok")))
+    none = F.lit(None)
+    df = validation.validate(spark.range(1), validation.Ruleset("made", rules), values, none.cast("map<string,string>"), none.cast("string"), none.cast("boolean"), F.lit("made"), as_of)
+    got = [c.status for c in df.first().checks]
     assert got == ["PASS", "FAIL", "FAIL", "WARNING", "WARNING", "PASS", "WARNING"]
 
 
+def _validated(spark, ruleset, values, zone=None, raw=None, composite=None, kind="passport"):
+    made = spark.createDataFrame([(1,)], "id int")
+    fields = F.create_map(*[x for k, (v, ok) in values.items() for x in (F.lit(k), F.struct(F.lit(v).cast("string").alias("value"), F.lit(ok).cast("boolean").alias("check_digit_ok")))])
+    held = F.create_map(*[F.lit(x) for kv in zone.items() for x in kv]) if zone else F.lit(None).cast("map<string,string>")
+    out = validation.validate(made, ruleset, fields, held, F.lit(raw).cast("string"), F.lit(composite).cast("boolean"), F.lit(kind), F.lit("2024-01-01").cast("date"))
+    row = out.select("checks", validation.summary(F.col("checks")).alias("s")).first()
+    return {(c.rule, c.field): c.status for c in row.checks}, row.s
+
+
+def test_passport_ruleset(spark):
+    good = {"full_name": ("A B", None), "passport_number": (" P1234567 ", True), "nationality": ("UTO", None), "date_of_birth": ("1980-01-02", True), "expiry_date": ("2030-01-02", True)}
+    zone = {"document_code": "P", "passport_number": "P1234567", "nationality": "UTO", "date_of_birth": "1980-01-02", "expiry_date": "2030-01-02"}
+    got, s = _validated(spark, validation.ruleset_for("passport"), good, zone, "raw", True)
+    assert len(got) == 21 and set(got.values()) == {"PASS"} and s.is_valid and not s.human_review_required
+    got, s = _validated(spark, validation.ruleset_for("passport"), {**good, "expiry_date": ("2020-01-02", False)}, {**zone, "document_code": "V"}, "raw", False)
+    assert got[("expiry_validity[expiry_date]", "expiry_date")] == "WARNING" and got[("mrz_doc_code", "mrz")] == "FAIL" and got[("mrz_composite", "mrz")] == "FAIL"
+    assert got[("mrz_check_digit[expiry_date]", "expiry_date")] == "FAIL" and got[("mrz_consistency", "expiry_date")] == "FAIL" and not s.is_valid and s.human_review_required
+    got, s = _validated(spark, validation.ruleset_for("passport"), good)
+    assert [got[(r, "mrz")] for r in ("mrz_presence", "mrz_doc_code", "mrz_composite", "mrz_consistency")] == ["WARNING"] * 4 and s.is_valid and s.human_review_required
+
+
+def test_rulesets_are_registered_and_broken_rules_warn(spark):
+    assert validation.ruleset_for("spacecraft").doc_type == "unknown" and validation.ruleset_for("visa", "UTO").doc_type == "visa"
+    got, s = _validated(spark, validation.ruleset_for("permit"), {"expiry_date": ("2030-01-01", None)}, kind="permit")
+    assert got[("mrz_presence", "mrz")] == "PASS" and got[("mrz_check_digit[document_number]", "document_number")] == "WARNING" and s.is_valid
+    broken = validation.Rule("broken", lambda d: d.value("never prepared") + 1 / 0)
+    validation.register_ruleset(validation.Ruleset("passport", [broken, validation.required("full_name")], country="zz"))
+    try:
+        got, s = _validated(spark, validation.ruleset_for("passport", "ZZ"), {"full_name": ("A", None)})
+        assert got == {("broken", "engine"): "WARNING", ("required_fields[full_name]", "full_name"): "PASS"} and s.is_valid
+    finally:
+        del validation._RULESETS[("ZZ", "passport")]
+    assert _validated(spark, None, {"full_name": ("A", None)})[0] == {("engine", "ruleset"): "FAIL"}
+
+
 def test_hash_chain_links_and_breaks(spark):
     df = spark.createDataFrame([("x", 1, "a"), ("x", 2, "b"), ("y", 1, "c")], "ledger string, at int, body string")
     chain = audit.hash_chain(df, "ledger", ["at"], F.col("body"))
