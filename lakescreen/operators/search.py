@@ -76,3 +76,49 @@ def search(df: DataFrame, filters: Filters, sort: str = "newest", limit: int = 5
     """A page of matches; Spark keeps offset + limit rows of each task and not the whole order."""
     page = df.where(condition(filters)).orderBy(*ordering(sort)).offset(max(offset, 0)).limit(max(0, min(limit, MAX_PAGE)))
     return summary(page)
+
+
+def page_with_total(df: DataFrame, filters: Filters, sort: str = "newest", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page with the number of all matches beside each row, from a subquery of its own."""
+    total = df.where(condition(filters)).agg(F.count(F.lit(1))).scalar()
+    return search(df, filters, sort, limit, offset).withColumn("total", total)
+
+
+def applied(filters: Filters, sort: str) -> dict[str, object]:
+    """What a search was restricted to, without what was left open."""
+    return {k: v for k, v in {**vars(filters), "sort": sort}.items() if v is not None}
+
+
+#: What callers may ask for.
+ALLOWED = {
+    "risk_band": ("low", "medium", "high", "critical"),
+    "sort": ("newest", "oldest", "risk_desc", "risk_asc"),
+    "decision": ("cleared", "flagged", "escalated", "inconclusive"),
+    "doc_type": ("passport", "visa", "national_id", "driving_license", "permit", "unknown"),
+}
+
+
+def checked(**asked: str | None) -> None:
+    """Refuse a value that is not among the allowed ones; None leaves a dimension open."""
+    for name, value in asked.items():
+        if value is not None and name in ALLOWED and value.lower() not in ALLOWED[name]:
+            raise ValueError(f"{name} must be one of {', '.join(ALLOWED[name])}")
+
+
+def by_run_id(df: DataFrame, run_id: str) -> DataFrame:
+    """The one screening with this id, or no row."""
+    return df.where(F.col("run_id") == run_id).limit(1)
+
+
+def detail(df: DataFrame) -> DataFrame:
+    """The full row of a screening with its report taken apart (stages of five columns each); a report that cannot be read is empty."""
+    parsed = df.withColumn("_r", F.coalesce(F.try_parse_json("report"), F.parse_json(F.lit("{}"))))
+    stage = "array<struct<stage:string,status:string,confidence:double,human_review_required:boolean,duration_ms:bigint>>"
+    stages = F.transform(
+        F.coalesce(F.try_variant_get("_r", "$.stages", stage), F.array().cast(stage)),
+        lambda s: F.struct(s["stage"].alias("stage"), s["status"].alias("status"), s["confidence"].alias("confidence"), F.coalesce(s["human_review_required"], F.lit(False)).alias("human_review_required"), s["duration_ms"].alias("duration_ms")),
+    )
+    return parsed.select(
+        "run_id", "created_at", "status", "doc_type_hint", "doc_type_detected", "file_sha256", "human_review_required",
+        F.try_variant_get("_r", "$.final_status", "string").alias("final_status"), F.try_variant_get("_r", "$.processing_time_ms", "bigint").alias("processing_time_ms"),
+        F.try_variant_get("_r", "$.pipeline_error", "string").alias("pipeline_error"), stages.alias("stages"))

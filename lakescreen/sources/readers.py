@@ -49,3 +49,14 @@ def report(json: Column) -> Column:
 def expired(files: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Files that retention gives up."""
     return files.where(F.col("modificationTime") < as_of - F.make_dt_interval(F.lit(days)))
+
+
+def sealed(text: Column, encrypted: Column, key: Column) -> Column:
+    """What is stored of a report: its AES-GCM cipher text in hex where the row's flag is set, else the text."""
+    return F.when(encrypted, F.hex(F.aes_encrypt(text.cast("binary"), key.cast("binary"), F.lit("GCM"), F.lit("DEFAULT")))).otherwise(text)
+
+
+def opened(stored: Column, encrypted: Column, key: Column) -> Column:
+    """The report of a stored value, by the row's flag; null where the cipher text was changed or the key is another."""
+    plain = F.try_aes_decrypt(F.unhex(stored), key.cast("binary"), F.lit("GCM"), F.lit("DEFAULT")).cast("string")
+    return F.when(encrypted, plain).otherwise(stored)
