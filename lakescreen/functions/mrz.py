@@ -20,15 +20,14 @@ _LETTERS, _MODULO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789012345"
 
 
 def check_digit(payload: Column, length: int | None = None) -> Column:
-    """The check digit; of a payload whose length is known it is one sum, without a loop over characters."""
-    plain = F.translate(F.regexp_replace(payload, "[^0-9A-Z]", "0"), _LETTERS, _MODULO)
+    """The check digit. The payload is read once, whether or not the rows' code is generated; its length, if known, gives the weights as a constant."""
+    plain = F.split(F.translate(F.regexp_replace(payload, "[^0-9A-Z]", "0"), _LETTERS, _MODULO), "")
+    value = lambda c: F.greatest(F.lit(0), F.ascii(c) - 48)
     if length is None:
-        values = F.transform(F.split(plain, ""), lambda c, i: F.coalesce(c.try_cast("int"), F.lit(0)) * F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (i % 3 + 1).cast("int")))
-        return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
-    total = F.lit(0)
-    for i in range(length):
-        total = total + F.coalesce(F.substring(plain, i + 1, 1).try_cast("int"), F.lit(0)) * WEIGHTS[i % 3]
-    return total % 10
+        values = F.transform(plain, lambda c, i: value(c) * F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (i % 3 + 1).cast("int")))
+    else:
+        values = F.zip_with(plain, F.array(*[F.lit(WEIGHTS[i % 3]) for i in range(length)]), lambda c, w: F.coalesce(value(c) * w, F.lit(0)))
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
 
 
 def digit_ok(payload: Column, digit: Column, length: int | None = None) -> Column:

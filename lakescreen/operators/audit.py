@@ -29,6 +29,19 @@ def prefer(df: DataFrame, key: str, wanted: Column, order: list[Column]) -> Data
     return latest(df, key, [F.coalesce(wanted, F.lit(False)).desc(), *order])
 
 
+def case_event_rows(cases: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
+    """Cases with a row for each of their events in order: n_events, pos (from 0) and event; a case without events is one row of nulls.
+
+    Join and windows share one partitioning, and no array is made of a case.
+    """
+    of = Window.partitionBy("id")
+    event = F.struct(*[F.col(c) for c in events.columns])
+    joined = cases.join(events.select(F.col("screening_id").alias("id"), event.alias("event")), "id", "left")
+    some = F.col("event").isNotNull()
+    ranked = joined.withColumn("n_events", F.count("event").over(of)).withColumn("pos", F.when(some, F.row_number().over(of.orderBy(*[F.col(f"event.{c}") for c in order])) - 1))
+    return ranked.select(*cases.columns, "n_events", "pos", "event")
+
+
 def case_events(screenings: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
     """Each screening with its events in order of time; none gives an empty list."""
     listed = events.groupBy("screening_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("events"))

@@ -25,25 +25,27 @@ def fuse(indicators: DataFrame, key: str) -> DataFrame:
 
     Optional columns coverage and failures (one value for each key) route to 'inconclusive'.
     """
-    rated = indicators.where("severity <> 'info'").withColumn("p", points(F.col("type"), F.col("severity"), F.col("confidence")))
-    grouped = rated.groupBy(key).agg(
-        F.collect_list("p").alias("ps"),
-        F.array_sort(F.collect_set(F.when(F.col("confidence") >= AGREE, F.col("type")))).alias("agreeing"),
+    rated = F.col("severity") != "info"
+    p = F.when(rated, points(F.col("type"), F.col("severity"), F.col("confidence")))
+    routed = {"coverage", "failures"} <= set(indicators.columns)
+    more = [F.min("coverage").alias("_c"), F.max("failures").alias("_f")] if routed else []
+    # one pass: rows of no weight only tell that the key is there
+    out = indicators.groupBy(key).agg(
+        F.collect_list(p).alias("ps"),
+        F.array_sort(F.collect_set(F.when(rated & (F.col("confidence") >= AGREE), F.col("type")))).alias("agreeing"),
         F.bool_or(F.col("severity").isin("medium", "high")).alias("strong"),
+        *more,
     )
     most = F.array_max("ps")
     total = F.aggregate(F.array_sort(F.transform("ps", lambda p: F.when(p == most, F.round(p, 1)).otherwise(F.round(p * (p / F.greatest(most, F.lit(1.0))), 1)))), F.lit(0.0), lambda a, x: a + x)
-    risk = F.bround(F.least(F.lit(CAP), BASE + 10 * F.sqrt(total)), 1)
-    out = indicators.select(key).distinct().join(grouped.select(key, risk.alias("risk"), "agreeing", "strong"), key, "left")
-    out = out.withColumn("risk", F.coalesce("risk", F.lit(BASE))).withColumn("agreeing", F.coalesce("agreeing", F.array().cast("array<string>")))
+    risk = F.when(F.size("ps") > 0, F.bround(F.least(F.lit(CAP), BASE + 10 * F.sqrt(total)), 1)).otherwise(F.lit(BASE))
+    out = out.withColumn("risk", risk)
     verdict = (
         F.when((F.col("risk") >= 55) | (F.size("agreeing") >= 3), "likely_manipulated")
         .when((F.col("risk") >= 20) | F.coalesce("strong", F.lit(False)), "suspicious")
         .otherwise("no_obvious_manipulation")
     )
-    if {"coverage", "failures"} <= set(indicators.columns):
-        seen = indicators.groupBy(key).agg(F.min("coverage").alias("_c"), F.max("failures").alias("_f"))
-        out = out.join(seen, key)
+    if routed:
         verdict = F.when((F.col("_f") >= 3) | (F.col("_c") < 0.45), "inconclusive").otherwise(verdict)
     return out.withColumn("verdict", verdict).select(key, "risk", "agreeing", "verdict")
 

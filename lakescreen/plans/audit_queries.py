@@ -24,8 +24,8 @@ def _event(df):
 
 
 def _case_events(s, d):
-    cases = audit.case_events(screenings(s, d).where("status = 'reviewed'").select("id", "run_id"), audit_events(s, d), _TIES)
-    return cases.select("id", "run_id", F.size("events").cast("long").alias("n_events"), F.posexplode_outer("events").alias("pos", "e")).select("id", "run_id", "n_events", "pos", "e.event_type", "e.block_number", F.date_format("e.created_at", "yyyy-MM-dd").alias("created_on"))
+    rows = audit.case_event_rows(screenings(s, d).where("status = 'reviewed'").select("id", "run_id"), audit_events(s, d), _TIES)
+    return rows.select("id", "run_id", "n_events", "pos", "event.event_type", "event.block_number", F.date_format("event.created_at", "yyyy-MM-dd").alias("created_on"))
 
 
 def _records(s, d):
