@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,35 @@ def fuse(indicators: DataFrame, key: str) -> DataFrame:
     return out.withColumn("verdict", verdict).select(key, "risk", "agreeing", "verdict")
 
 
+def medians(df: DataFrame, group: str, value: str, name: str = "median", bins: int = 1024) -> DataFrame:
+    """The exact median of each group. Equal values are counted first, a histogram of at most bins rows a group tells the bin of each
+    middle rank, and only values of that bin are ranked; so no group's values are held in one buffer. Nulls and NaN take no part."""
+    v = F.col(value).cast("double")
+    counted = df.where(F.col(group).isNotNull() & v.isNotNull() & ~F.isnan(v)).groupBy(F.col(group).alias("_g"), v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    span = counted.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    placed = counted.join(span, "_g").withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(0).cast("int"))
+    # whether rows up to here, and not those before, reach the lower or the upper middle rank
+    upto, here = F.col("_upto"), F.col("_n")
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+
+    def holds(rank: Column) -> Column:
+        return (upto > rank) & (upto - here <= rank)
+
+    histogram = placed.groupBy("_g", "_bin").agg(F.sum("_n").alias("_n"), F.first("_all").alias("_all"))
+    middle = histogram.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_g").orderBy("_bin"))).where(holds(low) | holds(high))
+    inside = placed.drop("_all").join(middle.select("_g", "_bin", (upto - here).alias("_before"), "_all"), ["_g", "_bin"])
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_bin").orderBy("_v")))
+    return ranked.groupBy(F.col("_g").alias(group)).agg(((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(name))
+
+
 def robust_outliers(df: DataFrame, group: str, value: str, at: float = 4.0, floor: float = 0.05) -> DataFrame:
-    """Rows whose robust z, (x - median) / (1.4826 * MAD), reaches at. Medians are aggregates joined back, so no group is held whole by a window."""
-    middle = df.groupBy(group).agg(F.median(value).alias("median"))
-    spread = df.join(middle, group).groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    """Rows whose robust z, (x - median) / (1.4826 * MAD), reaches at; rows with a null group or value, or NaN, are not returned."""
+    df = df.where(~F.isnan(F.col(value).cast("double")))
+    near = df.join(medians(df, group, value), group)
+    spread = medians(near.select(group, F.abs(F.col(value) - F.col("median")).alias("apart")), group, "apart", "mad")
     z = (F.col(value) - F.col("median")) / F.greatest(F.lit(floor), 1.4826 * F.col("mad"))
-    return df.join(middle, group).join(spread, group).withColumn("z", z).where(F.abs("z") >= at)
+    return near.join(spread, group).withColumn("z", z).where(F.abs("z") >= at)
 
 
 def shift_families(pairs: DataFrame, least: int = 3) -> DataFrame:
@@ -74,6 +99,47 @@ def circular(df: DataFrame, group: str, degrees: str) -> DataFrame:
     return sums.select(group, F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0)).alias("mean"), F.degrees(F.sqrt(F.greatest(F.lit(0.0), -2 * F.log(r)))).alias("spread"))
 
 
-def nearest_blocks(df: DataFrame, key: str, order: list[Column], k: int = 4) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("rank", rank).where(F.col("rank") <= k)
+def _best_of_tile(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int, at: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in a and b and the similarity of each a's k most similar b; b is in order of ids, so ties go to the smaller one."""
+    out = []
+    for start in range(0, len(a), 256):
+        alike = np.round(a[start : start + 256] @ b.T, 4)
+        alike[a_ids[start : start + 256, None] == b_ids] = -2
+        rows, cols = np.nonzero(alike >= at)
+        values = alike[rows, cols]
+        order = np.lexsort((cols, -values, rows))
+        rows, cols, values = rows[order], cols[order], values[order]
+        turn = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        out.append((rows[turn < k] + start, cols[turn < k], values[turn < k]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
+def similar_blocks(df: DataFrame, block: str, vector: str, x: str, y: str, k: int = 4, at: float = 0.98, apart: float = 32.0, tile_rows: int = 4096) -> DataFrame:
+    """Each block's k most similar other blocks (a, b, similarity to 4 decimals, rank), of which pairs below at or nearer than apart are left out.
+
+    All pairs are compared, in tiles of about tile_rows by tile_rows blocks that give back k a block, so pairs are neither shuffled nor
+    gathered. Vectors keep their type until a tile reads them. Rows with a null id or vector take no part; a zero vector is like none;
+    a repeated id is one block, by whichever of its rows.
+    """
+    kept = df.where(F.col(block).isNotNull() & F.col(vector).isNotNull()).select(F.col(block).cast("long").alias("id"), F.col(vector).alias("v"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    stripes = max(1, -(-kept.count() // tile_rows))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+    asks = kept.select(F.lit(True).alias("asks"), own.alias("row"), every.alias("col"), "id", "v", "x", "y")
+    rest = kept.select(F.lit(False).alias("asks"), every.alias("row"), own.alias("col"), "id", "v", "x", "y")
+
+    def tile(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        sides = []
+        for side in (group[group["asks"]].drop_duplicates("id"), group[~group["asks"]].drop_duplicates("id")):
+            if side.empty:
+                return pd.DataFrame(columns=["a", "b", "similarity", "d2"])
+            v = np.stack(side["v"].to_numpy()).astype(np.float64)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            sides.append((side["id"].to_numpy(), v / np.where(norm > 0, norm, 1), side["x"].to_numpy(), side["y"].to_numpy()))
+        (a_ids, a, ax, ay), (b_ids, b, bx, by) = sides
+        i, j, similarity = _best_of_tile(a, b, a_ids, b_ids, k, at)
+        return pd.DataFrame({"a": a_ids[i], "b": b_ids[j], "similarity": similarity, "d2": (ax[i] - bx[j]) ** 2 + (ay[i] - by[j]) ** 2})
+
+    found = asks.unionByName(rest).groupBy("row", "col").applyInPandas(tile, "a LONG, b LONG, similarity DOUBLE, d2 DOUBLE")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    return found.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("d2") >= apart * apart)).select("a", "b", "similarity", "rank")

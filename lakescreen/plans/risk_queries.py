@@ -68,12 +68,9 @@ def _pairs(s, d):
 
 
 def _top_neighbours(s, d):
-    """Top four of each tile's vectors, as the block matcher compares them: within a label and 100 ids."""
-    e = read(s, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 100))
-    a = e.select("block", "label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea"))
-    b = e.select("block", "label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    scored = a.join(b, ["block", "label"]).where("a <> b").select("a", "b", F.round(vectors.cosine(F.col("ea"), F.col("eb")), 4).alias("similarity"))
-    return fusion.nearest_blocks(scored, "a", [F.desc("similarity"), F.asc("b")], 4).select("a", "b", "similarity", F.col("rank").cast("int"))
+    """Top four of each block, the table being one image whose blocks lie 8 apart, 32 to a row. Its vectors are nowhere as alike as 0.98, so 0.25 is asked for."""
+    e = read(s, d, "embeddings").withColumn("x", F.col("vec_id") % 32 * 8).withColumn("y", F.floor(F.col("vec_id") / 32) * 8)
+    return fusion.similar_blocks(e, "vec_id", "embedding", "x", "y", k=4, at=0.25, apart=32)
 
 
 def _stages(s, d):
@@ -119,8 +116,10 @@ SQL = {
     "face_pair_verdict": """WITH p AS (SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
       SELECT vec_id, similarity, CASE WHEN similarity >= 0.363 THEN 'MATCH' WHEN similarity <= 0.25 THEN 'NO_MATCH' ELSE 'INCONCLUSIVE' END AS verdict,
       round(greatest(0.0, least(0.95, 0.82 + 1.2 * CASE WHEN similarity >= 0.363 THEN similarity - 0.363 WHEN similarity <= 0.25 THEN 0.25 - similarity ELSE 0 END - least(0.35, 0.12 * (vec_id % 3) + 0.05 * (vec_id % 2)))), 6) AS confidence FROM p""",
-    "topk_neighbours": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 AND a.label = b.label AND a.vec_id <> b.vec_id)
-      SELECT a, b, similarity, CAST(row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS INTEGER) AS rank FROM p QUALIFY rank <= 4""",
+    "topk_neighbours": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, vec_id % 32 * 8 AS x, vec_id // 32 * 8 AS y FROM embeddings),
+      p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS similarity, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS INTEGER) AS rank FROM p)
+      SELECT a, b, similarity, rank FROM r WHERE rank <= 4 AND similarity >= 0.25 AND d2 >= 32 * 32""",
     "robust_outliers": """WITH m AS (SELECT l_suppkey AS tile, median(l_extendedprice) AS median, mad(l_extendedprice) AS mad FROM lineitem GROUP BY 1),
       z AS (SELECT tile, l_orderkey, l_linenumber, l_partkey, (l_extendedprice - median) / greatest(0.05, 1.4826 * mad) AS z FROM lineitem JOIN m ON l_suppkey = tile) SELECT tile, l_orderkey, l_linenumber, l_partkey, round(z, 6) AS z FROM z WHERE abs(z) >= 1.5""",
     "shift_clusters": """WITH s AS (SELECT l_partkey % 40 - 20 AS dx, l_suppkey % 24 - 12 AS dy FROM lineitem), g AS (SELECT *, greatest(1, gcd(abs(dx), abs(dy))) AS g FROM s)

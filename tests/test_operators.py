@@ -196,3 +196,35 @@ def test_rate_windows_on_a_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.n for r in spark.table("rates").collect()) == [12, 12]
+
+
+def test_medians_are_exact(spark):
+    rows = [("a", float(v)) for v in (5, 1, 3, 3, 9, 2)] + [("b", 7.0)] * 40 + [("b", 1e9), ("b", -1e9)] + [("c", float(v * v)) for v in range(501)] + [("d", None), (None, 1.0), ("e", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in fusion.medians(df, "g", "v", bins=8).collect()}
+    assert got == {"a": 3.0, "b": 7.0, "c": 62500.0}
+    assert fusion.medians(df.limit(0), "g", "v").count() == 0
+    far = fusion.robust_outliers(df, "g", "v").collect()
+    assert sorted(r.v for r in far if r.g == "b") == [-1e9, 1e9]
+    assert all(r.g is not None and r.v == r.v for r in far)
+
+
+@pytest.mark.parametrize("tile_rows", [7, 4096])
+def test_similar_blocks_equal_brute_force(spark, tile_rows):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(60, 6)).astype(np.float32)
+    v[40:] = v[:20] + r.normal(size=(20, 6)) * 0.01
+    v[30:36], v[3] = v[30], 0
+    unit = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
+    alike = np.round(unit @ unit.T, 4)
+    want = set()
+    for a in range(60):
+        for rank, b in enumerate(sorted((b for b in range(60) if b != a), key=lambda b: (-alike[a, b], b))[:4], 1):
+            if alike[a, b] >= 0.98 and (a % 8 - b % 8) ** 2 + (a // 8 - b // 8) ** 2 >= 4:
+                want.add((a, b, rank))
+    df = spark.createDataFrame([(i, x.tolist(), i % 8, i // 8) for i, x in enumerate(v)] + [(None, [1.0] * 6, 0, 0), (99, None, 0, 0)], "id long, e array<float>, x long, y long")
+    got = {(r.a, r.b, r.rank) for r in fusion.similar_blocks(df, "id", "e", "x", "y", apart=2, tile_rows=tile_rows).collect()}
+    assert got == want and len(want) > 30
+    assert fusion.similar_blocks(df.limit(0), "id", "e", "x", "y").count() == 0
