@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 BLOCK = 2048  # candidates of one int8 product
 
@@ -89,7 +90,9 @@ def usable(vector: str) -> Column:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", tile_rows: int = 8192, tile_queries: int = 2048) -> DataFrame:
     """query_id, rank (from 1), the id and score of the k nearest of each query by inner product."""
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    # float vectors are sent as they are, at half the size, and widened in the tile without loss
+    kind = "array<float>" if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "array<double>"
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
     counted = rows.agg(F.count("*"), F.count_if("asks")).first()
     stripes, columns = max(1, -(-counted[0] // tile_rows)), max(1, -(-counted[1] // tile_queries))
@@ -105,7 +108,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             ids, q_ids = rest["id"].to_numpy(), asks["id"].to_numpy()
             if not len(asks) or not len(rest):
                 continue
-            q, v = np.stack(asks["v"].to_numpy()), np.stack(rest["v"].to_numpy())
+            q, v = np.stack(asks["v"].to_numpy()).astype(np.float64), np.stack(rest["v"].to_numpy()).astype(np.float64)
             # an id's first vectors, then the second ones and so on: in each search an id has one vector, so that floors count ids
             turn = rest.groupby("id").cumcount().to_numpy()
             for t in range(turn.max() + 1):

@@ -36,12 +36,13 @@ def docs(spark, corpus):
 # ---- nearest neighbours
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_nearest_equals_brute_force(spark, kind):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=16))]) for i in range(300)]
     rows += [(300 + i, rows[i][1]) for i in range(40)]  # ties
     rows += [(400, None), (420, [0.0] * 16), (440, [float("nan")] * 16), (460, [None] * 16), (480, []), (500, [1.0, 2.0]), (520, [2.0, 1.0])]
-    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, query_id string, score double")
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], f"vec_id long, embedding array<{kind}>, query_id string, score double")
     got = collections.defaultdict(list)
     for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 5, tile_rows=64, tile_queries=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
