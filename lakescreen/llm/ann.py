@@ -93,13 +93,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     # float vectors are sent as they are, at half the size, and widened in the tile without loss
     kind = "array<float>" if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "array<double>"
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
     counted = rows.agg(F.count("*"), F.count_if("asks")).first()
     stripes, columns = max(1, -(-counted[0] // tile_rows)), max(1, -(-counted[1] // tile_queries))
-    spread = F.sequence(F.lit(0), F.lit(columns - 1))
-    candidates = rows.select(F.lit(False).alias("asks"), "id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(stripes)).cast("int").alias("stripe"), F.explode(spread).alias("col"))
-    queries = rows.where("asks").select(F.lit(True).alias("asks"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(columns)).cast("int").alias("col"))
-    tiles = candidates.unionByName(queries).withColumn("size", F.size("v"))
+
+    def places(asks: bool, stripe: Column, col: Column) -> Column:
+        return F.struct(F.lit(asks).alias("asks"), stripe.cast("int").alias("stripe"), col.cast("int").alias("col"))
+
+    # a row is a candidate in one stripe of every column, and a query, if it asks, in one column of every stripe
+    stripe, col = F.pmod(F.xxhash64("id", "v"), F.lit(stripes)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(columns))
+    offered = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: places(False, stripe, c))
+    asked = F.transform(F.sequence(F.lit(0), F.lit(stripes - 1)), lambda s: places(True, s, col))
+    once = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    tiles = once.select("id", "v", F.inline(F.when(F.col("asks"), F.concat(offered, asked)).otherwise(offered))).withColumn("size", F.size("v"))
 
     def tile(group: pd.DataFrame) -> pd.DataFrame:
         out = []
