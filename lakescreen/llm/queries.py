@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, lmscore, mixing, near_dedup, pii, pipeline, substring_dedup, toxicity
-from .common import held_out, read_table
+from . import ann, chat, decontam, langid, licenses, lmscore, mixing, near_dedup, pii, pipeline, runs, substring_dedup, toxicity, whitening
+from .common import WORD_PATTERN, held_out, read_table
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,55 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document (by a hash of its id) repeats its words from a place on with one period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    listed = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    at = F.when(n > 0, F.pmod(g, n)).cast("int")
+    placed = listed.withColumn("a", at).withColumn("p", (F.floor((n - F.col("a")) / (g % 8 + 3)) + 1).cast("int"))
+    once = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(once, F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    whole = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), n - F.col("a")))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.collapse(planted_runs(read_table(spark, sf_dir, "documents")))
+    best = F.aggregate("runs", F.expr("CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>)"), lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    told = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return told.select(
+        "doc_id",
+        "n_runs",
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return whitening.whiten(table, whitening.fit(table, components=4))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.index(docs))
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def _escaped(text: str) -> str:
     """DuckDB: the text with backslashes doubled and control strings broken."""
     out = f"replace({text}, '\\', '\\\\')"
@@ -122,6 +171,35 @@ kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS t, count(*) AS n
 SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
+#: crc32 of a short ASCII text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+_OP11_SQL = rf"""
+WITH listed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC32} AS h FROM documents),
+placed AS (SELECT *, (h // 10) % len(w) AS a, 3 + (h // 10) % 8 AS k FROM listed),
+planted AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+    THEN w[1:a] || list_transform(generate_series(0, len(w) - a - 1), lambda i: w[a + 1 + i % (1 + (len(w) - a) // k)]) ELSE w END AS w FROM placed),
+grams AS (
+  SELECT doc_id, i, n, md5(array_to_string(w[i + 1:i + 9], ' ')) AS g
+  FROM (SELECT doc_id, w, len(w) AS n, unnest(generate_series(0, len(w) - 9)) AS i FROM planted WHERE len(w) >= 24)),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS d FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.g = b.g AND b.i > a.i AND b.i - a.i <= a.n // 3),
+islands AS (SELECT doc_id, d, i, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, d, min(i) AS start, count(*) + 8 + d AS length FROM islands GROUP BY doc_id, d, island),
+runs AS (SELECT doc_id, start, length, min(d) AS period FROM stretches WHERE length >= greatest(24, 3 * d) GROUP BY doc_id, start, length),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM runs),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, min(start) FILTER (k = 1) AS start, min(length) FILTER (k = 1) AS length, min(period) FILTER (k = 1) AS period,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM ranked GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(generate_series(start + period, start + length - 1)) AS i FROM runs),
+spread AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS i FROM planted WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM spread s WHERE NOT EXISTS (FROM dropped d WHERE d.doc_id = s.doc_id AND d.i = s.i) GROUP BY doc_id)
+SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 _OP1_SQL = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
@@ -147,9 +225,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_mix": op9_mix,
         "op10_chat": op10_chat,
+        "op11_runs": op11_runs,
+        "op12_whiten": op12_whiten,
+        "op13_licenses": op13_licenses,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nearest": _OP1_SQL, "op4_substring_dedup": _OP4_SQL, "op10_chat": _OP10_SQL}
+    return {"op1_nearest": _OP1_SQL, "op4_substring_dedup": _OP4_SQL, "op10_chat": _OP10_SQL, "op11_runs": _OP11_SQL}
