@@ -118,3 +118,65 @@ def verify(claims: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
 def anchor(new: DataFrame, anchored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new that are not anchored yet, each once: anchoring twice is the same as once."""
     return new.dropDuplicates(keys).join(anchored.select(*keys), keys, "left_anti")
+
+
+def around_previous(df: DataFrame, columns: list[str]) -> tuple[Column, Column]:
+    """The canonical JSON of a record and prev_entry_hash, cut where the previous hash stands: what comes before it, and after."""
+    early, late = (sorted(c for c in columns if (c < "prev_entry_hash") == first) for first in (True, False))
+    keep = {"ignoreNullFields": "false"}
+    json = lambda names: F.regexp_replace(F.to_json(F.struct(*names), keep), r"^\{|\}$", "")
+    head = F.concat(F.lit("{"), *([json(early), F.lit(",")] if early else []), F.lit('"prev_entry_hash":"'))
+    tail = F.concat(F.lit('"'), *([F.lit(","), json(late)] if late else []), F.lit("}"))
+    return head, tail
+
+
+def record_chain(df: DataFrame, ledger: str, order: list[str], columns: list[str], entry: str = "screening_id") -> DataFrame:
+    """Each ledger's records in order, with sequence, prev_entry_hash, entry_hash and ledger_status.
+
+    entry_hash is the SHA-256 of the record's canonical JSON, sorted by key, with prev_entry_hash as one of its keys; the first one's is 64 zeros.
+    Personal fields are refused before anything runs. A record whose entry is null or empty is failed and takes no place in the chain.
+    """
+    found = FORBIDDEN & {c.lower() for c in columns}
+    if found:
+        raise ValueError(f"not for the ledger: {', '.join(sorted(found))}")
+    head, tail = around_previous(df, columns)
+    rows = df.select(F.col(ledger).alias("ledger"), *[F.col(c) for c in dict.fromkeys([*order, entry])], head.alias("before"), tail.alias("after"))
+    dealt = rows.repartition("ledger").sortWithinPartitions("ledger", *order, "before", "after")
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    kept = ["ledger", *dict.fromkeys([*order, entry])]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + ["sequence LONG", "prev_entry_hash STRING", "entry_hash STRING", "ledger_status STRING"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sequence, last = object(), 0, GENESIS
+        for batch in batches:
+            out = []
+            for name, key, before, after in zip(*(batch.column(c).to_pylist() for c in ("ledger", entry, "before", "after")), strict=True):
+                if name != now:
+                    now, sequence, last = name, 0, GENESIS
+                if key is None or key == "":
+                    out.append((None, None, None, "failed"))
+                    continue
+                previous, sequence = last, sequence + 1
+                last = hashlib.sha256((before + previous + after).encode()).hexdigest()
+                out.append((sequence, previous, last, "logged"))
+            more = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *more], [*kept, "sequence", "prev_entry_hash", "entry_hash", "ledger_status"])
+
+    return dealt.mapInArrow(follow, schema)
+
+
+def verify_record(claims: DataFrame, ledger: DataFrame, committed: DataFrame, key: str) -> DataFrame:
+    """claims (key, recomputed) against the ledger (key, stored) and the database's own commitment (key, committed).
+
+    Returns recomputed, stored, committed, db_hash_match (null without a commitment), verified, on_ledger, record_changed and conclusion:
+    UNCHANGED if the ledger has the recomputed hash, CHANGED if ledger or database has another one, NOT ON LEDGER if neither says so and the ledger has none,
+    UNAVAILABLE without a recomputed hash.
+    """
+    both = claims.join(ledger, key, "left").join(committed, key, "left")
+    recomputed, stored = F.col("recomputed"), F.col("stored")
+    match = F.col("committed") == recomputed
+    verified = F.coalesce(stored == recomputed, F.lit(False))
+    changed = F.coalesce(~match, F.lit(False)) | (stored.isNotNull() & ~verified)
+    conclusion = F.when(recomputed.isNull(), "UNAVAILABLE").when(verified, "UNCHANGED").when(changed, "CHANGED").otherwise("NOT ON LEDGER")
+    known = recomputed.isNotNull()
+    return both.select(key, "recomputed", "stored", "committed", match.alias("db_hash_match"), (known & verified).alias("verified"), stored.isNotNull().alias("on_ledger"), (known & changed).alias("record_changed"), conclusion.alias("conclusion"))
