@@ -130,29 +130,35 @@ def around_previous(df: DataFrame, columns: list[str]) -> tuple[Column, Column]:
     return head, tail
 
 
-def record_chain(df: DataFrame, ledger: str, order: list[str], columns: list[str], entry: str = "screening_id") -> DataFrame:
+def record_chain(df: DataFrame, ledger: str, order: list[str], columns: list[str], entry: str = "screening_id", keep: tuple[str, ...] = (), start: DataFrame | None = None) -> DataFrame:
     """Each ledger's records in order, with sequence, prev_entry_hash, entry_hash and ledger_status.
 
     entry_hash is the SHA-256 of the record's canonical JSON, sorted by key, with prev_entry_hash as one of its keys; the first one's is 64 zeros.
-    Personal fields are refused before anything runs. A record whose entry is null or empty is failed and takes no place in the chain.
+    Personal fields are refused before anything runs. A record whose entry is null or empty is failed and takes no place in the chain. With
+    start (ledger, start_sequence, start_hash) the chains of these ledgers go on from there. Columns of keep are returned too.
     """
     found = FORBIDDEN & {c.lower() for c in columns}
     if found:
         raise ValueError(f"not for the ledger: {', '.join(sorted(found))}")
     head, tail = around_previous(df, columns)
-    rows = df.select(F.col(ledger).alias("ledger"), *[F.col(c) for c in dict.fromkeys([*order, entry])], head.alias("before"), tail.alias("after"))
-    dealt = rows.repartition("ledger").sortWithinPartitions("ledger", *order, "before", "after")
+    kept = ["ledger", *dict.fromkeys([*order, entry, *keep])]
+    rows = df.select(F.col(ledger).alias("ledger"), *[F.col(c) for c in kept[1:]], head.alias("before"), tail.alias("after"))
+    tails = F.lit(0).cast("long").alias("start_sequence"), F.lit(GENESIS).alias("start_hash")
+    if start is not None:
+        tail_of = start.select(F.col("ledger").cast("string").alias("_of"), "start_sequence", "start_hash")
+        rows = rows.join(tail_of, F.col("ledger").cast("string").eqNullSafe(F.col("_of")), "left")
+        tails = F.coalesce("start_sequence", tails[0]).alias("start_sequence"), F.coalesce("start_hash", tails[1]).alias("start_hash")
+    dealt = rows.select(*kept, "before", "after", *tails).repartition("ledger").sortWithinPartitions("ledger", *order, "before", "after")
     types = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
-    kept = ["ledger", *dict.fromkeys([*order, entry])]
     schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + ["sequence LONG", "prev_entry_hash STRING", "entry_hash STRING", "ledger_status STRING"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sequence, last = object(), 0, GENESIS
         for batch in batches:
             out = []
-            for name, key, before, after in zip(*(batch.column(c).to_pylist() for c in ("ledger", entry, "before", "after")), strict=True):
+            for name, key, before, after, first, tail_hash in zip(*(batch.column(c).to_pylist() for c in ("ledger", entry, "before", "after", "start_sequence", "start_hash")), strict=True):
                 if name != now:
-                    now, sequence, last = name, 0, GENESIS
+                    now, sequence, last = name, first, tail_hash
                 if key is None or key == "":
                     out.append((None, None, None, "failed"))
                     continue
