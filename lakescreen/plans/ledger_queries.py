@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import audit
+from ..sources import keyed, ledger_source
 from ..sources.shared import shared_folder
 from ..sources.views import SCREENINGS_SQL, read, screenings
 from ..streaming import ledgers
@@ -79,7 +80,50 @@ def _verified(s, d):
     return audit.verify_record(claims, stored, committed, "id").select("id", "db_hash_match", "verified", "on_ledger", "record_changed", "conclusion")
 
 
+def _folder(s, name):
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _upserted(s, d):
+    """Screenings stored by id; then those in progress get their report, and pending ones an anchor, which reviewed ones keep as it is."""
+    folder = _folder(s, "keyed")
+    rows = screenings(s, d).select("id", "status", "risk_score")
+    keyed.upsert(rows, folder, ["id"])
+    keyed.upsert(rows.where("status = 'processing'").select("id", F.lit("pending_review").alias("status"), (F.col("id") % 101).alias("risk_score")), folder, ["id"])
+    keyed.upsert(rows.where("id % 4 = 0").select("id", F.lit("anchored").alias("status"), "risk_score", F.col("id").cast("string").alias("anchor")), folder, ["id"], unless=F.col("status") == "reviewed")
+    return keyed.current(s, folder).select("id", "status", "risk_score", "anchor")
+
+
+def _looked_up(s, d):
+    folder = _folder(s, "lookup")
+    keyed.for_lookups(screenings(s, d).select("run_id", "id", "status"), folder, "run_id")
+    wanted = s.range(1).select(F.md5(F.lit("77"))).first()[0]
+    return keyed.lookup(s, folder, "run_id", wanted).select("run_id", "id", "status")
+
+
+def _widened(s, d):
+    """Suppliers stored with two columns; later ones come with a third one, and a fourth is asked for that no file has."""
+    folder = _folder(s, "widened")
+    rows = read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    keyed.upsert(rows, folder, ["id"], parts=16)
+    keyed.upsert(rows.where("id % 3 = 0").withColumn("grade", (F.col("id") % 5).cast("int")), folder, ["id"])
+    return keyed.added(keyed.current(s, folder), "id long, grade int, note string")[0].select("id", "nation", "grade", "note")
+
+
+def _backend(s, d):
+    """Records appended in two goes, the second of which tells half of the first again."""
+    path, records = _folder(s, "ledger"), _records(s, d).where("screening_id <> ''")
+    order = ["timestamp", "id"]
+    for part in (records.where("timestamp < '1996-01-01'"), records.where("timestamp >= '1996-01-01' OR id % 2 = 0")):
+        ledger_source.append(part, path, "operator_id", order, _FIELDS)
+    return ledger_source.entries(s, path).select(F.col("ledger").cast("long").alias("ledger"), "sequence", "screening_id", "prev_entry_hash", "entry_hash")
+
+
 QUERIES = {
+    "keyed_upsert": _upserted,
+    "point_lookup": _looked_up,
+    "added_columns": _widened,
+    "ledger_backend": _backend,
     "ledger_record_chain": _chain,
     "ledger_chain_stream": _stream,
     "token_denylist_stream": _tokens,
@@ -88,6 +132,11 @@ QUERIES = {
 }
 
 SQL = {
+    "keyed_upsert": f"""WITH {SCREENINGS_SQL}, p AS (SELECT id, CASE WHEN status = 'processing' THEN 'pending_review' ELSE status END AS status, risk_score AS first_score, CASE WHEN status = 'processing' THEN id % 101 ELSE risk_score END AS risk_score FROM scr)
+      SELECT id, CASE WHEN id % 4 = 0 AND status <> 'reviewed' THEN 'anchored' ELSE status END AS status, CASE WHEN id % 4 = 0 AND status <> 'reviewed' THEN first_score ELSE risk_score END AS risk_score,
+        CASE WHEN id % 4 = 0 AND status <> 'reviewed' THEN CAST(id AS VARCHAR) END AS anchor FROM p""",
+    "point_lookup": f"WITH {SCREENINGS_SQL} SELECT run_id, id, status FROM scr WHERE run_id = md5('77')",
+    "added_columns": "SELECT s_suppkey AS id, s_nationkey AS nation, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 5 AS INTEGER) END AS grade, CAST(NULL AS VARCHAR) AS note FROM supplier",
     "ledger_record_chain": f"""WITH RECURSIVE {SCREENINGS_SQL}, r AS (SELECT operator_id AS ledger, id, CASE WHEN id % 50 <> 7 THEN run_id ELSE '' END AS entry, strftime(created_at, '%Y-%m-%d') AS ts,
         '{{"face_match_status":"' || CASE WHEN human_review_required THEN 'MATCH' ELSE 'unknown' END || '","prev_entry_hash":"' AS head,
         '","result_hash":"' || sha256(run_id || '|' || status) || '","risk_score":"' || coalesce(CAST(risk_score AS VARCHAR), 'unknown') || '","screening_id":"' || CASE WHEN id % 50 <> 7 THEN run_id ELSE '' END
@@ -106,3 +155,6 @@ SQL = {
       c AS (SELECT *, known AND (coalesce(NOT db_hash_match, false) OR (on_ledger AND NOT verified)) AS record_changed FROM v)
       SELECT id, db_hash_match, verified, on_ledger, record_changed, CASE WHEN NOT known THEN 'UNAVAILABLE' WHEN verified THEN 'UNCHANGED' WHEN record_changed THEN 'CHANGED' ELSE 'NOT ON LEDGER' END AS conclusion FROM c""",
 }
+
+#: The same chain as that of ledger_record_chain, by the record's own id.
+SQL["ledger_backend"] = SQL["ledger_record_chain"].split("SELECT ledger, id, sequence, prev_entry_hash, entry_hash, 'logged'")[0] + "SELECT c.ledger, c.sequence, scr.run_id AS screening_id, prev_entry_hash, entry_hash FROM c JOIN scr ON c.id = scr.id"

@@ -31,7 +31,9 @@ _ARROW = pa.schema([("ledger", pa.string()), ("sequence", pa.int64()), (KEY, pa.
 
 
 def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+    if path.startswith("file:") and "://" not in path:  # as Hadoop writes it
+        path = path.removeprefix("file:")
+    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
 
 
 def _committed(path: str) -> list[dict]:
