@@ -2,13 +2,15 @@
 
 Text is lower-cased and everything but letters becomes one space. For every language the model holds the probability of a
 character after the ORDER - 1 before it, with one absolute discount at each order and continuation counts below the highest.
-All languages share sorted arrays of n-gram hashes; a row of log-probabilities, one column for each language, stands beside each
-hash. A text goes to the language of least cross-entropy per character. The rejection is calibrated: above the entropy
-that ``calibrate_at`` of the learned documents stay under, ``lang`` is ``und``; ``best`` always names the nearest language.
-
-Bounds: learning takes whole documents by a hash of doc_id, so many that ``docs_per_lang`` of each language are expected, or fewer of each where
-there are so many languages that this would be more than ``max_docs``; every language is learned. N-grams are counted in Spark, and
-the model grows with that sample and not with the corpus. One in eight of these documents teaches nothing and calibrates the rejection.
+All languages share sorted arrays of n-gram hashes, beside which stand the log-probabilities of those languages that have the n-gram; what a
+language lacks is derived from the order below as it is asked for. A text goes to the language of least cross-entropy per character. The
+rejection is calibrated: above the entropy that ``calibrate_at`` of the learned documents stay under, ``identified`` is ``und``; ``best`` always
+names the nearest language.
+
+Bounds: learning takes whole documents, the first of each language by a hash of doc_id: ``docs_per_lang`` at most, max_docs / languages at most and
+max_bytes / languages of text at most, but one of each language in any case. So every language is taught, and the sample has
+``max_bytes`` and one document of each language at most. N-grams are counted in Spark; the model has at most ORDER entries for each character
+of the sample, whatever the number of languages. Every eighth document of a language teaches nothing and calibrates the rejection.
 Prediction covers every document and its whole text.
 
 Defined cases: a null text, or one without letters (of any plane of Unicode), is ``und`` with score 0; without any learned language all are
@@ -23,12 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64
+from .common import checkpoint, held_out, mix64
 
 ORDER = 4
+#: Log-probabilities of n-grams in languages that are held at once.
+CELLS = 1 << 22
 _BITS = np.uint64(16)
 UNKNOWN = "und"
 _LETTER = np.zeros(1 << 16, bool)
@@ -94,72 +98,66 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray, units: int) -> list[tuple[n
     return out
 
 
+@dataclass
+class Sparse:
+    """Sorted hashes, and the languages and values of each: entries first[i]:first[i + 1]."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of wanted, language and value of all entries that these keys have."""
+        hashed = mix64(wanted)
+        at = np.searchsorted(self.hashes, hashed)
+        at[at == len(self.hashes)] = 0
+        row = np.flatnonzero(self.hashes[at] == hashed)
+        n = self.first[at[row] + 1] - self.first[at[row]]
+        entry = np.repeat(self.first[at[row]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(row, n), self.lang[entry], self.value[entry]
+
+
 @dataclass
 class Model:
-    """Sorted hashes with one log-probability for each language, for each order; the same for contexts' backoff weights."""
+    """For each order the log-probabilities of n-grams and the log-weights that contexts leave to the order below, as far as each language has them."""
 
     langs: list[str]
-    hashes: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
+    grams: list[Sparse]
+    contexts: list[Sparse]
     floor: float
     reject_above: float = np.inf
     sharpness: float = 20.0
 
 
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashed = mix64(keys)
-    by = np.argsort(hashed)
-    return hashed[by], np.ascontiguousarray(values[by], np.float32)
+def _sparse(tables: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+    """The keys and values of each language, by hash and language."""
+    keys = mix64(np.concatenate([k for k, _ in tables]))
+    lang = np.repeat(np.arange(len(tables), dtype=np.int32), [len(k) for k, _ in tables])
+    by = np.lexsort([lang, keys])
+    hashes, first = np.unique(keys[by], return_index=True)
+    return Sparse(hashes, np.append(first, len(by)), lang[by], np.concatenate([np.log(v) for _, v in tables]).astype(np.float32)[by])
 
 
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """counts: for each language, sorted n-grams of the highest order and how often they occur."""
     langs = sorted(counts)
-    units = 2 + len({int(u) for k, _ in counts.values() for u in np.unique(k & _mask(1))})
+    units = 2 + len(np.unique(np.concatenate([np.unique(k & _mask(1)) for k, _ in counts.values()])))
     tables = [kneser_ney(*counts[lang], units) for lang in langs]
-    floor = float(np.log(1 / units))
-    model = Model(langs, [], [], [], [], floor)
-    below_keys, below = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
-    for order in range(ORDER):
-        contexts = np.unique(np.concatenate([t[order][2] for t in tables]))
-        back = np.zeros((len(contexts), len(langs)))
-        for j, t in enumerate(tables):
-            back[np.searchsorted(contexts, t[order][2]), j] = np.log(t[order][3])
-        keys = np.unique(np.concatenate([t[order][0] for t in tables]))
-        where = np.searchsorted(contexts, keys >> _BITS if order else np.zeros(len(keys), np.uint64))
-        lower = below[np.searchsorted(below_keys, keys & _mask(order))] if order else np.full((len(keys), len(langs)), floor)
-        logs = back[where] + lower  # of n-grams that a language lacks; without the context, its weight is one
-        for j, t in enumerate(tables):
-            logs[np.searchsorted(keys, t[order][0]), j] = np.log(t[order][1])
-        below_keys, below = keys, logs
-        for into, (k, v) in (((model.hashes, model.logs), _sorted(keys, logs)), ((model.contexts, model.backoff), _sorted(contexts, back))):
-            into[0].append(k)
-            into[1].append(v)
-    return model
-
-
-def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashed = mix64(wanted)
-    at = np.searchsorted(keys, hashed)
-    at[at == len(keys)] = 0
-    return at, keys[at] == hashed
+    of = lambda order, a, b: _sparse([(t[order][a], t[order][b]) for t in tables])
+    return Model(langs, [of(o, 0, 1) for o in range(ORDER)], [of(o, 2, 3) for o in range(ORDER)], float(np.log(1 / units)))
 
 
 def log_probabilities(model: Model, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """A row for each n-gram: its log-probability in each language."""
-    at, found = _lookup(model.hashes[order - 1], keys)
-    out = model.logs[order - 1][at]
-    if not found.all():
-        miss = np.flatnonzero(~found)
-        if order == 1:
-            context, known = np.zeros(len(miss), np.int64), np.ones(len(miss), bool)
-            lower = np.full((len(miss), len(model.langs)), model.floor, np.float32)
-        else:
-            context, known = _lookup(model.contexts[order - 1], keys[miss] >> _BITS)
-            lower = log_probabilities(model, keys[miss] & _mask(order - 1), order - 1)
-        out[miss] = lower + np.where(known[:, None], model.backoff[order - 1][context], 0)
+    """A row for each n-gram: its log-probability in each language. What a language lacks is what the context leaves times the shorter n-gram."""
+    if order == 0:
+        return np.full((len(keys), len(model.langs)), model.floor)
+    shorter, where = np.unique(keys & _mask(order - 1), return_inverse=True)
+    out = log_probabilities(model, shorter, order - 1)[where]
+    row, lang, value = model.contexts[order - 1].of(keys >> _BITS)
+    out[row, lang] += value
+    row, lang, value = model.grams[order - 1].of(keys)
+    out[row, lang] = value
     return out
 
 
@@ -167,13 +165,22 @@ def entropies(model: Model, documents: list[str | None]) -> tuple[np.ndarray, np
     """Nats per character of each document in each language, and the number of characters."""
     out, size = np.full((len(documents), len(model.langs)), np.inf), np.zeros(len(documents), np.int64)
     parts, held, total = [], [], 0
+    step = max(1, CELLS // len(model.langs))
 
     def flush() -> None:
         nonlocal parts, held, total
         if parts:
-            logs = log_probabilities(model, np.concatenate(parts))
-            begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-            out[held] = -np.add.reduceat(logs, begin, axis=0, dtype=np.float64) / size[held][:, None]
+            keys, where = np.unique(np.concatenate(parts), return_inverse=True)  # a text has few different n-grams
+            doc = np.repeat(np.array(held), [len(p) for p in parts])
+            sums = np.zeros((len(documents), len(model.langs)))
+            for lo in range(0, len(keys), step):
+                logs = log_probabilities(model, keys[lo : lo + step])
+                mine = np.flatnonzero((where >= lo) & (where < lo + step))
+                for a in range(0, len(mine), step):
+                    some = mine[a : a + step]
+                    begin = np.concatenate([[0], np.flatnonzero(np.diff(doc[some])) + 1])
+                    sums[doc[some][begin]] += np.add.reduceat(logs[where[some] - lo], begin, axis=0)
+            out[held] = -sums[held] / size[held][:, None]
         parts, held, total = [], [], 0
 
     for i, text in enumerate(documents):
@@ -189,20 +196,26 @@ def entropies(model: Model, documents: list[str | None]) -> tuple[np.ndarray, np
     return out, size
 
 
-def _sample(docs: DataFrame, docs_per_lang: int, max_docs: int) -> DataFrame:
-    """Text, lang and aside (whether the row only calibrates) of the documents to learn from."""
+def _sample(docs: DataFrame, docs_per_lang: int, max_docs: int, max_bytes: int) -> DataFrame:
+    """Text, lang and aside (whether the row only calibrates) of the documents to learn from: the first of each language by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = sizes.count()
-    share = sizes.select("lang", (F.lit(float(min(docs_per_lang, max(1, max_docs // max(1, langs))))) / F.col("n")).alias("share"))
-    chosen = known.join(F.broadcast(share) if langs <= 1 << 16 else share, "lang")
-    chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.least("share", F.lit(1.0)) * (1 << 30))
-    return chosen.select("text", "lang", (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8)) == 0).alias("aside"))
-
-
-def learn(docs: DataFrame, docs_per_lang: int = 1500, calibrate_at: float = 0.999, max_docs: int = 48_000) -> Model | None:
+    langs = max(1, known.select("lang").distinct().count())
+    each = max(1, min(docs_per_lang, max_docs // langs))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "bytes")
+    # ids alone are ranked, and each task gives a language's first ones only
+    slim = known.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    ranked = slim.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= each)
+    before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("turn") == 1) | (F.col("before") + F.col("bytes") <= max_bytes // langs))
+    # every eighth teaches nothing, so never a language's first seven
+    taken = chosen.groupBy("doc_id", "lang").agg((F.min("turn") % 8 == 0).alias("aside"))
+    few = max(max_docs, langs) <= 1 << 20
+    return known.join(F.broadcast(taken) if few else taken, ["doc_id", "lang"]).select("text", "lang", "aside")
+
+
+def learn(docs: DataFrame, docs_per_lang: int = 1500, calibrate_at: float = 0.999, max_docs: int = 48_000, max_bytes: int = 32 << 20) -> Model | None:
     """The models of all languages in docs; None without any."""
-    sample = _sample(docs, docs_per_lang, max_docs)
+    sample = checkpoint(_sample(docs, docs_per_lang, max_docs, max_bytes))
     teaching = sample.where("NOT aside").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
