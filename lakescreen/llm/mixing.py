@@ -6,7 +6,8 @@ other loses, in a random direction chosen so that neither expectation changes, u
 all. The other goes on to the next. Expected words of a source are kept exactly, so what it yields differs from its target by
 less than one document.
 
-Documents are dealt to groups of one source and one hash bucket, so a source with a third of all rows is many groups. Each
+Documents are dealt to groups of one source and one hash bucket, so a source with a third of all rows is many groups, and so is one
+document that is repeated, as the bucket is that of its id, its text and its number among equal rows. Each
 group is settled by one task and leaves one undecided document; what the groups leave is grouped again, level by level,
 until one document of each source is left, which chance decides. All randomness is a hash of the seed, the source's rank,
 the level and the bucket, so reruns agree.
@@ -17,7 +18,7 @@ weight; a target stops at ``cap`` times its source's size, and the excess is sha
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, after the others; repeated
 rows are documents of their own, which rank by chance among each other; null ids are ids like others; an empty table gives no rows.
 Sizes are always counted from the text: a column size of the input is not read, nor are others but those named in ``carry``,
-which may have any name but those of the result.
+which may have any name but those of the result and any type that can be grouped.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, checkpoint
@@ -46,17 +47,33 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     those before the first that the level does not fill stand at their caps. Rows are one for each source.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("rank", F.row_number().over(ordered) - 1)
+    ranked = _before(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap).withColumn("fill", F.col("most") / F.col("weight"))
-    every = Window.partitionBy()
-    before = Window.orderBy("fill", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) * share - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    out = ranked.withColumn("level", level)
+    summed = _before(ranked, ["fill", "rank"], {"capped": F.col("most"), "passed": F.col("weight")})
+    every = summed.agg(F.sum("source_size"), F.sum("weight")).first()
+    left = (every[0] or 0) * share - F.col("capped")
+    out = summed.withColumn("level", left / (F.lit(every[1] or 0.0) - F.col("passed")))
     # the level that holds is that of the first source which it does not fill
-    held = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "rank", "level"))).over(every)["level"]
-    return out.withColumn("held", held).select("source", "rank", "docs", "source_size", F.when(F.col("held").isNull(), F.col("most")).otherwise(F.least("most", F.col("held") * F.col("weight"))).alias("target"))
+    first = out.agg(F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "rank", "level")))).first()[0]
+    target = F.col("most") if first is None else F.least("most", F.lit(first["level"]) * F.col("weight"))
+    return out.select("source", "rank", "docs", "source_size", target.alias("target"))
+
+
+def _before(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """df with running sums of all rows before each in an order without ties. Ranges of rows are summed side by side; the driver adds up one total a range."""
+    slim = df.withColumns({f"_{n}": c for n, c in sums.items()})
+    ranges = checkpoint(slim.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    totals = ranges.groupBy("_part").agg(*[F.sum(f"_{n}").alias(n) for n in sums]).orderBy("_part").collect()
+    upto, offsets = {n: 0 for n in sums}, []
+    for r in totals:
+        offsets.append((r["_part"], *upto.values()))
+        upto = {n: upto[n] + r[n] for n in sums}
+    kinds = {n: slim.schema[f"_{n}"].dataType.simpleString() for n in sums}
+    start = df.sparkSession.createDataFrame([(o[0], *[float(v) if k == "double" else v for v, k in zip(o[1:], kinds.values(), strict=True)]) for o in offsets], "_part int, " + ", ".join(f"_{n}_from {k}" for n, k in kinds.items()))
+    earlier = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranges.join(F.broadcast(start), "_part")  # one row a range
+    return joined.select(*df.columns, *[(F.col(f"_{n}_from") + F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0).cast(k))).alias(n) for n, k in kinds.items()])
 
 
 def settle(sizes: np.ndarray, words: np.ndarray, draws: np.ndarray) -> int:
@@ -85,7 +102,7 @@ def _settler(seed: int, level: int, last: bool):
     """The task that settles one group of a level; the last level leaves nothing open."""
 
     def settle_group(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "doc_id", "content"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["size", "doc_id", "content", "turn"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(group["rank"][0]), int(group["bucket"][0])])
         sizes, words = group["size"].to_numpy(float), group["words"].to_numpy(float).copy()
         draws = rng.random(len(group) + 1)
@@ -103,7 +120,9 @@ def _settler(seed: int, level: int, last: bool):
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 11, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document), and the columns in carry."""
     sized = with_sizes(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("content"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    slim = checkpoint(sized)
+    # equal rows are counted, then told one by one again, so that each has a number of its own
+    known = checkpoint(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("times")))
+    slim = known.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
     goals = checkpoint(targets(slim, weights, share, cap))
     largest = goals.agg(F.max("docs")).first()[0] or 0
     mixed = slim.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", "rank", "docs", "source_size", "target")
@@ -116,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     for level in range(levels):
         last = level == levels - 1
         rest = F.ceil(F.col("docs") / float(GROUP ** (level + 1)))
-        bucket = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", "content", F.lit(seed)), rest)
+        bucket = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", "content", "turn", F.lit(seed)), rest)
         grouped = open_.withColumn("bucket", bucket.cast("long"))
         schema = grouped.drop("bucket").withColumn("more", F.lit(0)).withColumn("open", F.lit(False)).schema
 

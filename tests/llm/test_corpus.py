@@ -637,3 +637,44 @@ def test_near_duplicates_recall_on_a_table(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
     linked = [i for i in want if want[i] != i]
     assert linked and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked) and all(got[i] == want[i] or want[i] != i for i in want)
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """20,000 equal rows are many groups, and their source comes near its target."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.lit("s").alias("source"))
+    more = spark.createDataFrame([(2, "other text", "t")], "doc_id long, text string, source string")
+    sizes = []
+    plain = PandasGroupedOpsMixin.applyInPandas
+
+    def watched(self, func, schema):
+        sizes.append(self._df.groupBy("rank", "bucket").count().agg(F.max("count")).first()[0])
+        return plain(self, func, schema)
+
+    monkeypatch.setattr(type(rows.groupBy()), "applyInPandas", watched)
+    mixed = mixing.mix(rows.union(more)).where("source = 's'").collect()
+    assert max(sizes) < 2 * mixing.GROUP and len(mixed) == 20_000
+    taken = sum(r.copies for r in mixed) * 3
+    assert abs(taken - mixed[0].target) < 3
+
+
+def test_targets_of_many_sources(spark):
+    """Levels by ranges equal one pass over all sources."""
+    rng = np.random.default_rng(8)
+    sized = spark.createDataFrame([(f"h{i:04}", int(rng.integers(1, 5000))) for i in range(3000)], "source string, size long").repartition(3)
+    got = {r.source: r.target for r in mixing.targets(sized).collect()}
+    size = {r.source: r.size for r in sized.collect()}
+    names = sorted(size)
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    left, open_, want = 1.5 * sum(size.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[n] for n in open_)
+        full = {n for n in open_ if level * weight[n] > 2 * size[n]}
+        if not full:
+            want |= {n: level * weight[n] for n in open_}
+            break
+        want |= {n: 2.0 * size[n] for n in full}
+        left -= sum(2.0 * size[n] for n in full)
+        open_ -= full
+    assert got == pytest.approx(want)
