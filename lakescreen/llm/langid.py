@@ -199,11 +199,14 @@ def entropies(model: Model, documents: list[str | None]) -> tuple[np.ndarray, np
 def _sample(docs: DataFrame, docs_per_lang: int, max_docs: int, max_bytes: int) -> DataFrame:
     """Text, lang and aside (whether the row only calibrates) of the documents to learn from: the first of each language by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    langs = max(1, known.select("lang").distinct().count())
+    sizes = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    langs = max(1, sizes.count())
     each = max(1, min(docs_per_lang, max_docs // langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "bytes")
-    # ids alone are ranked, and each task gives a language's first ones only
-    slim = known.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "bytes")
+    # ids alone are ranked. A language of very many documents leaves those of low hashes only, several times more than are wanted
+    share = sizes.select("lang", F.least(F.lit(1.0), (4.0 * each + 100) / F.col("n")).alias("share"))
+    slim = known.select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    slim = slim.join(F.broadcast(share) if langs <= 1 << 16 else share, "lang").where(F.col("h") < F.col("share") * (1 << 30)).drop("share")
     ranked = slim.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= each)
     before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
     chosen = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("turn") == 1) | (F.col("before") + F.col("bytes") <= max_bytes // langs))
