@@ -56,7 +56,7 @@ def by_neighbours(c: Column) -> Column:
 
 def ambiguous(c: Column) -> Column:
     """Whether a token holds a character that readers confuse."""
-    return c.rlike("[O0Qo1lI|5S2Z8B6G]")
+    return c.rlike(f"[{AMBIGUOUS}]")
 
 
 @F.pandas_udf(StringType())
@@ -163,7 +163,7 @@ def rightmost_hop(c: Column) -> Column:
     return F.try_element_at(parts, F.lit(-1))
 
 
-#: What may be a date in running text: day, month's name, year; or numbers with the year first or last.
+# Fixed value: what may be a date in running text: day, month's name, year; or numbers with the year first or last.
 _DATE = r"\b(\d{1,2}[ ./\-][A-Za-z0-9]{3,9}[ ./\-]\d{2,4}|\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}|\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})\b"
 
 
@@ -187,9 +187,14 @@ def date_tokens(c: Column) -> Column:
     return F.array_compact(F.transform(F.regexp_extract_all(c, F.lit(_DATE), F.lit(1)), normal_date))
 
 
+# Letters that readers take for digits in a date.
+DATE_FIXES = {"O": "0", "o": "0", "I": "1", "l": "1", "S": "5", "B": "8"}
+
+
 def expiry_date(c: Column) -> Column:
-    """A day of several shapes, after letters that stand for digits are put right: ISO, d Mon yyyy, d Month yyyy, d/m/yyyy, m/d/yyyy."""
-    fixed = F.translate(strip(c), "OQoIlSZBG", "000115286")
+    """A day of several shapes, after letters that stand for digits are put right: ISO, d Mon yyyy, d Month yyyy, d/m/yyyy, m/d/yyyy. Months whose name
+    has such a letter are lost with it."""
+    fixed = F.translate(strip(c), "".join(DATE_FIXES), "".join(DATE_FIXES.values()))
     shapes = ("d MMM yyyy", "d MMMM yyyy", "d/M/yyyy", "M/d/yyyy")
     iso = fixed.rlike(r"^\d{4}-\d{2}-\d{2}$")
     return F.when(iso, F.try_to_date(fixed, "yyyy-MM-dd")).otherwise(F.coalesce(*[F.try_to_date(fixed, s) for s in shapes], F.try_to_date(fixed, "yyyy-M-d")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,46 @@ def model(kind: str, name: str | None = None) -> Callable[..., Column]:
     return found or (lambda *columns: F.lit(None).cast("double"))
 
 
+def isolated(function: Callable[..., pd.Series], kind: str) -> Callable[..., Column]:
+    """A vectorised function of pandas series as a function of columns that gives STRUCT<value: kind, error: STRING>.
+
+    Where the function raises, its batch is halved until the row at fault stands alone; that row has the error, all others their values. A bad row of a
+    batch of n costs about log2(n) further calls.
+    """
+
+    def attempt(columns: list[pd.Series]) -> list[tuple[object, str | None]]:
+        size = len(columns[0])
+        try:
+            values = list(function(*columns))
+            if len(values) != size:
+                raise ValueError(f"{len(values)} values for {size} rows")
+            return [(v, None) for v in values]
+        except Exception as e:
+            if size == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+        half = size // 2
+        return attempt([c.iloc[:half] for c in columns]) + attempt([c.iloc[half:] for c in columns])
+
+    @F.pandas_udf(f"value {kind}, error string")
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        out = attempt(list(columns)) if len(columns[0]) else []
+        return pd.DataFrame({"value": pd.Series([v for v, _ in out], dtype="object"), "error": pd.Series([e for _, e in out], dtype="object")})
+
+    return run
+
+
+def model_indicators(df: DataFrame, key: str, name: str | None, *inputs: str) -> DataFrame:
+    """What the tampering model of a slot says of each row: key, type, severity and confidence as fusion reads them, probability and error. A model that
+    abstains (null) gives no row. The model is a function of columns that gives a probability, or STRUCT<value, error> if it is isolated."""
+    said = model("tampering", name)(*[F.col(c) for c in inputs])
+    rows = df.select(key, said.alias("_said"))
+    whole = rows.schema["_said"].dataType.simpleString().startswith("struct")
+    p, error = (F.col("_said.value"), F.col("_said.error")) if whole else (F.col("_said"), F.lit(None).cast("string"))
+    severity = F.when(p >= 0.8, "high").when(p >= 0.5, "medium").when(p.isNotNull(), "low").otherwise("info")
+    out = rows.select(key, F.lit("model_verdict").alias("type"), severity.alias("severity"), F.coalesce(F.abs(p - 0.5) * 2, F.lit(0.0)).alias("confidence"), p.alias("probability"), error.alias("error"))
+    return out.where(F.col("probability").isNotNull() | F.col("error").isNotNull())
+
+
 def stages(choose: dict[str, Provider] | None = None) -> list[Stage]:
     """The six stages in order; choose names providers for this chain only."""
     pick = lambda c: (choose or {}).get(c) or provider(c)

@@ -8,9 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of indicator kinds and factors of severities.
-WEIGHTS = {"metadata_anomaly": 14.0, "ela_inconsistency": 22.0, "noise_inconsistency": 20.0, "compression_inconsistency": 16.0, "copy_paste_inconsistency": 26.0, "image_editing_artifact": 18.0, "region_anomaly": 15.0, "model_verdict": 30.0}
+WEIGHTS = {
+    "metadata_anomaly": 14.0,
+    "ela_inconsistency": 22.0,
+    "noise_inconsistency": 20.0,
+    "compression_inconsistency": 16.0,
+    "copy_paste_inconsistency": 26.0,
+    "image_editing_artifact": 18.0,
+    "region_anomaly": 15.0,
+    "model_verdict": 30.0,
+}
 SEVERITIES = {"low": 0.35, "medium": 0.7, "high": 1.0}
-DEFAULT_WEIGHT, TOP, BASE, CAP, AGREE = 10.0, 34.0, 4.0, 98.0, 0.55
+DEFAULT_WEIGHT = 10.0
+TOP = 34.0
+BASE = 4.0
+CAP = 98.0
+AGREE = 0.55
 
 
 def _of(key: Column, table: dict[str, float], other: float) -> Column:
@@ -114,32 +127,58 @@ def _best_of_tile(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.nda
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
-def similar_blocks(df: DataFrame, block: str, vector: str, x: str, y: str, k: int = 4, at: float = 0.98, apart: float = 32.0, tile_rows: int = 4096) -> DataFrame:
-    """Each block's k most similar other blocks (a, b, similarity to 4 decimals, rank), of which pairs below at or nearer than apart are left out.
+def similar_blocks(df: DataFrame, block: str, vector: str, x: str, y: str, k: int = 4, at: float = 0.98, apart: float = 32.0, tile_rows: int = 4096, image: str | None = None) -> DataFrame:
+    """Each block's k most similar other blocks of its image (a, b, similarity to 4 decimals, rank; and image, if one is named), of which pairs below
+    at or nearer than apart are left out. Without image the table is one.
 
-    All pairs are compared, in tiles of about tile_rows by tile_rows blocks that give back k a block, so pairs are neither shuffled nor
-    gathered. Vectors keep their type until a tile reads them. Rows with a null id or vector take no part; a zero vector is like none;
-    a repeated id is one block, by whichever of its rows.
+    All pairs of an image are compared, in one tile, or for an image of more than tile_rows blocks in tiles of about that many by that many, which give
+    back k a block; so pairs are neither shuffled nor gathered. Vectors keep their type until a tile reads them. Rows with a null id, vector or image take
+    no part; a zero vector is like none; of rows with one id the one with the least place, then the least vector, is the block.
     """
-    kept = df.where(F.col(block).isNotNull() & F.col(vector).isNotNull()).select(F.col(block).cast("long").alias("id"), F.col(vector).alias("v"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    stripes = max(1, -(-kept.count() // tile_rows))
-    own, every = F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
-    asks = kept.select(F.lit(True).alias("asks"), own.alias("row"), every.alias("col"), "id", "v", "x", "y")
-    rest = kept.select(F.lit(False).alias("asks"), every.alias("row"), own.alias("col"), "id", "v", "x", "y")
+    of = F.lit(0) if image is None else F.col(image)
+    kept = df.select(of.alias("image"), F.col(block).cast("long").alias("id"), F.col(vector).alias("v"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    kept = kept.where(F.col("image").isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull())
+    sizes = kept.groupBy("image").agg(F.count(F.lit(1)).alias("n")).select("image", F.greatest(F.lit(1), F.ceil(F.col("n") / tile_rows)).cast("int").alias("stripes"))
+    dealt = kept.join(sizes, "image")
+    own, every = F.pmod(F.xxhash64("id"), F.col("stripes")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))
+    asks = dealt.select(F.lit(True).alias("asks"), "image", own.alias("row"), every.alias("col"), "id", "v", "x", "y")
+    rest = dealt.select(F.lit(False).alias("asks"), "image", every.alias("row"), own.alias("col"), "id", "v", "x", "y")
+
+    def once(side: pd.DataFrame) -> pd.DataFrame:
+        if side["id"].duplicated().any():
+            side = side.assign(_v=[tuple(v) for v in side["v"]]).sort_values(["id", "x", "y", "_v"]).drop(columns="_v")
+        return side.drop_duplicates("id").sort_values("id")
 
     def tile(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
         sides = []
-        for side in (group[group["asks"]].drop_duplicates("id"), group[~group["asks"]].drop_duplicates("id")):
+        for side in (once(group[group["asks"]]), once(group[~group["asks"]])):
             if side.empty:
-                return pd.DataFrame(columns=["a", "b", "similarity", "d2"])
+                return pd.DataFrame(columns=["image", "a", "b", "similarity", "d2"])
             v = np.stack(side["v"].to_numpy()).astype(np.float64)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             sides.append((side["id"].to_numpy(), v / np.where(norm > 0, norm, 1), side["x"].to_numpy(), side["y"].to_numpy()))
         (a_ids, a, ax, ay), (b_ids, b, bx, by) = sides
         i, j, similarity = _best_of_tile(a, b, a_ids, b_ids, k, at)
-        return pd.DataFrame({"a": a_ids[i], "b": b_ids[j], "similarity": similarity, "d2": (ax[i] - bx[j]) ** 2 + (ay[i] - by[j]) ** 2})
+        return pd.DataFrame({"image": group["image"].iloc[0], "a": a_ids[i], "b": b_ids[j], "similarity": similarity, "d2": (ax[i] - bx[j]) ** 2 + (ay[i] - by[j]) ** 2})
 
-    found = asks.unionByName(rest).groupBy("row", "col").applyInPandas(tile, "a LONG, b LONG, similarity DOUBLE, d2 DOUBLE")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return found.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("d2") >= apart * apart)).select("a", "b", "similarity", "rank")
+    kind = kept.schema["image"].dataType.simpleString()
+    found = asks.unionByName(rest).groupBy("image", "row", "col").applyInPandas(tile, f"image {kind}, a LONG, b LONG, similarity DOUBLE, d2 DOUBLE")
+    rank = F.row_number().over(Window.partitionBy("image", "a").orderBy(F.desc("similarity"), "b"))
+    ranked = found.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("d2") >= apart * apart))
+    return ranked.select(*([] if image is None else [F.col("image").alias(image)]), "a", "b", "similarity", "rank")
+
+
+def shift_buckets(pairs: DataFrame, image: str, tolerance: float = 4.0, least: int = 6) -> DataFrame:
+    """Shifts (dx, dy) of an image's pairs in buckets of tolerance pixels: image, qx, qy, n, and whether the bucket is suppressed, as repeated layouts are.
+
+    Buckets of two pairs or more that lie on one line through the origin, whichever way, are a family; one of ``least`` pairs together is periodic, and all
+    buckets on its line are suppressed, whatever their own size. Halves go to the even bucket.
+    """
+    from ..functions.numbers import gcd
+
+    bucket = lambda c: F.bround(F.col(c) / tolerance, 0).cast("long")
+    counted = pairs.select(image, bucket("dx").alias("qx"), bucket("dy").alias("qy")).groupBy(image, "qx", "qy").agg(F.count(F.lit(1)).alias("n"))
+    g = F.greatest(F.lit(1).cast("long"), gcd(F.abs("qx"), F.abs("qy")))
+    lined = counted.withColumns({"fx": F.floor(F.abs("qx") / g), "fy": F.floor(F.abs("qy") / g)})
+    family = Window.partitionBy(image, "fx", "fy")
+    return lined.withColumn("suppressed", F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("n"))).over(family), F.lit(0)) >= least).select(image, "qx", "qy", "n", "suppressed")

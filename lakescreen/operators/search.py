@@ -79,9 +79,11 @@ def search(df: DataFrame, filters: Filters, sort: str = "newest", limit: int = 5
 
 
 def page_with_total(df: DataFrame, filters: Filters, sort: str = "newest", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page with the number of all matches beside each row, from a subquery of its own."""
-    total = df.where(condition(filters)).agg(F.count(F.lit(1))).scalar()
-    return search(df, filters, sort, limit, offset).withColumn("total", total)
+    """A page in order, with the number of all matches beside each row. A page past the end is one row of nulls with that number."""
+    total = df.where(condition(filters)).agg(F.count(F.lit(1)).alias("total")).withColumn("_page", F.lit(1))
+    page = search(df, filters, sort, limit, offset).withColumns({"_page": F.lit(1), "_pos": F.monotonically_increasing_id()})
+    columns = [c for c in page.columns if not c.startswith("_")]
+    return F.broadcast(page).join(total, "_page", "right").orderBy("_pos").select(*columns, "total")
 
 
 def applied(filters: Filters, sort: str) -> dict[str, object]:
