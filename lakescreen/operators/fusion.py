@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 # Weights of indicator kinds and factors of severities.
 WEIGHTS = {
     "metadata_anomaly": 14.0,
@@ -66,13 +68,14 @@ def fuse(indicators: DataFrame, key: str) -> DataFrame:
 
 
 def medians(df: DataFrame, group: str, value: str, name: str = "median", bins: int = 1024) -> DataFrame:
-    """The exact median of each group. Equal values are counted first, a histogram of at most bins rows a group tells the bin of each
-    middle rank, and only values of that bin are ranked; so no group's values are held in one buffer. Nulls and NaN take no part."""
+    """The exact median of each group, written once. A histogram of at most bins rows a group tells the bin of each middle rank; only rows of that bin are
+    shuffled, as counts of their values, and ranked. Spans and counts are combined before they are shuffled, so no group's values are held in one place. Nulls and
+    NaN take no part."""
     v = F.col(value).cast("double")
-    counted = df.where(F.col(group).isNotNull() & v.isNotNull() & ~F.isnan(v)).groupBy(F.col(group).alias("_g"), v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counted.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    rows = df.select(F.col(group).alias("_g"), v.alias("_v")).where(F.col("_g").isNotNull() & v.isNotNull() & ~F.isnan("_v"))
+    span = written(rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_all")))
     share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    placed = counted.join(span, "_g").withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(0).cast("int"))
+    placed = rows.join(span, "_g").withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(0).cast("int"))
     # whether rows up to here, and not those before, reach the lower or the upper middle rank
     upto, here = F.col("_upto"), F.col("_n")
     low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
@@ -80,20 +83,21 @@ def medians(df: DataFrame, group: str, value: str, name: str = "median", bins: i
     def holds(rank: Column) -> Column:
         return (upto > rank) & (upto - here <= rank)
 
-    histogram = placed.groupBy("_g", "_bin").agg(F.sum("_n").alias("_n"), F.first("_all").alias("_all"))
+    histogram = placed.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
     middle = histogram.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_g").orderBy("_bin"))).where(holds(low) | holds(high))
-    inside = placed.drop("_all").join(middle.select("_g", "_bin", (upto - here).alias("_before"), "_all"), ["_g", "_bin"])
+    middle = written(middle.select("_g", "_bin", (upto - here).alias("_before"), "_all"))
+    inside = placed.select("_g", "_bin", "_v").join(middle, ["_g", "_bin"]).groupBy("_g", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_all").alias("_all"))
     ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_bin").orderBy("_v")))
-    return ranked.groupBy(F.col("_g").alias(group)).agg(((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(name))
+    return written(ranked.groupBy(F.col("_g").alias(group)).agg(((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(name)))
 
 
 def robust_outliers(df: DataFrame, group: str, value: str, at: float = 4.0, floor: float = 0.05) -> DataFrame:
     """Rows whose robust z, (x - median) / (1.4826 * MAD), reaches at; rows with a null group or value, or NaN, are not returned."""
     df = df.where(~F.isnan(F.col(value).cast("double")))
-    near = df.join(medians(df, group, value), group)
-    spread = medians(near.select(group, F.abs(F.col(value) - F.col("median")).alias("apart")), group, "apart", "mad")
+    center = medians(df, group, value)
+    spread = medians(df.join(center, group).select(group, F.abs(F.col(value) - F.col("median")).alias("apart")), group, "apart", "mad")
     z = (F.col(value) - F.col("median")) / F.greatest(F.lit(floor), 1.4826 * F.col("mad"))
-    return near.join(spread, group).withColumn("z", z).where(F.abs("z") >= at)
+    return df.join(center, group).join(spread, group).withColumn("z", z).where(F.abs("z") >= at)
 
 
 def shift_families(pairs: DataFrame, least: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpoint
+from ..sources.shared import written
 
 #: Cells to each side that hold what is nearer than the radius, a cell's side being half of it.
 REACH = 2
@@ -36,18 +36,18 @@ def suppress(points: DataFrame, radius: float, group: str = "group", key: str =
     left = points.select(F.col(group).alias("group"), p.alias("p")).where(F.col("group").isNotNull() & F.col("p.id").isNotNull())
     left = left.where(" AND ".join(f"p.{c} IS NOT NULL AND NOT isnan(p.{c})" for c in ("strength", "x", "y"))).distinct()
     side = radius / 2 if radius else 1.0
-    left = checkpoint(left.select("group", F.floor(F.col("p.x") / side).alias("cx"), F.floor(F.col("p.y") / side).alias("cy"), "p"))
+    left = written(left.select("group", F.floor(F.col("p.x") / side).alias("cx"), F.floor(F.col("p.y") / side).alias("cy"), "p"))
     done, cell = [], ["group", "cx", "cy"]
     if not radius:
         done, left = [left.select("group", "p")], left.where("false")
     while not left.isEmpty():
         best = left.groupBy(cell).agg(F.max("p").alias("p"))
         rival = _around(best, own=False).groupBy(cell).agg(F.max("p").alias("rival"))
-        kept = checkpoint(best.join(rival, cell, "left").where(F.col("rival").isNull() | (F.col("p") > F.col("rival"))).drop("rival"))
+        kept = written(best.join(rival, cell, "left").where(F.col("rival").isNull() | (F.col("p") > F.col("rival"))).drop("rival"))
         done.append(kept.select("group", "p"))
         near = _around(kept, own=True).groupBy(cell).agg(F.collect_list("p").alias("near"))  # one a cell at most, so 25 at most
         hit = lambda k: (F.col("p.x") - k["x"]) ** 2 + (F.col("p.y") - k["y"]) ** 2 < radius * radius
-        left = checkpoint(left.join(near, cell, "left").where(F.col("near").isNull() | ~F.exists("near", hit)).select(*cell, "p"))
+        left = written(left.join(near, cell, "left").where(F.col("near").isNull() | ~F.exists("near", hit)).select(*cell, "p"))
     out = left.select("group", "p")
     for part in done:
         out = out.unionByName(part)
