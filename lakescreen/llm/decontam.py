@@ -34,7 +34,7 @@ _LOWER[0x41:0x5B] += 0x20
 _LOWER[[c for c in range(128) if not chr(c).isalnum()]] = 0x20  # outer and inner punctuation parts words
 MATCH, MISS, GAP = 2, -1, -1
 #: Pairs of a rare word and an item that are looked at together.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

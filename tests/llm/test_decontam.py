@@ -82,7 +82,7 @@ def test_a_word_that_is_in_all_items(spark, monkeypatch):
     docs = [(i, " ".join(["which", "of", "the"] * 20 + [f"n{rng.integers(99)}" for _ in range(20)])) for i in range(40)] + [(100, "so " + items[7][1]), (101, None), (102, "")]
     found = decontam._block(spark.createDataFrame(docs, "doc_id long, text string"), [collections.namedtuple("R", "item_id text")(*i) for i in items], 0.5, 3)
     assert not np.isin(decontam.tokens(np.frombuffer(b"which of the", np.uint8), np.array([0, 12]))[0], found.hashes).any()
-    for pairs in (1 << 20, 3):
+    for pairs in (1 << 17, 3):
         monkeypatch.setattr(decontam, "PAIRS", pairs)
         got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
         assert [(r.doc_id, r.item_id, r.score) for r in got] == [(100, 7, 1.0)]
