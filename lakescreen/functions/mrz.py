@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import digits, letters
+from .text import DIGIT_FIXES, LETTER_FIXES, digits, letters
 
 #: The public check digit rule (values 0-9, A-Z as 10-35, filler 0; weights 7, 3, 1).
 ALPHABET, WEIGHTS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (7, 3, 1)
@@ -76,31 +74,59 @@ def parse_td3(top: Column, bottom: Column, as_of: Column) -> Column:
     )
 
 
-#: Pairs that readers confuse.
-CONFUSED = {"O": "0", "0": "O", "I": "1", "1": "I", "S": "5", "5": "S", "Z": "2", "2": "Z", "B": "8", "8": "B", "G": "6", "6": "G", "Q": "0"}
+# Characters that a field's check digit may tell from each other, and how many of a field's are tried.
+AMBIGUOUS = "ODQILZSBG015286"
+MOST_PLACES = 8
 
 
-def _digit(payload: str) -> str:
-    return str(sum(max(0, ALPHABET.find(c)) * WEIGHTS[i % 3] for i, c in enumerate(payload)) % 10)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once for a row."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def repaired(payload: str | None, digit: str | None) -> str | None:
-    """The first variant, fewest low positions first as a mask counts, that fits the check digit; else the payload itself."""
-    if payload is None or digit is None or _digit(payload) == digit:
-        return payload
-    places = [i for i, c in enumerate(payload) if c in CONFUSED][:8]
-    for mask in range(1, 1 << len(places)):
-        chosen = {p for k, p in enumerate(places) if mask >> k & 1}
-        variant = "".join(CONFUSED[c] if i in chosen else c for i, c in enumerate(payload))
-        if _digit(variant) == digit:
-            return variant
-    return payload
+def _other(c: Column) -> Column:
+    """The character that c may stand for, a letter for a digit and a digit for a letter."""
+    return F.translate(c, "".join(LETTER_FIXES) + "".join(DIGIT_FIXES), "".join(LETTER_FIXES.values()) + "".join(DIGIT_FIXES.values()))
 
 
-@F.pandas_udf(T.StringType())
-def repair(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for payloads, digits in batches:
-        yield pd.Series([repaired(p, d) for p, d in zip(payloads, digits, strict=True)])
+def _bit(mask: Column, place: Column) -> Column:
+    return F.call_function("shiftright", mask, place.cast("int")).bitwiseAND(F.lit(1))
+
+
+def repair(payload: Column, digit: Column) -> Column:
+    """The field in upper case without spaces, repaired by its check digit where that does not fit: the first eight characters that readers confuse are exchanged
+    in all combinations, counted upwards with the first of them as the lowest bit, and the first combination that fits is taken. Where none fits, or the digit is
+    missing or a filler, the field stays as it was read.
+
+    A combination changes the sum of the check by the sum of its exchanges' differences, so all are judged by at most eight numbers and one text is built.
+    """
+    value = lambda c: F.greatest(F.lit(0), F.instr(F.lit(ALPHABET), c) - 1)
+    weight = lambda i: F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (i - 1) % 3 + 1)
+
+    def exchanged(read: Column, places: Column, mask: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            place = F.array_position(places, (i + 1).cast("int"))
+            return F.when((place > 0) & (_bit(mask, place - 1) == 1), _other(c)).otherwise(c)
+
+        return F.array_join(F.transform(F.split(read, ""), one), "")
+
+    def searched(read: Column) -> Column:
+        need = digit.cast("int") - check_digit(read)
+        char = lambda i: F.substr(read, i, F.lit(1))
+        places = F.slice(F.filter(F.sequence(F.lit(1), F.length(read)), lambda i: F.contains(F.lit(AMBIGUOUS), char(i))), 1, MOST_PLACES)
+        changes = lambda at: F.transform(at, lambda i: (value(_other(char(i))) - value(char(i))) * weight(i))
+
+        def first(at: Column) -> Column:
+            last = F.call_function("shiftleft", F.lit(1), F.size(at)) - 1
+            total = lambda c, m: F.aggregate(F.transform(c, lambda x, j: x * _bit(m, j)), F.lit(0), lambda a, x: a + x)
+            fits = lambda c, wanted: F.filter(F.sequence(F.lit(1), last), lambda m: F.pmod(total(c, m) - wanted, F.lit(10)) == 0)
+            found = _let(F.struct(changes(at).alias("c"), need.alias("n")), lambda x: F.try_element_at(fits(x["c"], x["n"]), F.lit(1)))
+            return _let(found, lambda m: F.when(m.isNull(), read).otherwise(exchanged(read, at, m)))
+
+        return _let(places, lambda at: F.when(F.size(at) > 0, first(at)).otherwise(read))
+
+    wanted = digit.rlike("^[0-9]$")
+    return _let(F.replace(F.upper(payload), F.lit(" ")), lambda read: F.when(wanted & (F.length(read) > 0) & (check_digit(read).cast("string") != digit), searched(read)).otherwise(read))
 
 
 def parse_mrv_b(top: Column, bottom: Column, as_of: Column) -> Column:
@@ -159,18 +185,92 @@ def parse_td1(first: Column, second: Column, third: Column, as_of: Column) -> Co
 
 
 def repair_classes(top: Column, bottom: Column) -> tuple[Column, Column]:
-    """Both lines of a passport zone with letters forced into the issuer and digits into both dates."""
-    return F.concat(at(top, 0, 2), letters(at(top, 2, 5)), at(top, 5, 44)), F.concat(at(bottom, 0, 13), digits(at(bottom, 13, 19)), at(bottom, 19, 21), digits(at(bottom, 21, 27)), at(bottom, 27, 44))
+    """Both lines of a passport zone with letters forced into the issuer and digits into both dates and their check digits."""
+    return F.concat(at(top, 0, 2), letters(at(top, 2, 5)), at(top, 5, 44)), F.concat(at(bottom, 0, 13), digits(at(bottom, 13, 20)), at(bottom, 20, 21), digits(at(bottom, 21, 28)), at(bottom, 28, 44))
+
+
+# Lengths of a candidate line.
+SHORTEST, LONGEST = 30, 48
+
+
+def zone(lines: Column) -> Column:
+    """STRUCT<format, first, second, third> of the zone among cleaned lines, or null.
+
+    Candidates are the lines of 30 to 48 characters, and neighbours among them are tried in order, whatever stands before, between or after them: first all pairs as
+    a passport (TD3, or TD3? if a line has not 44 characters) or a visa (MRV-B), then all pairs as a card (TD2), then all threes of 30 characters as a card (TD1).
+    """
+
+    def found(kept: Column) -> Column:
+        none = F.lit(None).cast("string")
+        line = lambda i: F.element_at(kept, i)
+        as_zone = lambda kind, *of: F.struct(kind.alias("format"), *[x.alias(n) for x, n in zip((*of, none)[:3], ("first", "second", "third"), strict=True)])
+
+        def pair(a: Column, b: Column) -> Column:
+            both = lambda low, high: F.length(a).between(low, high) & F.length(b).between(low, high)
+            passport = a.rlike(r"^P[<\[]") & both(40, LONGEST)
+            return as_zone(F.when(passport, F.when(both(44, 44), "TD3").otherwise("TD3?")).when(a.rlike(r"^V[<\[]") & both(34, 44), "MRV-B"), a, b)
+
+        def card(a: Column, b: Column) -> Column:
+            return as_zone(F.when(a.rlike(r"^I[<\[]") & F.length(a).between(34, 38) & F.length(b).between(34, 38), "TD2"), a, b)
+
+        def three(a: Column, b: Column, c: Column) -> Column:
+            return as_zone(F.when(a.rlike(r"^I[<\[]") & (F.length(a) == 30) & (F.length(b) == 30) & (F.length(c) == 30), "TD1"), a, b, c)
+
+        starts = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size(kept) - n + 1, F.lit(1))), lambda i: i + (n - 1) <= F.size(kept))
+        of = lambda n, judge: F.transform(starts(n), lambda i: judge(*[line(i + k) for k in range(n)]))
+        return F.try_element_at(F.filter(F.concat(of(2, pair), of(2, card), of(3, three)), lambda z: z["format"].isNotNull()), F.lit(1))
+
+    return _let(F.filter(lines, lambda x: F.length(x).between(SHORTEST, LONGEST)), found)
 
 
 def zone_format(lines: Column) -> Column:
-    """TD3, MRV-B, TD2, TD1 or null, from the first characters and lengths of the candidate lines (30 to 48 characters)."""
-    kept = F.filter(lines, lambda x: F.length(x).between(30, 48))
-    first, size = F.try_element_at(kept, F.lit(1)), F.length(F.try_element_at(kept, F.lit(1)))
-    second = F.length(F.try_element_at(kept, F.lit(2)))
-    return (
-        F.when(first.rlike(r"^P[<\[]") & (size >= 40) & (second >= 40), F.when((size == 44) & (second == 44), "TD3").otherwise("TD3?"))
-        .when(first.rlike(r"^V[<\[]") & size.between(34, 44) & second.between(34, 44), "MRV-B")
-        .when(first.rlike(r"^I[<\[]") & size.between(34, 38) & second.between(34, 38), "TD2")
-        .when((F.size(kept) >= 3) & F.forall(F.slice(kept, 1, 3), lambda x: F.length(x) == 30), "TD1")
-    )
+    """TD3, TD3?, MRV-B, TD2, TD1 or null: the format of the zone among the lines."""
+    return zone(lines)["format"]
+
+
+#: The fields that every format has, in order.
+_SHARED = ("issuer", "surname", "given_names", "number", "number_ok", "nationality", "date_of_birth", "birth_ok", "sex", "expiry_date", "expiry_ok")
+
+
+def read_zone(found: Column, as_of: Column) -> Column:
+    """STRUCT of the format and the fields of a zone (see zone()), with misread characters repaired: names and codes are letters, dates digits, and the number is
+    repaired by its check digit. composite_ok (of the lines before the number's repair) is null but for passports, entries and stay are null but for visas."""
+    none = lambda to: F.lit(None).cast(to)
+
+    def number(line: Column, start: int, end: int) -> Column:
+        return F.rpad(repair(at(line, start, end), at(line, end, end + 1)), end - start, "<")
+
+    def second(line: Column, size: int) -> Column:
+        """A zone's line of number, nation and dates, repaired; its number has size characters."""
+        return F.concat(number(line, 0, size), at(line, size, 10), letters(at(line, 10, 13)), digits(at(line, 13, 19)), at(line, 19, 21), digits(at(line, 21, 27)), at(line, 27, LONGEST))
+
+    def fields(kind: Column, parsed: Column, composite: Column | None = None, visa: bool = False) -> Column:
+        return _let(parsed, lambda r: F.struct(
+            kind.alias("format"), *[r[n].alias(n) for n in _SHARED], (none("boolean") if composite is None else composite).alias("composite_ok"),
+            *[(r[n] if visa else none("string")).alias(n) for n in ("entries", "stay")]))
+
+    # each repaired line is bound by a name before it is taken apart, as a parser reads it many times
+    def passport(z: Column) -> Column:
+        top, bottom = repair_classes(z["first"], z["second"])
+        composite = lambda b: digit_ok(F.concat(at(b, 0, 10), at(b, 13, 20), at(b, 21, 43)), at(b, 43, 44), 39)
+        lines = _let(bottom, lambda b: F.struct(top.alias("t"), second(b, 9).alias("b"), composite(b).alias("c")))
+        return _let(lines, lambda x: fields(z["format"], parse_td3(F.concat(at(x["t"], 0, 5), letters(at(x["t"], 5, 44))), x["b"], as_of), x["c"]))
+
+    def visa(z: Column) -> Column:
+        lines = F.struct(F.concat(at(z["first"], 0, 2), letters(at(z["first"], 2, 36))).alias("t"), second(z["second"], 9).alias("b"))
+        return _let(lines, lambda x: fields(z["format"], parse_mrv_b(x["t"], x["b"], as_of), visa=True))
+
+    def two(z: Column) -> Column:
+        return _let(second(z["second"], 8), lambda b: fields(z["format"], parse_td2(z["first"], b, as_of)))
+
+    def three(z: Column) -> Column:
+        a = z["first"]
+        # the nation of such a card lies inside its number, as it was read
+        card = lambda x: parse_td1(x, z["second"], z["third"], as_of).withField("nationality", F.regexp_replace(letters(at(a, 10, 13)), "<", ""))
+        return _let(F.concat(at(a, 0, 5), number(a, 5, 14), at(a, 14, LONGEST)), lambda x: fields(z["format"], card(x)))
+
+    def read(z: Column) -> Column:
+        kind = z["format"]
+        return F.when(kind.startswith("TD3"), passport(z)).when(kind == "MRV-B", visa(z)).when(kind == "TD2", two(z)).when(kind == "TD1", three(z))
+
+    return _let(found, read)

@@ -75,6 +75,42 @@ def _repair(s, d):
     return z.select("id", misread.alias("read"), mrz.repair(misread, digit).alias("repaired"))
 
 
+def _repaired_sql(read: str, want: str, of: str) -> str:
+    """CTEs that end in rep: the rows of `of` with `fixed`, the text `read` repaired by the digit `want`, by a search over all exchanges."""
+    value = lambda c: f"greatest(0, strpos('{mrz.ALPHABET}', {c}) - 1)"
+    other = lambda c: f"translate({c}, '012568ODQILZSBG', 'OIZSGB000112586')"
+    return f"""r0 AS (SELECT *, {_sql_digit(read)} AS have, string_split({read}, '') AS cs FROM {of}),
+  r1 AS (SELECT *, list_filter(generate_series(1, len(cs)), lambda i: contains('ODQILZSBG015286', cs[i]))[1:8] AS places FROM r0),
+  r2 AS (SELECT *, list_transform(places, lambda i: ({value(other('cs[i]'))} - {value('cs[i]')}) * ([7, 3, 1])[(i - 1) % 3 + 1]) AS changes FROM r1),
+  r3 AS (SELECT *, list_filter(generate_series(1, (1 << len(places)) - 1), lambda m: (list_sum(list_transform(changes, lambda x, j: x * ((m >> (j - 1)) & 1))) + have - {want}) % 10 = 0)[1] AS mask FROM r2),
+  rep AS (SELECT *, CASE WHEN have = {want} OR mask IS NULL THEN {read}
+    ELSE array_to_string(list_transform(cs, lambda c, i: CASE WHEN (mask >> (list_position(places, i) - 1)) & 1 = 1 THEN {other('c')} ELSE c END), '') END AS fixed FROM r3)"""
+
+
+_MISREAD_SQL = "CASE WHEN id % 2 = 0 THEN translate(bottom[1:9], '0158', 'OISB') ELSE bottom[1:9] END"
+
+
+def _pages(s, d):
+    """Cleaned lines of each customer's page: a heading, a line that is as long as a candidate, and the zone, misread for every other customer; every fifth page
+    has lost the zone's second line."""
+    z = zones(s, d)
+    odd = F.col("id") % 2 == 0
+    top, bottom = F.col("top"), F.col("bottom")
+    issuer = F.when(odd, F.translate(mrz.at(top, 2, 5), "OISBGZ", "015862")).otherwise(mrz.at(top, 2, 5))
+    number = F.when(odd, F.translate(mrz.at(bottom, 0, 9), "0158", "OISB")).otherwise(mrz.at(bottom, 0, 9))
+    dates = lambda a, b: F.when(odd, F.translate(mrz.at(bottom, a, b), "0158", "OISB")).otherwise(mrz.at(bottom, a, b))
+    second = F.concat(number, mrz.at(bottom, 9, 13), dates(13, 20), mrz.at(bottom, 20, 21), dates(21, 28), mrz.at(bottom, 28, 44))
+    lines = F.array(F.lit("PASSPORT"), F.lit("X" * 34), F.concat(F.lit("P<"), issuer, mrz.at(top, 5, 44)), F.lit("NOTES"), F.when(F.col("id") % 5 != 0, second).otherwise(F.lit("NOTHING MORE")))
+    return z.select("id", lines.alias("lines"))
+
+
+def _zones_read(s, d):
+    read_ = mrz.read_zone(F.col("found"), _as_of())
+    # steps of their own, so that pages and zones are taken apart once
+    found = _pages(s, d).select("id", F.explode(F.array(mrz.zone(F.col("lines")))).alias("found"))
+    return found.select("id", F.explode(F.array(read_)).alias("z")).select("id", "z.*")
+
+
 def _lines(s, d):
     lines = read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     clean = text.collapse(F.col("raw"))
@@ -149,6 +185,7 @@ QUERIES = {
     "mrz_check_digit": lambda s, d: read(s, d, "customer").select("c_custkey", mrz.check_digit(F.upper(F.regexp_replace("c_name", "[^A-Za-z0-9]", "<"))).alias("digit")),
     "mrz_parse_td3": _parsed,
     "mrz_repair": _repair,
+    "mrz_zone_read": _zones_read,
     "ocr_line_clean": _lines,
     "pii_redact_digits": lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.redact_digits(F.col("text")), 256).alias("redacted_sha256")),
     "date_tokens": _date_tokens,
@@ -162,6 +199,14 @@ QUERIES = {
 SQL = {
     "mrz_check_digit": f"SELECT c_custkey, {_sql_digit(chr(34) + 'n' + chr(34))} AS digit FROM (SELECT c_custkey, upper(regexp_replace(c_name, '[^A-Za-z0-9]', '<', 'g')) AS n FROM customer)",
     "mrz_parse_td3": _PARSE_SQL,
+    "mrz_repair": f"""WITH {ZONES_SQL}, r AS (SELECT id, {_MISREAD_SQL} AS read, {_sql_digit('bottom[1:9]')} AS want FROM z), {_repaired_sql('read', 'want', 'r')} SELECT id, read, fixed AS repaired FROM rep""",
+    "mrz_zone_read": f"""WITH {ZONES_SQL}, r AS (SELECT *, {_MISREAD_SQL} AS read, CAST(nd AS INTEGER) AS want FROM z), {_repaired_sql('read', 'want', 'r')},
+      w AS (SELECT *, read || bottom[10:44] AS seen FROM rep)
+      SELECT id, CASE WHEN there THEN format END AS format, CASE WHEN there THEN issuer END AS issuer, CASE WHEN there THEN surname END AS surname, CASE WHEN there THEN given_names END AS given_names,
+        CASE WHEN there THEN replace(fixed, '<', '') END AS number, CASE WHEN there THEN number_ok END AS number_ok, CASE WHEN there THEN issuer END AS nationality, CASE WHEN there THEN {_iso('birth', True)} END AS date_of_birth,
+        CASE WHEN there THEN true END AS birth_ok, CASE WHEN there THEN 'F' END AS sex, CASE WHEN there THEN {_iso('expiry', False)} END AS expiry_date, CASE WHEN there THEN true END AS expiry_ok,
+        CASE WHEN there THEN CAST({_sql_digit("(seen[1:10] || seen[14:20] || seen[22:43])")} AS INTEGER) = CAST(bottom[44] AS INTEGER) END AS composite_ok, CAST(NULL AS VARCHAR) AS entries, CAST(NULL AS VARCHAR) AS stay
+      FROM (SELECT *, id % 5 <> 0 AS there, 'TD3' AS format, replace(country, '<', '') AS issuer, c_mktsegment AS surname, 'ANNA MARIA' AS given_names, {_sql_digit('fixed')} = want AS number_ok FROM w)""",
     "ocr_line_clean": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line FROM documents),
       c AS (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS clean, regexp_replace(upper(raw), '\s', '', 'g') AS flat FROM l)
       SELECT doc_id, CAST(line AS INTEGER) AS line, length(clean) AS n, clean <> raw AS changed, length(flat) >= 28 AND length(regexp_replace(flat, '[^A-Z<]', '', 'g')) > 0.8 * length(flat) AND length(flat) - length(replace(flat, '<', '')) >= 3 AS mrz_like FROM c""",

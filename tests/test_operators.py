@@ -29,10 +29,9 @@ def test_passport_zone(spark):
     assert m.number_ok and m.birth_ok and m.expiry_ok
 
 
-def test_repair():
-    assert mrz.repaired("L8989O2C3", "6") == "L898902C3"
-    assert mrz.repaired("L898902C3", "6") == "L898902C3"
-    assert mrz.repaired("LLLL", "9") == "LLLL"
+def test_repair(spark):
+    for read, digit, want in (("L8989O2C3", "6", "L898902C3"), ("L898902C3", "6", "L898902C3"), ("LLLL", "9", "LLLL")):
+        assert spark.range(1).select(mrz.repair(F.lit(read), F.lit(digit))).first()[0] == want
 
 
 def test_fusion_points(spark):
