@@ -97,6 +97,14 @@ def checkpoints(case_id: Column, ocr_ok: Column, ocr_confidence: Column, failure
     return out
 
 
+def checkpoint_counts(checks: Column) -> Column:
+    """STRUCT<total, met, failed, informational> of a case's checkpoints; an informational one is neither met nor failed."""
+    n = lambda keep: F.size(F.filter(checks, keep)).cast("long")
+    return F.struct(
+        F.size(checks).cast("long").alias("total"), n(lambda c: ~c["informational"] & c["ok"]).alias("met"), n(lambda c: ~c["informational"] & ~c["ok"]).alias("failed"), n(lambda c: c["informational"]).alias("informational")
+    )
+
+
 def explanation(verdict: Column, risk: Column, kinds: Column, failures: Column) -> Column:
     """One sentence for a forensic verdict: which kinds of indicators fired, or what kept the analysis from an end."""
     fired = F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct(kinds)), ", "), F.lit("")), F.lit("none"))

@@ -67,6 +67,78 @@ def fuse(indicators: DataFrame, key: str) -> DataFrame:
     return out.withColumn("verdict", verdict).select(key, "risk", "agreeing", "verdict")
 
 
+# What makes an outlier of the error level an indicator, and of how much of the page a strong claim of copying has to be sure.
+ELA_CONTRAST, ELA_STRONG, ELA_AREA, ELA_CAP = 2.0, 3.5, 900, 0.6
+COPY_BULK = 0.02
+SMALL_SHARE = 0.2
+# Confidence in a verdict.
+UNSURE, CLEAN_CAP, SURE_CAP = 0.2, 0.85, 0.95
+MODEL_POINTS, MODEL_SHARE = 30.0, 0.3
+
+
+def detected(ela: Column, copies: Column) -> Column:
+    """ARRAY<STRUCT<type, severity, confidence>> of two detectors' results: ela STRUCT<contrast, area> of the strongest region, and copies STRUCT<severity,
+    confidence, agreement>. A null struct is a detector without a finding. Copies on less than 2 % of the page are medium at most."""
+    row = lambda kind, severity, confidence: F.struct(F.lit(kind).alias("type"), severity.alias("severity"), confidence.cast("double").alias("confidence"))
+    over = ela["contrast"] - ELA_CONTRAST
+    level = row("ela_inconsistency", F.when(ela["contrast"] >= ELA_STRONG, "high").otherwise("medium"), F.round(F.least(F.lit(ELA_CAP), 0.3 + over * 0.08), 3))
+    thin = (copies["severity"] == "high") & (F.coalesce(copies["agreement"], F.lit(0.0)) < COPY_BULK)
+    copied = row("copy_paste_inconsistency", F.when(thin, "medium").otherwise(copies["severity"]), copies["confidence"])
+    return F.array_compact(F.array(F.when((over >= 0) & (ela["area"] >= ELA_AREA), level), F.when(copies["severity"].isNotNull(), copied)))
+
+
+def coverage(usable: Column, small: Column) -> Column:
+    """The share of an image that detectors can use; all of it where that is not known, a fifth of that for a small image."""
+    return F.coalesce(usable, F.lit(1.0)) * F.when(small, SMALL_SHARE).otherwise(1.0)
+
+
+def judged(indicators: Column, covered: Column, failures: Column, probability: Column) -> Column:
+    """STRUCT<risk, verdict, confidence, tampering_detected, human_review_required, agreeing, contributions> of one image's indicators (type, severity, confidence),
+    beside each other in a row, so nothing is shuffled. failures are names of detectors that broke down, probability is a model's or null; an array that is null is
+    empty. fuse() does the same for indicators in rows of their own, without a model.
+
+    The confidence is one in the verdict: .2 if inconclusive, else it grows with coverage and, unless nothing was found, with the kinds that agree.
+    """
+    found = F.filter(F.coalesce(indicators, F.array().cast("array<struct<type:string,severity:string,confidence:double>>")), lambda i: i["severity"] != "info")
+    sure = lambda i: F.coalesce(i["confidence"], F.lit(0.0))
+    rated = F.transform(found, lambda i: F.struct(i["type"].alias("type"), i["severity"].alias("severity"), sure(i).alias("confidence"), points(i["type"], i["severity"], sure(i)).alias("p")))
+
+    def damped(rows: Column) -> Column:
+        most = F.array_max(F.transform(rows, lambda r: r["p"]))
+        share = lambda p: F.when(p >= most, p).otherwise(p * (p / F.greatest(most, F.lit(1.0))))
+        return F.transform(rows, lambda r: F.struct(r["type"].alias("type"), r["severity"].alias("severity"), r["confidence"].alias("confidence"), F.bround(share(r["p"]), 1).alias("points")))
+
+    def ruled(rows: Column) -> Column:
+        total = 10 * F.sqrt(F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["points"]))
+        clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), probability))
+        moved = F.when(probability.isNotNull(), total * (1 - MODEL_SHARE) + (total + MODEL_POINTS * clamped) * MODEL_SHARE).otherwise(total)
+        agreeing = F.array_sort(F.array_distinct(F.transform(F.filter(rows, lambda r: r["confidence"] >= AGREE), lambda r: r["type"])))
+        return F.struct(F.bround(F.least(F.lit(CAP), BASE + moved), 1).alias("risk"), agreeing.alias("agreeing"), F.exists(rows, lambda r: r["severity"].isin("medium", "high")).alias("strong"), rows.alias("rows"))
+
+    def told(r: Column) -> Column:
+        broken = F.coalesce(F.greatest(F.size(failures), F.lit(0)), F.lit(0))
+        verdict = (
+            F.when((broken >= 3) | (covered < 0.45), "inconclusive")
+            .when((r["risk"] >= 55) | (F.size(r["agreeing"]) >= 3), "likely_manipulated")
+            .when((r["risk"] >= 20) | r["strong"], "suspicious")
+            .otherwise("no_obvious_manipulation")
+        )
+        return F.struct(verdict.alias("verdict"), r.alias("r"))
+
+    def reported(v: Column) -> Column:
+        verdict, r = v["verdict"], v["r"]
+        agreed = F.least(F.lit(SURE_CAP), (0.45 + 0.12 * F.size(r["agreeing"])) * (0.6 + 0.4 * covered))
+        confidence = F.when(verdict == "inconclusive", UNSURE).when(verdict == "no_obvious_manipulation", F.least(F.lit(CLEAN_CAP), 0.5 + covered * 0.35)).otherwise(agreed)
+        return F.struct(
+            r["risk"].alias("risk"), verdict.alias("verdict"), F.bround(confidence, 3).alias("confidence"), verdict.isin("suspicious", "likely_manipulated").alias("tampering_detected"),
+            (verdict != "no_obvious_manipulation").alias("human_review_required"), r["agreeing"].alias("agreeing"), r["rows"].alias("contributions"))
+
+    out = rated
+    for step in (damped, ruled, told, reported):
+        out = F.element_at(F.transform(F.array(out), step), 1)  # each step's value is computed once
+    return out
+
+
 def medians(df: DataFrame, group: str, value: str, name: str = "median", bins: int = 1024) -> DataFrame:
     """The exact median of each group, written once. A histogram of at most bins rows a group tells the bin of each middle rank; only rows of that bin are
     shuffled, as counts of their values, and ranked. Spans and counts are combined before they are shuffled, so no group's values are held in one place. Nulls and

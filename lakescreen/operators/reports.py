@@ -52,6 +52,22 @@ def outcomes(df: DataFrame, report: str = "report") -> DataFrame:
     return df.select(F.inline(rows)).groupBy("module", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The outcomes that each module's chart shows.
+MODULE_OUTCOMES = {
+    "validation": ("valid", "invalid", "unknown"),
+    "tampering": ("no_obvious_manipulation", "suspicious", "likely_manipulated", "inconclusive", "unknown"),
+    "face": ("match", "no_match", "inconclusive", "not_performed"),
+}
+
+
+def module_chart(df: DataFrame, report: str = "report") -> DataFrame:
+    """outcomes() for the chart: (module, outcome, n) in small letters, with a row for each outcome of MODULE_OUTCOMES, none or not. A null report (one that could
+    not be read) counts as unknown or not performed."""
+    spine = df.sparkSession.createDataFrame([(m, o) for m, of in MODULE_OUTCOMES.items() for o in of], "module string, outcome string")
+    counts = outcomes(df, report).withColumn("outcome", F.lower("outcome"))
+    return spine.join(counts, ["module", "outcome"], "left").select("module", "outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def fields_as_rows(fields: Column) -> Column:
     """A name to struct map as rows in order of names; a null value is an empty text."""
     entries = F.array_sort(F.map_entries(fields), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))

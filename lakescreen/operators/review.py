@@ -22,6 +22,11 @@ def overlay(screenings: DataFrame, reviews: DataFrame) -> DataFrame:
     return joined.withColumn("pending", F.col("decision").isNull()).withColumn("decision", F.coalesce("decision", F.lit("pending"))).drop("screening_id")
 
 
+def queue_rows(waiting: DataFrame) -> DataFrame:
+    """The seven columns that the queue of waiting screenings shows."""
+    return waiting.select("run_id", "status", "risk_score", "risk_band", "human_review_required", "doc_type_detected", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
+
+
 def decide(screenings: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reviews to append and screenings with their new status, from decisions (screening_id, decision); unknown decisions are refused."""
     valid = decisions.where(F.col("decision").isin(*DECISIONS))

@@ -72,6 +72,12 @@ def summary(df: DataFrame) -> DataFrame:
     return df.select("id", "run_id", "file_sha256", "doc_type_hint", "doc_type_detected", "status", "risk_score", "risk_band", "human_review_required", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
 
 
+def history_rows(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the history, newest first, in its own eight columns."""
+    page = df.orderBy(*ordering("newest")).offset(max(offset, 0)).limit(max(0, min(limit, MAX_PAGE)))
+    return page.select("run_id", "doc_type_hint", "doc_type_detected", "status", "risk_score", "risk_band", "human_review_required", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
+
+
 def search(df: DataFrame, filters: Filters, sort: str = "newest", limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of matches; Spark keeps offset + limit rows of each task and not the whole order."""
     page = df.where(condition(filters)).orderBy(*ordering(sort)).offset(max(offset, 0)).limit(max(0, min(limit, MAX_PAGE)))

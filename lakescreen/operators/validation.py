@@ -323,3 +323,15 @@ def summary(checks: Column) -> Column:
     of = lambda s: F.transform(F.filter(checks, lambda c: c["status"] == s), lambda c: c["field"])
     review = F.exists(checks, lambda c: c["status"] != "PASS")
     return F.struct(is_valid(checks).alias("is_valid"), of("FAIL").alias("failures"), of("WARNING").alias("warnings"), review.alias("human_review_required"))
+
+
+# What a check names that is no field.
+NO_FIELD = ("mrz", "rule", "ruleset")
+
+
+def examined_confidence(checks: Column, confidences: Column) -> Column:
+    """The mean reading confidence of the fields that the checks examined, each once however many checks did; a field that was not read counts as 0, and without
+    any the mean is 0. confidences is a MAP of field to confidence, or null."""
+    names = F.array_distinct(F.filter(F.transform(checks, lambda c: c["field"]), lambda f: F.coalesce((f != "") & ~f.isin(*NO_FIELD), F.lit(False))))
+    total = F.aggregate(names, F.lit(0.0), lambda a, f: a + F.coalesce(F.try_element_at(confidences, f).cast("double"), F.lit(0.0)))
+    return F.when(F.size(names) > 0, total / F.size(names)).otherwise(0.0)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit_queries, case_queries, document_queries, field_queries, image_queries, ledger_queries, risk_queries, search_queries
+from . import audit_queries, case_queries, document_queries, field_queries, image_queries, ledger_queries, report_queries, risk_queries, search_queries
 
-GROUPS = (search_queries, audit_queries, document_queries, risk_queries, case_queries, field_queries, image_queries, ledger_queries)
+GROUPS = (search_queries, audit_queries, document_queries, risk_queries, case_queries, field_queries, image_queries, ledger_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
