@@ -95,7 +95,8 @@ def coverage(usable: Column, small: Column) -> Column:
 def judged(indicators: Column, covered: Column, failures: Column, probability: Column) -> Column:
     """STRUCT<risk, verdict, confidence, tampering_detected, human_review_required, agreeing, contributions> of one image's indicators (type, severity, confidence),
     beside each other in a row, so nothing is shuffled. failures are names of detectors that broke down, probability is a model's or null; an array that is null is
-    empty. fuse() does the same for indicators in rows of their own, without a model.
+    empty. fuse() does the same for indicators in rows of their own, without a model. Points have one decimal, halves
+    (of the number as it is written) rounded up.
 
     The confidence is one in the verdict: .2 if inconclusive, else it grows with coverage and, unless nothing was found, with the kinds that agree.
     """
@@ -106,7 +107,7 @@ def judged(indicators: Column, covered: Column, failures: Column, probability: C
     def damped(rows: Column) -> Column:
         most = F.array_max(F.transform(rows, lambda r: r["p"]))
         share = lambda p: F.when(p >= most, p).otherwise(p * (p / F.greatest(most, F.lit(1.0))))
-        return F.transform(rows, lambda r: F.struct(r["type"].alias("type"), r["severity"].alias("severity"), r["confidence"].alias("confidence"), F.bround(share(r["p"]), 1).alias("points")))
+        return F.transform(rows, lambda r: F.struct(r["type"].alias("type"), r["severity"].alias("severity"), r["confidence"].alias("confidence"), F.round(share(r["p"]), 1).alias("points")))
 
     def ruled(rows: Column) -> Column:
         total = 10 * F.sqrt(F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["points"]))

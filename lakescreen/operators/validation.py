@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alphanumeric
+from .dataflow import isolated
 
 CHECK = "array<struct<field:string,status:string,message:string,rule:string>>"
 
@@ -198,6 +200,23 @@ def stay(name: str = "stay_duration") -> Rule:
     return Rule("visa_stay_duration", run, (name,))
 
 
+def python_rule(rule_id: str, name: str, function: Callable[[pd.Series], pd.Series]) -> Rule:
+    """A rule of one's own in Python: function gets the values of a field in batches and gives PASS, WARNING or FAIL for each, or null for no check.
+
+    It runs by itself: where it raises, only the rows at fault have a warning of the engine with the kind of the error, and all other rows and rules stand.
+    """
+    judge = isolated(function, "string")
+
+    def run(doc: Doc) -> Column:
+        def told(r: Column) -> Column:
+            broken = F.concat(F.lit(f"rule {rule_id} failed: "), F.substring_index(r["error"], ":", 1))
+            return F.when(r["error"].isNotNull(), check("engine", "WARNING", broken, rule_id)).when(r["value"].isNotNull(), check(name, r["value"], r["value"], rule_id))
+
+        return F.array_compact(F.transform(F.array(judge(doc.value(name))), told))
+
+    return Rule(rule_id, run, (name,))
+
+
 @dataclass
 class Ruleset:
     """Rules of one document type; country None is for any."""

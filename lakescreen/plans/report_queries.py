@@ -33,8 +33,8 @@ def _forensics(s, d):
     return told.select("id", "t.risk", "t.verdict", "t.confidence", "t.tampering_detected", "t.human_review_required", F.array_join("t.agreeing", ",").alias("agreeing"), shown.alias("shown"))
 
 
-def _tenths(x: str, places: int) -> str:
-    return f"CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 18)), {places}) AS DOUBLE)"
+def _tenths(x: str, places: int, to: str = "round_even") -> str:
+    return f"CAST({to}(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 18)), {places}) AS DOUBLE)"
 
 
 _FORENSICS_SQL = f"""WITH {_LINES_SQL}, g AS (SELECT l_orderkey AS id, round(1.5::DOUBLE + max(l_discount)::DOUBLE * 30, 1) AS contrast, sum(l_quantity) * 10 AS area,
@@ -45,7 +45,7 @@ _FORENSICS_SQL = f"""WITH {_LINES_SQL}, g AS (SELECT l_orderkey AS id, round(1.5
     CASE WHEN copied = 'high' AND agreement < 0.02 THEN 'medium' ELSE copied END AS cs FROM g),
   p AS (SELECT *, CASE WHEN ela THEN least(34, 22 * CASE es WHEN 'high' THEN 1 ELSE 0.7::DOUBLE END * (0.5::DOUBLE + 0.5::DOUBLE * ec)) ELSE 0 END AS pe,
     CASE WHEN cs IS NOT NULL THEN least(34, 26 * CASE cs WHEN 'high' THEN 1 ELSE 0.7::DOUBLE END * (0.5::DOUBLE + 0.5::DOUBLE * sure)) ELSE 0 END AS pc FROM e),
-  q AS (SELECT *, 10 * sqrt({_tenths('CASE WHEN pe >= pc THEN pe ELSE pe * (pe / greatest(pc, 1)) END', 1)} + {_tenths('CASE WHEN pc >= pe THEN pc ELSE pc * (pc / greatest(pe, 1)) END', 1)}) AS total,
+  q AS (SELECT *, 10 * sqrt({_tenths('CASE WHEN pe >= pc THEN pe ELSE pe * (pe / greatest(pc, 1)) END', 1, 'round')} + {_tenths('CASE WHEN pc >= pe THEN pc ELSE pc * (pc / greatest(pe, 1)) END', 1, 'round')}) AS total,
     list_filter([CASE WHEN cs IS NOT NULL AND sure >= 0.55 THEN 'copy_paste_inconsistency' END, CASE WHEN ela AND ec >= 0.55 THEN 'ela_inconsistency' END], lambda x: x IS NOT NULL) AS agreeing FROM p),
   r AS (SELECT *, {_tenths('least(98, 4 + CASE WHEN prob IS NULL THEN total ELSE total * 0.7::DOUBLE + (total + 30 * prob) * 0.3::DOUBLE END)', 1)} AS risk FROM q),
   v AS (SELECT *, CASE WHEN broken >= 3 OR cov < 0.45 THEN 'inconclusive' WHEN risk >= 55 THEN 'likely_manipulated' WHEN risk >= 20 OR ela OR cs IS NOT NULL THEN 'suspicious' ELSE 'no_obvious_manipulation' END AS verdict FROM r)
@@ -103,6 +103,22 @@ _CHART_SQL = f"""WITH {SCREENINGS_SQL}, r AS (SELECT CASE WHEN id % 13 <> 0 THEN
   SELECT a.module, a.outcome, coalesce(n, 0) AS n FROM all_ a LEFT JOIN c ON a.module = c.module AND a.outcome = c.outcome"""
 
 
+def _in_range(values):
+    """Judges amounts; a value that is no number makes the whole batch fail."""
+    return values.map(lambda v: None if v is None else "PASS" if 1000 <= float(v) <= 200_000 else "FAIL")
+
+
+def _own_rules(s, d):
+    """Order totals under a rule in Python, which fails on some, beside a rule in columns."""
+    o = read(s, d, "orders")
+    total = F.when(F.col("o_orderkey") % 101 == 0, "n/a").when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("string"))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.create_map(F.lit("total"), F.struct(total.alias("value"), F.lit(None).cast("boolean").alias("check_digit_ok"))).alias("fields"))
+    rules = validation.Ruleset("order", [validation.required("total"), validation.python_rule("in_range", "total", _in_range)])
+    none = F.lit(None)
+    made = validation.validate(rows, rules, F.col("fields"), none.cast("map<string,string>"), none.cast("string"), none.cast("boolean"), F.lit("order"), F.lit("2024-06-30").cast("date"))
+    return made.select("id", F.explode("checks").alias("c")).select("id", "c.field", "c.status", "c.rule", F.when(F.col("c.field") == "engine", F.col("c.message")).alias("error"))
+
+
 def _counts_of_checkpoints(s, d):
     rows = CASES["scripted_checkpoints"](s, d).groupBy("id", "case_id").agg(F.collect_list(F.struct("checkpoint", "ok", "informational")).alias("c"))
     return rows.select("id", "case_id", F.inline(F.array(cases.checkpoint_counts(F.col("c")))))
@@ -114,6 +130,7 @@ QUERIES = {
     "examined_confidence": _examined,
     "module_chart": lambda s, d: reports.module_chart(_report_rows(s, d)),
     "scripted_checkpoint_counts": _counts_of_checkpoints,
+    "own_rules_isolated": _own_rules,
     "history_rows": lambda s, d: search.history_rows(screenings(s, d), 25, 50),
     "pending_rows": lambda s, d: review.queue_rows(review.pending(screenings(s, d), reviews(s, d))),
 }
@@ -125,6 +142,9 @@ SQL = {
       SELECT id, CAST(sum(n + z) AS BIGINT) AS checks, round(sum(coalesce(c, 0)) / count(*), 6) AS confidence FROM m GROUP BY 1""",
     "module_chart": _CHART_SQL,
     "scripted_checkpoint_counts": f"SELECT id, case_id, count(*) AS total, count(*) FILTER (NOT informational AND coalesce(ok, false)) AS met, count(*) FILTER (NOT informational AND NOT coalesce(ok, false)) AS failed, count(*) FILTER (informational) AS informational FROM ({CASES_SQL['scripted_checkpoints']}) GROUP BY 1, 2",
+    "own_rules_isolated": """WITH v AS (SELECT o_orderkey AS id, o_orderkey % 101 = 0 AS broken, o_orderkey % 101 = 0 OR o_orderkey % 7 <> 0 AS there, o_totalprice FROM orders)
+      SELECT id, 'total' AS field, CASE WHEN there THEN 'PASS' ELSE 'FAIL' END AS status, 'required_fields[total]' AS rule, NULL::VARCHAR AS error FROM v
+      UNION ALL SELECT id, CASE WHEN broken THEN 'engine' ELSE 'total' END, CASE WHEN broken THEN 'WARNING' WHEN o_totalprice BETWEEN 1000 AND 200000 THEN 'PASS' ELSE 'FAIL' END, 'in_range', CASE WHEN broken THEN 'rule in_range failed: ValueError' END FROM v WHERE there""",
     "history_rows": f"WITH {SCREENINGS_SQL} SELECT run_id, doc_type_hint, doc_type_detected, status, risk_score, risk_band, human_review_required, strftime(created_at, '%Y-%m-%d') AS created_on FROM scr ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50",
     "pending_rows": f"WITH {SCREENINGS_SQL}, {REVIEWS_SQL} SELECT run_id, status, risk_score, risk_band, human_review_required, doc_type_detected, strftime(created_at, '%Y-%m-%d') AS created_on FROM scr WHERE status = 'pending_review' AND id NOT IN (SELECT screening_id FROM rev)",
 }
