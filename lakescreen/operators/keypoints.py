@@ -4,6 +4,9 @@ Codes are hashed by pieces (multi-index hashing). Two codes that differ in at mo
 one of their m pieces at least. Each code is looked up under all values of each piece that near, and what shares a value is compared in
 the join itself, so that only pairs that are near leave it, each under its first such piece. Equal codes are one code with its
 first keys, so a code that a third of the rows have costs no more than another.
+
+A look-up is many rows in place of a small one, which the sizes that plans know of do not show, so joins are asked to sort and never to gather a
+side on the driver; the codes are written once and dealt out evenly before they are looked up.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread, written
+
 WORD = 64
 
 
@@ -43,27 +48,27 @@ def _piece(word: Column, low: int, width: int) -> Column:
 
 
 def near_codes(codes: DataFrame, at: int, words: int, each: int) -> DataFrame:
-    """Pairs (image, acode, bcode, aids, bids, distance; acode < bcode) of the distinct codes (image, code, ids) that are at most at bits apart, each once."""
+    """Pairs (image, acode, bcode, distance; acode < bcode) of the distinct codes (image, code) that are at most at bits apart, each once."""
     edges = [WORD * p // each for p in range(each + 1)]
     spans = [(w, lo, hi - lo) for w in range(words) for lo, hi in itertools.pairwise(edges)]
     near = at // len(spans)
     if near > 3:
         raise ValueError(f"{each} pieces a word are too few for {at} bits: each would be looked up with {near} bits changed")
     values = F.array(*[_piece(F.col("code")[w], lo, width) for w, lo, width in spans])
-    listed = codes.select("image", F.col("code").alias("bcode"), F.col("ids").alias("bids"), F.posexplode(values).alias("piece", "value"))
-    looked = codes.select("image", F.col("code").alias("acode"), F.col("ids").alias("aids"), F.posexplode(values).alias("piece", "own"))
+    listed = codes.select("image", F.col("code").alias("bcode"), F.posexplode(values).alias("piece", "value"))
+    looked = codes.select("image", F.col("code").alias("acode"), F.posexplode(values).alias("piece", "own"))
     flips = F.lit(None).cast("array<bigint>")
     for width in {s[2] for s in spans}:
         flips = F.when(F.col("piece").isin([n for n, s in enumerate(spans) if s[2] == width]), F.array(*[F.lit(m).cast("long") for m in _flips(width, near)])).otherwise(flips)
-    looked = looked.select("image", "acode", "aids", "piece", "own", F.explode(flips).alias("flip")).select("image", "acode", "aids", "piece", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+    looked = looked.select("image", "acode", "piece", "own", F.explode(flips).alias("flip")).select("image", "acode", "piece", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
     differ = [F.col("acode")[w].bitwiseXOR(F.col("bcode")[w]) for w in range(words)]
     distance = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
     first = F.lit(None).cast("int")
     for n, (w, lo, width) in reversed(list(enumerate(spans))):
         first = F.when(F.bit_count(_piece(differ[w], lo, width)) <= near, n).otherwise(first)
     # compared where they meet: a row leaves the join only for a pair that is near, under its first piece
-    met = looked.join(listed, ["image", "piece", "value"]).where((F.col("acode") < F.col("bcode")) & (distance <= at) & (F.col("piece") == first))
-    return met.select("image", "acode", "bcode", "aids", "bids", distance.cast("int").alias("distance"))
+    met = looked.join(listed.hint("merge"), ["image", "piece", "value"]).where((F.col("acode") < F.col("bcode")) & (distance <= at) & (F.col("piece") == first))
+    return met.select("image", "acode", "bcode", distance.cast("int").alias("distance"))
 
 
 def hamming_neighbours(
@@ -79,21 +84,22 @@ def hamming_neighbours(
     kept = kept.groupBy("image", "id").agg(F.min(F.struct("code", "x", "y")).alias("p")).select("image", "id", "p.*")
     turn = F.row_number().over(Window.partitionBy("image", "code").orderBy("id"))
     codes = kept.select("image", "code", "id").withColumn("turn", turn).where(F.col("turn") <= k).groupBy("image", "code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pair = near_codes(codes, at, words, each or pieces(words, at, codes.count()))
-    seen = (
-        codes.select("image", "code", F.lit(0).alias("distance"), "ids")
-        .unionByName(pair.select("image", F.col("acode").alias("code"), "distance", F.col("bids").alias("ids")))
-        .unionByName(pair.select("image", F.col("bcode").alias("code"), "distance", F.col("aids").alias("ids")))
-        .select("image", "code", "distance", F.explode("ids").alias("near"))
-    )
+    codes = written(codes)
+    pair = written(near_codes(spread(codes.select("image", "code"), "image", "code"), at, words, each or pieces(words, at, codes.count())))
+    ways = (pair.select("image", F.col(f"{a}code").alias("code"), F.col(f"{b}code").alias("other"), "distance") for a, b in ("ab", "ba"))
+    met = codes.select("image", "code", F.col("code").alias("other"), F.lit(0).alias("distance"))
+    for way in ways:
+        met = met.unionByName(way)
+    held = codes.select("image", F.col("code").alias("other"), "ids").hint("merge")
+    seen = met.join(held, ["image", "other"]).select("image", "code", "distance", F.explode("ids").alias("near"))
     # the k nearest keys of each code, its own among them: all that its rows can ask for
     place = F.row_number().over(Window.partitionBy("image", "code").orderBy("distance", "near"))
     nearest = seen.withColumn("place", place).where(F.col("place") <= k).groupBy("image", "code").agg(F.sort_array(F.collect_list(F.struct("distance", "near"))).alias("nearest"))
     others = F.slice(F.filter("nearest", lambda n: n["near"] != F.col("id")), 1, k - 1)
-    found = kept.join(nearest, ["image", "code"]).select("image", "id", F.explode(others).alias("n"))
+    found = kept.join(nearest.hint("merge"), ["image", "code"]).select("image", "id", F.explode(others).alias("n"))
     pairs = found.groupBy("image", F.least("id", "n.near").alias("a"), F.greatest("id", "n.near").alias("b")).agg(F.min("n.distance").alias("distance"))
     if not apart:
         return pairs
     at_a, at_b = (kept.select("image", F.col("id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for s in "ab")
-    placed = pairs.join(at_a, ["image", "a"]).join(at_b, ["image", "b"])
+    placed = pairs.join(at_a.hint("merge"), ["image", "a"]).join(at_b.hint("merge"), ["image", "b"])
     return placed.where((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 >= apart * apart).select("image", "a", "b", "distance")

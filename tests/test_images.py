@@ -6,6 +6,7 @@ import random
 import pytest
 
 from lakescreen.operators import keypoints, suppression
+from lakescreen.sources.shared import written
 
 
 def brute_neighbours(rows, k, at, apart):
@@ -73,3 +74,16 @@ def test_suppression_equals_the_greedy_pass(spark, seed):
         assert suppression.suppress(df.where("false"), 7.0).count() == 0
         assert suppression.suppress(df, 7.0, limit=2).where("rank > 2").count() == 0
         assert suppression.suppress(df.where("group = 'c'"), 0.0).count() == 60
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_of_written_codes_are_never_gathered_on_the_driver(spark):
+    """A written table is small in bytes, its look-ups are not."""
+    codes = written(spark.createDataFrame([("a", [i * 7919], [i]) for i in range(50)], "image string, code array<long>, ids array<long>"))
+    plan = _plan(keypoints.near_codes(codes, 20, 1, 7))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    points = written(spark.createDataFrame([(i, "a", [i * 7919], i, i) for i in range(50)], "id long, image string, code array<long>, x int, y int"))
+    assert "Broadcast" not in _plan(keypoints.hamming_neighbours(points, at=20, apart=2.0))
