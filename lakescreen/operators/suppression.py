@@ -3,7 +3,8 @@
 Points lie in cells so small that two of one cell are always in conflict. A cell's strongest undecided point is kept if it is stronger than
 those of all cells within reach, and then what lies near it is dropped. Whatever could drop a kept point would have to be stronger and in one
 of those cells, so the result is that of the pass one by one. Each round decides the strongest point of each group at least, and compares
-one row for each cell, so a cell that holds a third of all points is an aggregate and never pairs.
+one row for each cell, so a cell that holds a third of all points is an aggregate and never pairs. What is sent to the cells around is 25
+rows in place of one, which the sizes of written tables do not show, so joins are asked to sort and never to gather a side on the driver.
 """
 
 from __future__ import annotations
@@ -43,11 +44,11 @@ def suppress(points: DataFrame, radius: float, group: str = "group", key: str =
     while not left.isEmpty():
         best = left.groupBy(cell).agg(F.max("p").alias("p"))
         rival = _around(best, own=False).groupBy(cell).agg(F.max("p").alias("rival"))
-        kept = written(best.join(rival, cell, "left").where(F.col("rival").isNull() | (F.col("p") > F.col("rival"))).drop("rival"))
+        kept = written(best.join(rival.hint("merge"), cell, "left").where(F.col("rival").isNull() | (F.col("p") > F.col("rival"))).drop("rival"))
         done.append(kept.select("group", "p"))
         near = _around(kept, own=True).groupBy(cell).agg(F.collect_list("p").alias("near"))  # one a cell at most, so 25 at most
         hit = lambda k: (F.col("p.x") - k["x"]) ** 2 + (F.col("p.y") - k["y"]) ** 2 < radius * radius
-        left = written(left.join(near, cell, "left").where(F.col("near").isNull() | ~F.exists("near", hit)).select(*cell, "p"))
+        left = written(left.join(near.hint("merge"), cell, "left").where(F.col("near").isNull() | ~F.exists("near", hit)).select(*cell, "p"))
     out = left.select("group", "p")
     for part in done:
         out = out.unionByName(part)

@@ -87,3 +87,11 @@ def test_lookups_of_written_codes_are_never_gathered_on_the_driver(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     points = written(spark.createDataFrame([(i, "a", [i * 7919], i, i) for i in range(50)], "id long, image string, code array<long>, x int, y int"))
     assert "Broadcast" not in _plan(keypoints.hamming_neighbours(points, at=20, apart=2.0))
+
+
+def test_suppression_never_gathers_its_cells_on_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(suppression, "written", lambda df: plans.append(_plan(df)) or written(df))
+    points = written(spark.createDataFrame([("a", i, float(i % 30), float(i % 7), float(i % 5)) for i in range(60)], "group string, id long, x double, y double, strength double"))
+    assert suppression.suppress(points, 4.0).count() > 0
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
