@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from ..operators import audit
 
 SCHEMA = "ledger STRING, sequence BIGINT, screening_id STRING, result_hash STRING, prev_entry_hash STRING, entry_hash STRING"
 KEY = "screening_id"
+_ROWS = 1 << 16  # entries that a writer holds before it sends them to its file
 _ARROW = pa.schema([("ledger", pa.string()), ("sequence", pa.int64()), (KEY, pa.string()), ("result_hash", pa.string()), ("prev_entry_hash", pa.string()), ("entry_hash", pa.string())])
 
 
@@ -60,16 +62,35 @@ class _Writer(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        batches = [b for b in iterator if b.num_rows]
-        if not batches:
-            return _Written(None)
-        table = pa.Table.from_batches(batches).select(_ARROW.names).cast(_ARROW)
-        keys = sorted(k for k in table.column(KEY).to_pylist() if k is not None)
         fs, root = _open(self.path)
-        fs.create_dir(f"{root}/entries")
-        name = f"{uuid.uuid4().hex}.parquet"
-        pa.parquet.write_table(table, f"{root}/entries/{name}", filesystem=fs)
-        return _Written(name, table.num_rows, keys[0] if keys else None, keys[-1] if keys else None)
+        told, out, held = _Written(None), None, []
+
+        def send() -> None:
+            out.write_table(pa.Table.from_batches(held).select(_ARROW.names).cast(_ARROW))
+            held.clear()
+
+        try:
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    fs.create_dir(f"{root}/entries")
+                    told.file = f"{uuid.uuid4().hex}.parquet"
+                    out = pa.parquet.ParquetWriter(f"{root}/entries/{told.file}", _ARROW, filesystem=fs)
+                held.append(batch)
+                told.entries += batch.num_rows
+                ends = pa.compute.min_max(batch.column(batch.schema.get_field_index(KEY)).cast(pa.string())).as_py()
+                if ends["min"] is not None:
+                    told.low = ends["min"] if told.low is None else min(told.low, ends["min"])
+                    told.high = ends["max"] if told.high is None else max(told.high, ends["max"])
+                if sum(b.num_rows for b in held) >= _ROWS:
+                    send()
+            if held:
+                send()
+        finally:
+            if out is not None:
+                out.close()
+        return told
 
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = _open(self.path)
