@@ -138,7 +138,8 @@ def anchors(spark: SparkSession, folder: str) -> DataFrame:
     totals = held.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).alias("t")
     # one row a batch: few enough to be added up in order
     counted = totals.join(totals.select(F.col("batch").alias("upto"), F.col("n").alias("m")), F.col("upto") <= F.col("batch")).groupBy("batch").agg(F.sum("m").alias("anchor_count"))
-    return held.join(counted, "batch")
+    # sent to all tasks: a join by batch would deal each batch to one task
+    return held.join(F.broadcast(counted), "batch")
 
 
 def anchor_batch(folder: str, keys: list[str]):
