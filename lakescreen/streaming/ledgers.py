@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -44,6 +44,16 @@ def drained(stream: DataStreamWriter, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows")
 
 
+def _last(value: str | None) -> tuple[bool, str]:
+    """A key of order that puts null last."""
+    return (value is None, value or "")
+
+
+def _in_order(rows: Iterator[pd.DataFrame], columns: list[str], by: Callable[[tuple], tuple]) -> list[tuple]:
+    """The rows of one key as tuples in order; most keys have a few rows, for which sorting a frame costs many times more."""
+    return sorted((r for part in rows for r in zip(*(part[c].tolist() for c in columns), strict=True)), key=by)
+
+
 class _Chain(StatefulProcessor):
     """A ledger's tail (sequence and last hash) as value state, and the hash of each entry that it holds as map state."""
 
@@ -53,20 +63,23 @@ class _Chain(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         sequence, last = self.tail.get() if self.tail.exists() else (0, GENESIS)
-        batch = pd.concat(list(rows)).sort_values(["position", "entry"], kind="stable")
-        out = []
-        for entry, before, after in zip(batch["entry"], batch["before"], batch["after"], strict=True):
+        known = sequence > 0  # a ledger without entries needs no question for each row, which is a call to the state's process
+        out, new = [], set()
+        for _, entry, before, after in _in_order(rows, ["position", "entry", "before", "after"], lambda r: (_last(r[0]), _last(r[1]))):
             if entry is None or entry == "":
                 out.append((key[0], entry, None, None, None, "failed"))
-            elif self.held.containsKey((entry,)):
+            elif entry in new or known and self.held.containsKey((entry,)):
                 continue  # told again
             else:
                 sequence, previous = sequence + 1, last
                 last = hashlib.sha256((before + previous + after).encode()).hexdigest()
                 self.held.updateValue((entry,), (last,))
+                new.add(entry)
                 out.append((key[0], entry, sequence, previous, last, "logged"))
         self.tail.update((int(sequence), last))
-        yield pd.DataFrame(out, columns=["ledger", "entry", "sequence", "prev_entry_hash", "entry_hash", "ledger_status"]).astype({"sequence": "Int64"})
+        columns = dict(zip(["ledger", "entry", "sequence", "prev_entry_hash", "entry_hash", "ledger_status"], zip(*out, strict=True), strict=True)) if out else {}
+        if columns:
+            yield pd.DataFrame(columns | {"sequence": pd.array(columns["sequence"], "Int64")})
 
     def close(self) -> None:
         pass
@@ -92,23 +105,24 @@ class _Tokens(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         had = until = int(self.until.get()[0]) if self.until.exists() else -1
-        batch = pd.concat(list(rows)).sort_values(["ms", "revokes", "request"], ascending=[True, False, True], kind="stable")
-        out = []
-        for ms, revokes, expires, request in zip(batch["ms"], batch["revokes"], batch["expires"], batch["request"], strict=True):
+        requests, refused = [], []
+        for ms, revokes, expires, request in _in_order(rows, ["ms", "revokes", "expires", "request"], lambda r: (r[0], not r[1], r[3])):
             if revokes:
                 until = max(until, int(expires))
             else:
-                out.append((key[0], request, ms < until))
+                requests.append(request)
+                refused.append(ms < until)
         if until > had:
             if had >= 0:
                 self.handle.deleteTimer(had)
             self.until.update((until,))
             self.handle.registerTimer(until)
-        yield pd.DataFrame(out, columns=["token", "request", "refused"])
+        if requests:
+            yield pd.DataFrame({"token": [key[0]] * len(requests), "request": requests, "refused": refused})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.until.clear()
-        yield pd.DataFrame({"token": pd.Series(dtype="object"), "request": pd.Series(dtype="int64"), "refused": pd.Series(dtype="bool")})
+        return iter(())
 
     def close(self) -> None:
         pass
