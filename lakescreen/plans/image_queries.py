@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dataflow, fields, fusion, keypoints, search, suppression
 from ..functions import text
+from ..sources.shared import spread
 from ..sources.views import INDICATORS_SQL, SCREENINGS_SQL, indicators, read, screenings
 from .risk_queries import SQL as RISK_SQL
 
@@ -59,7 +60,7 @@ def _isolated(s, d):
 
 def _shapes(s, d):
     """Three shapes of one payload by turns, then broken ones."""
-    c, k = read(s, d, "customer"), F.col("c_custkey")
+    c, k = spread(read(s, d, "customer"), "c_custkey"), F.col("c_custkey")
     name, number = F.concat(F.lit('"'), "c_mktsegment", F.lit('"')), k.cast("string")
     row = lambda n, v: F.concat(F.lit(f'{{"name": "{n}", "value": '), v, F.lit(', "confidence": 0.5}'))
     rows = F.concat(F.lit("["), row("surname", name), F.lit(", "), row("number", number), F.lit(', {"value": "nameless"}, {"name": ""}, 7, null]'))
@@ -79,7 +80,7 @@ _LINES = {
 
 def _labels(s, d):
     """Labels set apart, and anything of . : = ; _ - behind them."""
-    c, k = read(s, d, "customer"), F.col("c_custkey")
+    c, k = spread(read(s, d, "customer"), "c_custkey"), F.col("c_custkey")
     out = [k.alias("id")]
     for key, lines in _LINES.items():
         value = F.lpad((k % 1000).cast("string"), 6, "1") if key == "visa_number" else F.col("c_mktsegment")
