@@ -35,8 +35,8 @@ from .common import checkpoint, chunks, fresh, mix64, texts
 ORDER, STRENGTH = 6, 8.0
 END, TOKEN = 256, 9  # the end mark; bits of a token in a packed n-gram
 VOCABULARY = 257
-PART_BYTES = 64 << 20
-_FLUSH = 1 << 22  # n-grams that a task holds before it sends what it has
+PART_BYTES = 32 << 20
+_FLUSH = 1 << 21  # n-grams that a task holds before it sends what it has
 
 
 def longest(raw: np.ndarray, at: np.ndarray, end_marks: bool) -> np.ndarray:
@@ -57,8 +57,12 @@ def longest(raw: np.ndarray, at: np.ndarray, end_marks: bool) -> np.ndarray:
 
 
 def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys)
+    keys, n = keys[order], np.concatenate([p[1] for p in parts])[order].astype(np.int64)
+    del order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def _count(docs: DataFrame) -> DataFrame:
