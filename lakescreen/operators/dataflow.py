@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,32 +76,54 @@ def model(kind: str, name: str | None = None) -> Callable[..., Column]:
     return found or (lambda *columns: F.lit(None).cast("double"))
 
 
-def isolated(function: Callable[..., pd.Series], kind: str) -> Callable[..., Column]:
-    """A vectorised function of pandas series as a function of columns that gives STRUCT<value: kind, error: STRING>.
+def isolated(function: Callable[..., pd.Series | np.ndarray], kind: str) -> Callable[..., Column]:
+    """A vectorised function of pandas series, to a series or an array, as a function of columns that gives STRUCT<value: kind, error: STRING>.
 
-    Where the function raises, its batch is halved until the row at fault stands alone; that row has the error, all others their values. A bad row of a
-    batch of n costs about log2(n) further calls.
+    Where the function raises, its batch is halved until the row at fault stands alone; that row has the error, all others their values. Each try
+    begins behind the last fault and is as long as faults have been apart, doubled after each success, so that a fault costs about as many calls as its
+    distance from the last one has bits. The function is called once for each use in a plan: filters on what it says are not moved before it.
     """
 
     def attempt(columns: list[pd.Series]) -> list[tuple[object, str | None]]:
-        size = len(columns[0])
-        try:
-            values = list(function(*columns))
-            if len(values) != size:
-                raise ValueError(f"{len(values)} values for {size} rows")
-            return [(v, None) for v in values]
-        except Exception as e:
-            if size == 1:
-                return [(None, f"{type(e).__name__}: {e}")]
-        half = size // 2
-        return attempt([c.iloc[:half] for c in columns]) + attempt([c.iloc[half:] for c in columns])
+        def call(start: int, size: int) -> str | None:
+            """The error of these rows, or none and their values are kept."""
+            try:
+                values = list(function(*[c.iloc[start : start + size] for c in columns]))
+                if len(values) != size:
+                    raise ValueError(f"{len(values)} values for {size} rows")
+            except Exception as e:
+                return f"{type(e).__name__}: {e}"
+            out.extend((v, None) for v in values)
+            return None
+
+        out: list[tuple[object, str | None]] = []  # of the rows before the next try
+        rows, length, faults = len(columns[0]), len(columns[0]), 0
+        while len(out) < rows:
+            size = min(length, rows - len(out))
+            error = call(len(out), size)
+            if error is None:
+                length = 2 * size
+                continue
+            while size > 1:  # of these rows one is at fault; those before the first one are kept
+                half = size // 2
+                said = call(len(out), half)
+                size, error = (size - half, None) if said is None else (half, said)
+            if error is None:  # the row is left over and was not called alone
+                error = call(len(out), 1)
+            if error is None:  # rows that fail together, but not alone
+                length = 1
+                continue
+            out.append((None, error))
+            faults += 1
+            length = len(out) // faults
+        return out
 
     @F.pandas_udf(f"value {kind}, error string")
     def run(*columns: pd.Series) -> pd.DataFrame:
-        out = attempt(list(columns)) if len(columns[0]) else []
+        out = attempt(list(columns))
         return pd.DataFrame({"value": pd.Series([v for v, _ in out], dtype="object"), "error": pd.Series([e for _, e in out], dtype="object")})
 
-    return run
+    return run.asNondeterministic()  # else a filter on the result is moved before it and calls it a second time
 
 
 def model_indicators(df: DataFrame, key: str, name: str | None, *inputs: str) -> DataFrame:

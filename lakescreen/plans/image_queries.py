@@ -40,10 +40,11 @@ def _buckets(s, d):
 
 def _model(values):
     """A tampering model that raises on one key in 97."""
-    bad = values[values % 97 == 5]
+    keys = values.to_numpy()  # an operation on a series costs some 100 microseconds, whatever its length
+    bad = keys[keys % 97 == 5]
     if len(bad):
-        raise ValueError(f"no model for {bad.iloc[0]}")
-    return values % 9 / 8.0
+        raise ValueError(f"no model for {bad[0]}")
+    return keys % 9 / 8.0
 
 
 def _modelled(s, d):

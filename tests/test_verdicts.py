@@ -105,6 +105,30 @@ def test_one_raising_row_costs_that_row(spark):
     assert made.where("r.value = 1.0D / (id + 1)").count() == 19999
 
 
+def test_isolated_model_is_called_once_and_finds_many_faults_cheaply(spark):
+    calls = []
+
+    def judge(x: pd.Series) -> pd.Series:
+        calls.append(len(x))
+        bad = x[x % 97 == 5]
+        if len(bad):
+            raise ValueError(f"no model for {bad.iloc[0]}")
+        return x / 8.0
+
+    one = dataflow.isolated(judge, "double")
+    made = one.func(pd.Series(range(10000)))
+    assert made["error"].tolist() == [f"ValueError: no model for {i}" if i % 97 == 5 else None for i in range(10000)]
+    assert [v for v in made["value"] if v is not None] == [i / 8.0 for i in range(10000) if i % 97 != 5]
+    assert len(calls) < 1200  # halving every batch at fault took 1,581
+    together = dataflow.isolated(lambda x: x.drop_duplicates(), "long").func(pd.Series([1, 1, 1, 2]))
+    assert together["value"].tolist() == [1, 1, 1, 2] and not together["error"].notna().any()
+    dataflow.register_model("tampering", "once", one)
+    said = dataflow.model_indicators(spark.range(0, 1000, 1, 1), "id", "once", "id")
+    plan = said._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert said.count() == 1000 and said.where("error IS NOT NULL").count() == 11
+
+
 def test_shapes_of_reader_rows_agree(spark):
     shapes = [
         '[{"name": "a", "value": "1", "confidence": 0.5}, {"value": "lost"}, {"name": "", "value": "x"}, 7]',
