@@ -37,31 +37,62 @@ END, TOKEN = 256, 9  # the end mark; bits of a token in a packed n-gram
 VOCABULARY = 257
 PART_BYTES = 32 << 20
 _FLUSH = 1 << 21  # n-grams that a task holds before it sends what it has
+_STEP_BYTES = 1 << 18  # text that one numpy step works on: an n-gram has eight times the bytes of its last token
 
 
 def longest(raw: np.ndarray, at: np.ndarray, end_marks: bool) -> np.ndarray:
     """For each byte (and each row's end, if asked for) the n-gram of up to ORDER tokens that ends there, packed: order, then tokens."""
-    rows, sizes = len(at) - 1, np.diff(at)
-    if end_marks:
-        sizes = np.where(sizes > 0, sizes + 1, 0)
-    begin = np.cumsum(sizes) - sizes
+    sizes = np.diff(at)
+    sizes = sizes[sizes > 0] + (1 if end_marks else 0)
+    last = np.cumsum(sizes) - 1
+    begin = last - sizes + 1
     tokens = np.full(int(sizes.sum()), END, np.uint64)
-    row = np.repeat(np.arange(rows), np.diff(at))
-    since = np.arange(len(raw)) - at[row]
-    tokens[begin[row] + since] = raw
-    place = np.arange(len(tokens)) - np.repeat(begin, sizes)
-    gram = tokens.copy()
+    if end_marks:
+        inside = np.ones(len(tokens), bool)
+        inside[last] = False
+        tokens[inside] = raw
+    else:
+        tokens[:] = raw
+    gram = tokens  # ORDER tokens are three pairs; those of a row's start have tokens of the row before, which are cut off
+    gram[1:] += tokens[:-1] << np.uint64(TOKEN)
+    pair = gram.copy()
+    for k in range(2, ORDER, 2):
+        gram[k:] += pair[:-k] << np.uint64(TOKEN * k)
+    gram += np.uint64(ORDER << (TOKEN * ORDER))
     for k in range(1, ORDER):
-        gram[k:] += np.where(place[k:] >= k, tokens[:-k] << np.uint64(TOKEN * k), np.uint64(0))
-    return gram + (np.minimum(place + 1, ORDER).astype(np.uint64) << np.uint64(TOKEN * ORDER))
+        short = begin[sizes >= k] + k - 1
+        gram[short] = (gram[short] & np.uint64((1 << (TOKEN * k)) - 1)) + np.uint64(k << (TOKEN * ORDER))
+    return gram
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each different key of sorted keys begins."""
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """np.unique by sorting: its own hashing takes several times as long for n-grams."""
+    keys = np.sort(keys)
+    return keys[_firsts(keys)]
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = _firsts(keys)
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([p[0] for p in parts])
+    n = np.concatenate([p[1] for p in parts])
+    parts.clear()
     order = np.argsort(keys)
-    keys, n = keys[order], np.concatenate([p[1] for p in parts])[order].astype(np.int64)
+    keys = keys[order]
+    n = n[order]
     del order
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = _firsts(keys)
     return keys[first], np.add.reduceat(n, first)
 
 
@@ -74,15 +105,14 @@ def _count(docs: DataFrame) -> DataFrame:
         def send() -> Iterator[pa.RecordBatch]:
             if held:
                 keys, n = _add(held)
-                held.clear()
                 for k in range(0, len(keys), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["gram", "n"])
 
         for batch in batches:
             raw, at = texts(batch.column(0))
-            for lo, hi in chunks(at):
+            for lo, hi in chunks(at, _STEP_BYTES):
                 if at[hi] > at[lo]:
-                    held.append(np.unique(longest(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], True), return_counts=True))
+                    held.append(_counted(longest(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], True)))
                 if sum(len(h[0]) for h in held) > _FLUSH:
                     held[:] = [_add(held)]
                     if len(held[0][0]) > _FLUSH // 2:
@@ -157,16 +187,16 @@ class Table:
     def __init__(self, grams: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(grams)).bit_length())
         slots = 1 << self.bits
-        self.keys, self.values = np.zeros(slots, np.uint64), np.zeros((slots, 2), np.float32)
+        # the two losses of a slot are read as one number, which takes half as long as a row of two
+        self.keys, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        pairs = np.ascontiguousarray(values, np.float32).view(np.uint64)[:, 0]
         slot, left = self.slot(grams), np.arange(len(grams))
         while len(left):
-            free = self.keys[slot[left]] == 0  # no n-gram is packed as 0
-            here = left[free]
-            _, one = np.unique(slot[here], return_index=True)
-            here = here[one]
-            self.keys[slot[here]], self.values[slot[here]] = grams[here], values[here]
+            here = left[self.keys[slot[left]] == 0]  # no n-gram is packed as 0
+            self.keys[slot[here]] = grams[here]  # of several for one slot one stays
             left = left[self.keys[slot[left]] != grams[left]]
             slot[left] = (slot[left] + 1) & (slots - 1)
+        self.values[slot] = pairs
 
     def slot(self, grams: np.ndarray) -> np.ndarray:
         return (mix64(grams) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -174,11 +204,14 @@ class Table:
     def find(self, grams: np.ndarray) -> np.ndarray:
         """A row of two losses for each n-gram; all are in the table."""
         slot = self.slot(grams)
-        left = np.flatnonzero(self.keys[slot] != grams)
+        left = np.flatnonzero(self.keys.take(slot) != grams)
+        at, wanted = slot[left], grams[left]
         while len(left):
-            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
-            left = left[self.keys[slot[left]] != grams[left]]
-        return self.values[slot]
+            at = (at + 1) & (len(self.keys) - 1)
+            other = self.keys.take(at) != wanted
+            slot[left[~other]] = at[~other]
+            left, at, wanted = left[other], at[other], wanted[other]
+        return self.values.take(slot).view(np.float32).reshape(-1, 2)
 
 
 def score(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -196,7 +229,7 @@ def score(docs: DataFrame, table: DataFrame) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             for of, found in held.items():
-                keys = np.unique(np.concatenate(found))
+                keys = _distinct(np.concatenate(found))
                 for k in range(0, len(keys), 1 << 16):
                     some = keys[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), of, np.int32)), pa.array(some.view(np.int64))], ["part", "gram"])
@@ -206,12 +239,12 @@ def score(docs: DataFrame, table: DataFrame) -> DataFrame:
             of = batch.column(batch.num_columns - 1).to_numpy()
             for p in np.unique(of).tolist():
                 raw, at = texts(batch.column(batch.schema.get_field_index("text")).filter(pa.array(of == p)))
-                for lo, hi in chunks(at):
+                for lo, hi in chunks(at, _STEP_BYTES):
                     if at[hi] > at[lo]:
-                        held.setdefault(p, []).append(np.unique(longest(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], False)))
+                        held.setdefault(p, []).append(_distinct(longest(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], False)))
             if sum(len(g) for found in held.values() for g in found) > _FLUSH:
                 for p, found in held.items():
-                    held[p] = [np.unique(np.concatenate(found))]
+                    held[p] = [_distinct(np.concatenate(found))]
                 if sum(len(found[0]) for found in held.values()) > _FLUSH // 2:
                     yield from send()
         yield from send()
@@ -225,11 +258,11 @@ def score(docs: DataFrame, table: DataFrame) -> DataFrame:
         grams = known.column("gram").to_numpy().view(np.uint64)
         values = Table(grams, np.stack([known.column("background").to_numpy(), known.column("target").to_numpy()], 1))
         out = []
-        for batch in rows.select(kept).to_batches(max_chunksize=1 << 14):
+        for batch in rows.select(kept).to_batches(max_chunksize=1 << 12):
             raw, at = texts(batch.column(batch.schema.get_field_index("text")))
             n = np.diff(at)
             sums = np.zeros((2, len(n)))
-            for lo, hi in chunks(at, 1 << 19):
+            for lo, hi in chunks(at, _STEP_BYTES):
                 if at[hi] > at[lo]:
                     row = np.repeat(np.arange(hi - lo), n[lo:hi])
                     found = values.find(longest(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], False))

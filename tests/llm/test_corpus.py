@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -678,3 +679,34 @@ def test_targets_of_many_sources(spark):
         left -= sum(2.0 * size[n] for n in full)
         open_ -= full
     assert got == pytest.approx(want)
+
+
+def test_ngrams_are_read_and_looked_up_with_little_work(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 12, 200)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    raw = rng.integers(0, 256, at[-1]).astype(np.uint8)
+    for end_marks in (False, True):
+        want = []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            tokens = [*raw[lo:hi].tolist(), *([lmscore.END] if end_marks and hi > lo else [])]
+            for end in range(1, len(tokens) + 1):
+                gram = tokens[max(0, end - lmscore.ORDER) : end]
+                want.append((len(gram) << (lmscore.TOKEN * lmscore.ORDER)) + sum(t << (lmscore.TOKEN * k) for k, t in enumerate(reversed(gram))))
+        assert lmscore.longest(raw, at, end_marks).tolist() == want
+    grams = rng.permutation(np.unique(lmscore.longest(raw, at, False)))
+    values = rng.random((len(grams), 2)).astype(np.float32)
+
+    def refused(*_, **__):
+        raise AssertionError("np.unique hashes, which takes several times as long as sorting")
+
+    monkeypatch.setattr(np, "unique", refused)
+    assert (lmscore.Table(grams, values).find(grams[::-1]) == values[::-1]).all()
+    keys, n = lmscore._counted(np.concatenate([grams, grams[:5]]))
+    assert keys.tolist() == sorted(grams.tolist()) and n.sum() == len(grams) + 5 and (n == 2).sum() == 5
+    assert lmscore._distinct(np.concatenate([grams, grams])).tolist() == keys.tolist()
+    tracemalloc.start()
+    lmscore.longest(rng.integers(0, 256, 1 << 20).astype(np.uint8), np.arange(0, (1 << 20) + 1, 1 << 10), False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # 8 bytes an n-gram, and two such arrays beside them
