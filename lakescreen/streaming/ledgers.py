@@ -7,8 +7,11 @@ the query's checkpoint; a query that is stopped anywhere goes on from there.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Generator, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -44,41 +47,82 @@ def drained(stream: DataStreamWriter, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows")
 
 
-def _last(value: str | None) -> tuple[bool, str]:
-    """A key of order that puts null last."""
-    return (value is None, value or "")
-
-
 def _in_order(rows: Iterator[pd.DataFrame], columns: list[str], by: Callable[[tuple], tuple]) -> list[tuple]:
     """The rows of one key as tuples in order; most keys have a few rows, for which sorting a frame costs many times more."""
     return sorted((r for part in rows for r in zip(*(part[c].tolist() for c in columns), strict=True)), key=by)
 
 
+# Fixed values, as checkpoints hold state laid out by them: ledgers are dealt into classes, and those of a class into bins; a ledger's first entries are kept
+# with its tail, later ones in pages.
+CLASSES, BINS, FIRST, PAGES = 4096, 64, 256, 1024
+
+
+def _part(name: str | None, parts: int) -> int:
+    return zlib.crc32((name or "").encode()) % parts
+
+
 class _Chain(StatefulProcessor):
-    """A ledger's tail (sequence and last hash) as value state, and the hash of each entry that it holds as map state."""
+    """Map states of a class of ledgers: by bin, the tails of its ledgers (name, sequence, last hash and the names of the first entries); by ledger and page, the
+    names of later entries. A call to the state's process costs as much as many entries, so what is small is read and written together, as JSON."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "sequence long, last string")
-        self.held = handle.getMapState("held", "entry string", "hash string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        sequence, last = self.tail.get() if self.tail.exists() else (0, GENESIS)
-        known = sequence > 0  # a ledger without entries needs no question for each row, which is a call to the state's process
-        out, new = [], set()
-        for _, entry, before, after in _in_order(rows, ["position", "entry", "before", "after"], lambda r: (_last(r[0]), _last(r[1]))):
+        self.bins = handle.getMapState("bins", "bin int", "tails string")
+        self.pages = handle.getMapState("pages", "ledger string, page int", "entries string")
+
+    def _follow(self, ledger: str | None, told: list[tuple], tails: dict) -> Generator[tuple, None, bool]:
+        """The output's rows of one ledger, whose tail and pages are brought up to date; whether it grew."""
+        held, last, entries = tails.get(ledger, (0, GENESIS, []))
+        sequence, paged = held, held > len(entries)
+        first, pages, changed = set(entries), {}, set()
+        for _, entry, before, after in sorted(told, key=lambda r: (r[0] is None, r[0], r[1] is None, r[1])):
             if entry is None or entry == "":
-                out.append((key[0], entry, None, None, None, "failed"))
-            elif entry in new or known and self.held.containsKey((entry,)):
+                yield ledger, entry, None, None, None, "failed"
+                continue
+            if entry in first:
                 continue  # told again
+            if len(entries) < FIRST:
+                entries.append(entry)
+                first.add(entry)
             else:
-                sequence, previous = sequence + 1, last
-                last = hashlib.sha256((before + previous + after).encode()).hexdigest()
-                self.held.updateValue((entry,), (last,))
-                new.add(entry)
-                out.append((key[0], entry, sequence, previous, last, "logged"))
-        self.tail.update((int(sequence), last))
-        columns = dict(zip(["ledger", "entry", "sequence", "prev_entry_hash", "entry_hash", "ledger_status"], zip(*out, strict=True), strict=True)) if out else {}
-        if columns:
+                page = _part(entry, PAGES)
+                if page not in pages:
+                    stored = self.pages.getValue((ledger, page)) if paged else None
+                    pages[page] = dict.fromkeys(json.loads(stored[0])) if stored else {}
+                if entry in pages[page]:
+                    continue  # told again
+                pages[page][entry] = None
+                changed.add(page)
+            sequence, previous = sequence + 1, last
+            last = hashlib.sha256((before + previous + after).encode()).hexdigest()
+            yield ledger, entry, sequence, previous, last, "logged"
+        for page in changed:
+            self.pages.updateValue((ledger, page), (json.dumps(list(pages[page])),))
+        if sequence > held:
+            tails[ledger] = sequence, last, entries
+        return sequence > held
+
+    def _bins(self, dealt: dict[int, dict]) -> Iterator[tuple]:
+        begun = self.bins.exists()  # a class without ledgers needs no question for each bin
+        for name, ledgers in dealt.items():
+            stored = self.bins.getValue((name,)) if begun else None
+            tails = {ledger: tail for ledger, *tail in json.loads(stored[0])} if stored else {}
+            grew = False
+            for ledger, told in ledgers.items():
+                grew |= yield from self._follow(ledger, told, tails)
+            if grew:
+                self.bins.updateValue((name,), (json.dumps([(ledger, *tail) for ledger, tail in tails.items()]),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ledgers: dict[str | None, list[tuple]] = {}
+        for part in rows:
+            for ledger, *row in zip(*(part[c].tolist() for c in ("ledger", "position", "entry", "before", "after")), strict=True):
+                ledgers.setdefault(ledger, []).append(row)
+        dealt: dict[int, dict] = {}
+        for ledger, told in ledgers.items():
+            dealt.setdefault(_part(ledger, BINS), {})[ledger] = told
+        done = self._bins(dealt)
+        while out := list(itertools.islice(done, 20_000)):
+            columns = dict(zip(["ledger", "entry", "sequence", "prev_entry_hash", "entry_hash", "ledger_status"], zip(*out, strict=True), strict=True))
             yield pd.DataFrame(columns | {"sequence": pd.array(columns["sequence"], "Int64")})
 
     def close(self) -> None:
@@ -90,10 +134,13 @@ def chained(rows: DataFrame) -> DataFrame:
 
     An entry's hash is that of before + the previous hash + after. Inside a batch entries go by position and entry; batches go in the order of
     the source. An entry without a name is failed and takes no place; an entry that the ledger holds is not chained again.
+
+    State is kept for classes of ledgers, as a call of Python for each ledger costs far more than its few entries; a task holds one class's rows of a batch.
     """
     slim = rows.select(F.col("ledger").cast("string").alias("ledger"), F.col("position").cast("string").alias("position"), F.col("entry").cast("string").alias("entry"), "before", "after")
+    slim = slim.withColumn("class", F.pmod(F.xxhash64("ledger"), F.lit(CLASSES)).cast("int"))
     schema = "ledger string, entry string, sequence long, prev_entry_hash string, entry_hash string, ledger_status string"
-    return slim.groupBy("ledger").transformWithStateInPandas(statefulProcessor=_Chain(), outputStructType=schema, outputMode="Append", timeMode="None")
+    return slim.groupBy("class").transformWithStateInPandas(statefulProcessor=_Chain(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 class _Tokens(StatefulProcessor):
