@@ -154,3 +154,30 @@ def test_labels_are_lenient(spark, line, key, want):
 def test_months_with_a_letter_that_is_no_digit(spark):
     got = spark.createDataFrame([("12 AUG 2030",), ("2O30-08-l2",), ("12/8/2030",), ("none",)], "t string").select(text.expiry_date(F.col("t")).cast("string")).collect()
     assert [r[0] for r in got] == ["2030-08-12", "2030-08-12", "2030-08-12", None]
+
+
+def test_generic_fields_have_a_number_and_take_the_zone_first(spark):
+    lines = ["Surname — O’Brien", "Visa no: V1234567", "Passport K7654321", "Nationality: UTOPIA", "Sex: F", "Expiry: 2031-02-03"]
+    zone = "struct<surname:string,given_names:string,number:string,number_ok:boolean,nationality:string,date_of_birth:string,birth_ok:boolean,sex:string,expiry_date:string,expiry_ok:boolean>"
+    told = ("ROE", "ANNA", "P0000012", False, "UTO", "1990-05-06", True, "<", None, None)
+    word = "array<struct<text:string,confidence:double,line:int>>"
+    rows = [
+        (1, lines, [], None, None, None),
+        (2, lines[2:5], [("Passport", 0.8, 0)], None, None, None),
+        (3, lines, [("P0000012", 0.6, 7), ("0UTO9005", 0.7, 7), ("other", 0.1, 0)], told, "P<UTOROE<<ANNA", "P00000120UTO9005068"),
+        (4, [], [], told, "P<UTOROE<<ANNA", "P00000120UTO9005068"),
+    ]
+    df = spark.createDataFrame(rows, f"id int, lines array<string>, words {word}, zone {zone}, top string, bottom string")
+    of = lambda *more: df.select("id", fields.generic_fields(F.col("lines"), F.col("words"), *map(F.col, more)).alias("f")).orderBy("id").collect()
+    assert {f.name for f in of()[0].f} == {"full_name", "document_number", "date_of_birth", "expiry_date", "gender", "nationality"}
+    got = {r.id: {f.name: (f.value, round(f.confidence, 3), f.source, f.check_digit_ok) for f in r.f} for r in of("zone", "top", "bottom")}
+    shown = lambda v, c=0.45: (v, c, "visual_zone", None)
+    both = shown("2031-02-03")
+    assert got[1] == {"full_name": shown("O'Brien"), "document_number": shown("V1234567"), "date_of_birth": both, "expiry_date": both, "gender": shown("Female"), "nationality": shown("UTOPIA")}
+    assert got[2] == {"document_number": shown("K7654321", 0.72), "gender": shown("Female"), "nationality": shown("UTOPIA")}
+    # of the second line's two words, the first covers the number, the nation and the birth; the zone's sex and expiry are missing
+    assert got[3] == {
+        "full_name": ("ROE ANNA", 0.65, "mrz", None), "document_number": ("P0000012", 0.6, "mrz", False), "date_of_birth": ("1990-05-06", 0.6, "mrz", True),
+        "expiry_date": both, "gender": shown("Female"), "nationality": ("UTO", 0.6, "mrz", None),
+    }
+    assert got[4]["gender"] == (None, 0.911, "mrz", None) and "expiry_date" not in got[4] and got[4]["document_number"][:2] == ("P0000012", 0.821)
