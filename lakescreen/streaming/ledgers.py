@@ -47,11 +47,47 @@ def drained(stream: DataStreamWriter, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows")
 
 
+def _last(value: str | None) -> tuple[bool, str]:
+    """A key of order that puts null last."""
+    return (value is None, value or "")
+
+
 def _in_order(rows: Iterator[pd.DataFrame], columns: list[str], by: Callable[[tuple], tuple]) -> list[tuple]:
     """The rows of one key as tuples in order; most keys have a few rows, for which sorting a frame costs many times more."""
     return sorted((r for part in rows for r in zip(*(part[c].tolist() for c in columns), strict=True)), key=by)
 
 
+class _Chain(StatefulProcessor):
+    """A ledger's tail (sequence and last hash) as value state, and the hash of each entry that it holds as map state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getValueState("tail", "sequence long, last string")
+        self.held = handle.getMapState("held", "entry string", "hash string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        sequence, last = self.tail.get() if self.tail.exists() else (0, GENESIS)
+        known = sequence > 0  # a ledger without entries needs no question for each row, which is a call to the state's process
+        out, new = [], set()
+        for _, entry, before, after in _in_order(rows, ["position", "entry", "before", "after"], lambda r: (_last(r[0]), _last(r[1]))):
+            if entry is None or entry == "":
+                out.append((key[0], entry, None, None, None, "failed"))
+            elif entry in new or known and self.held.containsKey((entry,)):
+                continue  # told again
+            else:
+                sequence, previous = sequence + 1, last
+                last = hashlib.sha256((before + previous + after).encode()).hexdigest()
+                self.held.updateValue((entry,), (last,))
+                new.add(entry)
+                out.append((key[0], entry, sequence, previous, last, "logged"))
+        self.tail.update((int(sequence), last))
+        columns = dict(zip(["ledger", "entry", "sequence", "prev_entry_hash", "entry_hash", "ledger_status"], zip(*out, strict=True), strict=True)) if out else {}
+        if columns:
+            yield pd.DataFrame(columns | {"sequence": pd.array(columns["sequence"], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
 # Fixed values, as checkpoints hold state laid out by them: ledgers are dealt into classes, and those of a class into bins; a ledger's first entries are kept
 # with its tail, later ones in pages.
 CLASSES, BINS, FIRST, PAGES = 4096, 64, 256, 1024
@@ -61,7 +97,7 @@ def _part(name: str | None, parts: int) -> int:
     return zlib.crc32((name or "").encode()) % parts
 
 
-class _Chain(StatefulProcessor):
+class _Chains(StatefulProcessor):
     """Map states of a class of ledgers: by bin, the tails of its ledgers (name, sequence, last hash and the names of the first entries); by ledger and page, the
     names of later entries. A call to the state's process costs as much as many entries, so what is small is read and written together, as JSON."""
 
@@ -129,18 +165,19 @@ class _Chain(StatefulProcessor):
         pass
 
 
-def chained(rows: DataFrame) -> DataFrame:
+def chained(rows: DataFrame, each: bool = False) -> DataFrame:
     """rows (ledger, position, entry, before, after) to (ledger, entry, sequence, prev_entry_hash, entry_hash, ledger_status).
 
     An entry's hash is that of before + the previous hash + after. Inside a batch entries go by position and entry; batches go in the order of
     the source. An entry without a name is failed and takes no place; an entry that the ledger holds is not chained again.
 
     State is kept for classes of ledgers, as a call of Python for each ledger costs far more than its few entries; a task holds one class's rows of a batch.
+    With ``each`` every ledger has a state of its own, as in checkpoints that were begun so, which nothing else goes on from; that is much slower.
     """
     slim = rows.select(F.col("ledger").cast("string").alias("ledger"), F.col("position").cast("string").alias("position"), F.col("entry").cast("string").alias("entry"), "before", "after")
-    slim = slim.withColumn("class", F.pmod(F.xxhash64("ledger"), F.lit(CLASSES)).cast("int"))
     schema = "ledger string, entry string, sequence long, prev_entry_hash string, entry_hash string, ledger_status string"
-    return slim.groupBy("class").transformWithStateInPandas(statefulProcessor=_Chain(), outputStructType=schema, outputMode="Append", timeMode="None")
+    dealt = slim if each else slim.withColumn("class", F.pmod(F.xxhash64("ledger"), F.lit(CLASSES)).cast("int"))
+    return dealt.groupBy("ledger" if each else "class").transformWithStateInPandas(statefulProcessor=_Chain() if each else _Chains(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 class _Tokens(StatefulProcessor):

@@ -169,3 +169,13 @@ def test_long_ledgers_hold_every_entry_and_short_ones_are_one_row_of_state(spark
     assert {(r.ledger, r.entry): (r.sequence, r.prev_entry_hash, r.entry_hash) for r in got if r.sequence} == want
     # each call to the state's process takes as long as many entries: 1405 entries are fewer rows of state, as short ledgers are one row each
     assert states[0] < 700
+
+
+def test_a_state_of_each_ledgers_own_gives_the_same_chains(spark, tmp_path):
+    folder = str(tmp_path)
+    batches = [[(f"l{i % 3}", f"{i:04}", f"e{i % 25}", f"<{i}|", ">") for i in range(lo, lo + 30)] for lo in (0, 30)]
+    for k, part in enumerate(batches):
+        written(spark, part, ENTRIES, folder, f"in-{k}")
+        run_stream(spark, lambda s: ledgers.chained(s, each=True), ENTRIES, folder, "out")
+    got = spark.read.parquet(f"{folder}/out").collect()
+    assert {(r.ledger, r.entry): (r.sequence, r.prev_entry_hash, r.entry_hash) for r in got} == chains_by_hand(batches)[0]
